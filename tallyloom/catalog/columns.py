@@ -120,8 +120,8 @@ def parse_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         parse_timestamp("whole").alias("whole_ts"),
         F.date_format(parse_timestamp("minute", DATE_MINUTE), shown).alias("minute_text"),
-        F.date_format(parse_date_time("day", "clock", skip_nulls=False), shown).alias("joined_text"),
-        F.date_format(parse_date_time("day", "clock"), shown).alias("skipped_text"),
+        F.date_format(parse_date_time("day", "clock"), shown).alias("joined_text"),
+        F.date_format(parse_date_time("day", "clock", skip_nulls=True), shown).alias("skipped_text"),
     )
 
 

@@ -96,14 +96,10 @@ def q_marginal_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marginal_histogram(standin.sections(spark, sf_dir), "n_share", 0.02, "model")
 
 
-def _plot_name(group: int | None, hue: str) -> str:
-    return f"{'all' if group is None else group}_{hue}"
-
-
-def _plot(group: int | None, hue: str):
+def _plot(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = reports.distributions(standin.sections(spark, sf_dir), NAMES, "C", width=0.05)
-        return made[_plot_name(group, hue)]["cells"]
+        return made[name]()["cells"]
 
     return run
 
@@ -124,4 +120,5 @@ def _plot_sql(group: int | None, hue: str, fraction: float) -> str:
 
 
 for _group, _hue, _fraction in reports.distribution_specs(NAMES)["C"]:
-    query(f"plot_{_plot_name(_group, _hue)}", _plot_sql(_group, _hue, _fraction))(_plot(_group, _hue))
+    _name = reports.distribution_name(_group, _hue)
+    query(f"plot_{_name}", _plot_sql(_group, _hue, _fraction))(_plot(_name))

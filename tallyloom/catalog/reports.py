@@ -17,6 +17,7 @@ from ..operators import (
 )
 from ..plans import reports, standin
 from ..plans.standin import FLAGS, NAMES, table, votes, with_sections
+from ..sources import StageStore
 from .registry import query
 
 _A = "CAST(SUM(a_votes) AS BIGINT)"
@@ -290,7 +291,9 @@ _TOP = "order_id, nation, region, segment, a_votes, r_votes, n_votes, eligible,
     ),
 )
 def top_n_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.top_shares(standin.sections(spark, sf_dir), _TOP.split(", "), NAMES, limit=1000)
+    """Over a stored section table: the values are read once for the bins and once for the rows."""
+    sec = StageStore(spark).write("sections", standin.sections(spark, sf_dir))
+    return reports.top_shares(sec, _TOP.split(", "), NAMES, limit=1000)
 
 
 @query(

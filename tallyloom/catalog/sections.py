@@ -99,13 +99,18 @@ def _shown(wide: DataFrame) -> DataFrame:
     return times.select(*_PLAIN, *_TIMES, "modelo_2020", "lulavence", "bolsonarovence", "empate", *election.RATIOS)
 
 
-def _sections(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    s = derived.sources(spark, sf_dir)
-    return election.sections(
-        election.bulletins(s["bulletins"]), election.results(s["results"]), election.machines(s["machines"]), **options
+def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return (
+        election.bulletins(derived.source(spark, sf_dir, "bulletins")),
+        election.results(derived.source(spark, sf_dir, "results")),
+        election.machines(derived.source(spark, sf_dir, "machines")),
     )
 
 
+def _sections(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return election.sections(*_prepared(spark, sf_dir), **options)
+
+
 @query("election_sections", f"{_ctes()} SELECT {_WIDE} FROM f")
 def election_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folded before the joins, repeats multiplying the sums; the SQL joins first and folds then."""
@@ -134,10 +139,7 @@ def election_late_faithful(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def election_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The joined detail, where repeats multiply rows."""
-    s = derived.sources(spark, sf_dir)
-    d = election.detail(
-        election.bulletins(s["bulletins"]), election.results(s["results"]), election.machines(s["machines"])
-    )
+    d = election.detail(*_prepared(spark, sf_dir))
     return d.select(
         "urna_id",
         "NR_VOTAVEL",
@@ -157,7 +159,7 @@ _ZONES = f"""z AS (SELECT {_key('NR_ZONA')} AS zona_id,
 
 @query("election_zone_workers", f"WITH {derived.sources_sql()}, {_ZONES} SELECT * FROM z")
 def election_zone_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return election.zone_workers(derived.sources(spark, sf_dir)["workers"])
+    return election.zone_workers(derived.source(spark, sf_dir, "workers"))
 
 
 @query(
@@ -166,7 +168,7 @@ def election_zone_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM workers WHERE NR_TURNO = 2 GROUP BY 1""",
 )
 def election_workers_by_attendance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return election.workers_by_attendance(derived.sources(spark, sf_dir)["workers"])
+    return election.workers_by_attendance(derived.source(spark, sf_dir, "workers"))
 
 
 @query(
@@ -177,7 +179,7 @@ def election_workers_by_attendance(spark: SparkSession, sf_dir: str) -> DataFram
         FROM f LEFT JOIN z ON z.zona_id = f.zona_id""",
 )
 def election_section_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zones = election.zone_workers(derived.sources(spark, sf_dir)["workers"])
+    zones = election.zone_workers(derived.source(spark, sf_dir, "workers"))
     vm = election.with_zone_workers(_sections(spark, sf_dir, fanout="allow"), zones)
     return vm.select(
         "urna_id", "zona_id", "lula", "bolsonaro", "nvoluntarios_por_zona", "voluntarios_por_zona", "zona_tem_voluntarios"

@@ -74,7 +74,8 @@ def scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_orderdate")
 
 
-_CUSTOMER = T.StructType.fromDDL(TABLES["customer"])
+def _declared(name: str) -> T.StructType:
+    return T.StructType.fromDDL(TABLES[name])
 
 
 @query("scan_csv_roundtrip", "SELECT * FROM customer")
@@ -83,7 +84,7 @@ def scan_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = StageStore(spark)
     rows = table(spark, sf_dir, "customer")
     write_delimited(rows.select(*reversed(rows.columns)), store.path("text/a"), encoding="ISO-8859-1")
-    return read_delimited(spark, f"{store.root}/text/*/*.csv", _CUSTOMER)
+    return read_delimited(spark, f"{store.root}/text/*/*.csv", _declared("customer"))
 
 
 @query("scan_csv_file_glob", "SELECT * FROM customer")
@@ -93,14 +94,14 @@ def scan_csv_file_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer")
     write_delimited(rows, store.path("text/WHOLE"), encoding="ISO-8859-1")
     write_delimited(rows.where("c_mktsegment = 'BUILDING'"), store.path("text/PART_1"), encoding="ISO-8859-1")
-    return read_delimited(spark, f"{store.root}/text/*WHOLE", _CUSTOMER, file_glob="*.csv")
+    return read_delimited(spark, f"{store.root}/text/*WHOLE", _declared("customer"), file_glob="*.csv")
 
 
 @query("sink_csv_roundtrip", "SELECT * FROM supplier")
 def sink_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = StageStore(spark)
     write_delimited(table(spark, sf_dir, "supplier"), store.path("supplier"), encoding="ISO-8859-1", single_file=True)
-    return read_delimited(spark, store.path("supplier"), T.StructType.fromDDL(TABLES["supplier"]), by_name=False)
+    return read_delimited(spark, store.path("supplier"), _declared("supplier"), by_name=False)
 
 
 @query("sink_parquet_roundtrip", "SELECT * FROM orders")

@@ -19,12 +19,9 @@ _VOTABLE = """CASE WHEN l_returnflag = 'A' THEN '13' WHEN l_returnflag = 'R' THE
                    WHEN l_linestatus = 'F' THEN '95' ELSE '96' END"""
 
 
-def _clock(seconds: str) -> str:
-    """SQL for the text HH:mm:ss of a number of seconds."""
-    hours = f"CAST(FLOOR(({seconds}) / 3600) AS BIGINT)"
-    minutes = f"CAST(FLOOR((({seconds}) % 3600) / 60) AS BIGINT)"
-    two = "LPAD(CAST({} AS STRING), 2, '0')".format
-    return f"{two(hours)} || ':' || {two(minutes)} || ':' || {two(f'(({seconds}) % 60)')}"
+def _one_of(texts: str, number: str) -> str:
+    """SQL that picks one of some two-letter texts by a number."""
+    return f"SUBSTR('{texts}', 1 + 2 * ({number} % {len(texts) // 2}), 2)"
 
 
 def _municipality(state_key: str) -> str:
@@ -40,7 +37,9 @@ _PLACES = f"""SELECT o.*, n_nationkey, n_name, c_mktsegment, {_municipality('n_n
               FROM {{orders}} AS o JOIN {{customer}} AS c ON o.o_custkey = c.c_custkey
                    JOIN {{nation}} AS n ON c.c_nationkey = n.n_nationkey"""
 
-_EMITTED = "54000 + (l_orderkey * 37 + l_linenumber * 101 + l_partkey) % 9000"
+# Minutes and seconds on both sides of the cut-offs.
+_MINUTE = _one_of("0809101130", "(l_orderkey + l_linenumber)")
+_SECOND = _one_of("000159", "l_partkey")
 
 SOURCES = {
     "bulletins": f"""
@@ -51,10 +50,11 @@ SOURCES = {
              '#NULO#' AS NR_JUNTA_APURADORA, c_mktsegment AS NR_TURMA_APURADORA,
              999000 + (o_custkey % 1500) * 830 AS NR_URNA_EFETIVADA,
              '30/10/2022' AS DT_GERACAO, CASE WHEN o_orderstatus = 'F' THEN '#NULO#' ELSE '10:11:12' END AS HH_GERACAO,
-             CASE WHEN l_partkey % 50 = 0 THEN '#NULO#' ELSE '30/10/2022 ' || {_clock(_EMITTED)} END AS DT_EMISSAO_BU,
-             '30/10/2022 ' || {_clock(_EMITTED + ' + 600 + l_suppkey % 300')} AS DT_BU_RECEBIDO,
-             '30/10/2022 ' || {_clock('24600 + l_orderkey % 5400')} AS DT_ABERTURA,
-             '30/10/2022 ' || {_clock('61200 + l_linenumber')} AS DT_ENCERRAMENTO,
+             CASE WHEN l_partkey % 50 = 0 THEN '#NULO#'
+                  ELSE '30/10/2022 1' || CAST(5 + l_suppkey % 3 AS STRING) || ':' || {_MINUTE} || ':' || {_SECOND} END AS DT_EMISSAO_BU,
+             '30/10/2022 18:' || {_MINUTE} || ':' || {_SECOND} AS DT_BU_RECEBIDO,
+             '30/10/2022 0' || CAST(6 + l_orderkey % 3 AS STRING) || ':00:0' || CAST(l_orderkey % 7 AS STRING) AS DT_ABERTURA,
+             '30/10/2022 17:00:0' || CAST(l_linenumber AS STRING) AS DT_ENCERRAMENTO,
              CASE o_orderpriority WHEN '1-URGENT' THEN '10 / 20 / 30' WHEN '2-HIGH' THEN '7' ELSE '#NULO#' END AS DS_AGREGADAS,
              {_VOTABLE} AS NR_VOTAVEL,
              CAST(l_quantity AS BIGINT) AS QT_VOTOS, CAST(FLOOR(o_totalprice / 1000) AS BIGINT) AS QT_APTOS,
@@ -103,13 +103,10 @@ SOURCES = {
 _INPUTS = ("lineitem", "orders", "customer", "nation", "supplier")
 
 
-def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The four source tables."""
-    inputs = {name: table(spark, sf_dir, name) for name in _INPUTS}
-    return {
-        name: spark.sql(text, **{i: df for i, df in inputs.items() if "{" + i + "}" in text})
-        for name, text in SOURCES.items()
-    }
+def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the four source tables."""
+    text = SOURCES[name]
+    return spark.sql(text, **{i: table(spark, sf_dir, i) for i in _INPUTS if "{" + i + "}" in text})
 
 
 def sources_sql() -> str:

@@ -97,36 +97,36 @@ SUMMONS = {
     "voluntarios_por_zona": "Voluntárias e voluntários",
 }
 
-# Section attributes, constant per section: {wide column: bulletin column}.
+# Section attributes, constant per section: {wide column: bulletin column}. They are
+# picked as they were read, and what follows from them is derived once per section.
 SECTION_ATTRIBUTES = {
-    "dt_geracao": "dh_geracao",
     "uf": "SG_UF",
     "cidade": "NM_MUNICIPIO",
     "zona": "NR_ZONA",
     "secao": "NR_SECAO",
     "local_votacao_id": "NR_LOCAL_VOTACAO",
     "cidade_id": "CD_MUNICIPIO",
-    "zona_id": "zona_id",
-    "regiao": "regiao",
     "junta_apuradora": "NR_JUNTA_APURADORA",
     "turma_apuradora": "NR_TURMA_APURADORA",
-    "_agregadas": "DS_AGREGADAS",
-    "modelo": "modelo",
     "aptos": "QT_APTOS",
     "nao_habilitados_biometria": "QT_ELEITORES_BIOMETRIA_NH",
     "comparecimentos": "QT_COMPARECIMENTO",
     "abstencoes": "QT_ABSTENCOES",
-    "_emissao": "dh_emissao_bu",
-    "_recebido": "dh_bu_recebido",
-    "_abertura": "dh_abertura",
-    "_encerramento": "dh_encerramento",
+    "_agregadas": "DS_AGREGADAS",
+    "_urna": "NR_URNA_EFETIVADA",
+    "_dia": "DT_GERACAO",
+    "_hora": "HH_GERACAO",
+    "_emissao": "DT_EMISSAO_BU",
+    "_recebido": "DT_BU_RECEBIDO",
+    "_abertura": "DT_ABERTURA",
+    "_encerramento": "DT_ENCERRAMENTO",
 }
 PLACE_ATTRIBUTES = {"local_votacao": "NM_LOCAL_VOTACAO", "endereco": "DS_LOCAL_VOTACAO_ENDERECO"}
 MACHINE_ATTRIBUTES = {
-    "dt_carga_urna_esperada": "dh_carga_urna_esperada",
-    "dt_carga_urna_efetivada": "dh_carga_urna_efetivada",
-    "dt_reco_urna_esperada": "dh_reco_urna_esperada",
-    "dt_reco_urna_efetivada": "dh_reco_urna_efetivada",
+    "_carga_esperada": "DT_CARGA_URNA_ESPERADA",
+    "_carga_efetivada": "DT_CARGA_URNA_EFETIVADA",
+    "_reco_esperada": "DT_RECO_URNA_ESPERADA",
+    "_reco_efetivada": "DT_RECO_URNA_EFETIVADA",
     "urna_efetivada": "NR_URNA_EFETIVADA",
     "urna_esperada": "NR_URNA_ESPERADA",
     "carga_urna_esperada": "CD_CARGA_URNA_ESPERADA",
@@ -141,6 +141,7 @@ MACHINE_ATTRIBUTES = {
     "_divergencia": "DS_DIVERGENCIA",
     "_origem": "CD_ORIGEM_VOTO",
 }
+MACHINE_TIMES = ("carga_urna_esperada", "carga_urna_efetivada", "reco_urna_esperada", "reco_urna_efetivada")
 LATEST = {
     "dt_emissao_bu": "dh_emissao_bu",
     "dt_bu_recebido": "dh_bu_recebido",
@@ -260,14 +261,7 @@ def bulletins(source: DataFrame, office: int = 1) -> DataFrame:
             "dh_abertura": parse_timestamp("DT_ABERTURA"),
             "dh_encerramento": parse_timestamp("DT_ENCERRAMENTO"),
         }
-    ).drop(
-        "CD_CARGO_PERGUNTA",
-        "NR_URNA_EFETIVADA",
-        "DT_EMISSAO_BU",
-        "DT_BU_RECEBIDO",
-        "DT_ABERTURA",
-        "DT_ENCERRAMENTO",
-    )
+    ).drop("CD_CARGO_PERGUNTA")
 
 
 def results(source: DataFrame, round_no: int = 2) -> DataFrame:
@@ -276,17 +270,14 @@ def results(source: DataFrame, round_no: int = 2) -> DataFrame:
 
 def machines(source: DataFrame) -> DataFrame:
     rows = _keyed(source, "CD_MUNICIPIO", "NR_ZONA", "NR_SECAO")
-    sides = [f"{action}_urna_{side}" for action in ("carga", "reco") for side in ("esperada", "efetivada")]
-    return rows.withColumns({f"dh_{s}": parse_timestamp(f"DT_{s.upper()}", DATE_MINUTE) for s in sides})
+    return rows.withColumns({f"dh_{t}": parse_timestamp(f"DT_{t.upper()}", DATE_MINUTE) for t in MACHINE_TIMES})
 
 
 def detail(b: DataFrame, r: DataFrame, m: DataFrame, unmatched: str = "one") -> DataFrame:
     """Bulletin rows with place and machine columns, at the grain of the bulletins (repeats multiply)."""
-    renamed = {
-        (n.replace("dt_", "dh_") if n.startswith("dt_") else n): c
-        for n, c in MACHINE_ATTRIBUTES.items()
-        if not n.startswith("_")
-    }
+    renamed = {n: c for n, c in MACHINE_ATTRIBUTES.items() if not n.startswith("_")}
+    times = {f"dh_{n}": f"dh_{n}" for n in MACHINE_TIMES}
+    raw = {f"_m{n}": c for n, c in MACHINE_ATTRIBUTES.items() if n.startswith("_")}
     return enrich_detail(
         b,
         r,
@@ -296,6 +287,8 @@ def detail(b: DataFrame, r: DataFrame, m: DataFrame, unmatched: str = "one") ->
         PLACE_ATTRIBUTES,
         {
             **renamed,
+            **times,
+            **raw,
             "urna_contingencia": sentinel_flag("extra.DS_DIVERGENCIA", unmatched=unmatched),
             "origem_voto": code_decode("extra.CD_ORIGEM_VOTO", ORIGINS),
         },
@@ -356,17 +349,11 @@ def sections(
     return _finish(wide.select("*", "_section.*", "_place.*", "_machine.*"), unmatched)
 
 
-def sections_from_detail(d: DataFrame, faithful: bool = False) -> DataFrame:
+def sections_from_detail(d: DataFrame, faithful: bool = False, unmatched: str = "one") -> DataFrame:
     """The same wide table folded from the multiplied detail, for checks on small inputs."""
-    attributes = {n: c for n, c in SECTION_ATTRIBUTES.items()}
-    machine = {
-        n: (n.replace("dt_", "dh_") if n.startswith("dt_") else n)
-        for n in MACHINE_ATTRIBUTES
-        if not n.startswith("_")
-    }
-    machine.update({"urna_contingencia": "urna_contingencia", "origem_voto": "origem_voto"})
+    machine = {n: (f"_m{n}" if n.startswith("_") else n) for n in MACHINE_ATTRIBUTES}
     wide = d.groupBy("urna_id").agg(
-        row_pick(attributes, "_section"),
+        row_pick(SECTION_ATTRIBUTES, "_section"),
         row_pick({n: n for n in PLACE_ATTRIBUTES}, "_place"),
         row_pick(machine, "_machine"),
         F.bit_or(label_mask("modelo", MODELS)).alias("_models"),
@@ -374,21 +361,30 @@ def sections_from_detail(d: DataFrame, faithful: bool = False) -> DataFrame:
         *[F.max(c).alias(n) for n, c in LATEST.items()],
         *tally_columns("NR_VOTAVEL", "QT_VOTOS", VOTABLES),
     )
-    return _finish(wide.select("*", "_section.*", "_place.*", "_machine.*"), None)
+    return _finish(wide.select("*", "_section.*", "_place.*", "_machine.*"), unmatched)
 
 
-def _finish(wide: DataFrame, unmatched: str | None) -> DataFrame:
+def _finish(wide: DataFrame, unmatched: str) -> DataFrame:
+    """What follows from the picked attributes, once per section."""
+    times = {n: parse_timestamp(n) for n in ("_emissao", "_recebido", "_abertura", "_encerramento")}
     derived = {
-        "segundos_emissao_bu_recebimento": elapsed_seconds("_recebido", "_emissao"),
-        "segundos_abertura_encerramento": elapsed_seconds("_abertura", "_encerramento"),
+        "zona_id": composite_key("cidade_id", "zona"),
+        "regiao": member_bucket("uf", REGIONS, REGION_OTHER),
+        "dt_geracao": parse_date_time("_dia", "_hora"),
+        "segundos_emissao_bu_recebimento": elapsed_seconds(times["_recebido"], times["_emissao"]),
+        "segundos_abertura_encerramento": elapsed_seconds(times["_abertura"], times["_encerramento"]),
+        "dt_carga_urna_esperada": parse_timestamp("_carga_esperada", DATE_MINUTE),
+        "dt_carga_urna_efetivada": parse_timestamp("_carga_efetivada", DATE_MINUTE),
+        "dt_reco_urna_esperada": parse_timestamp("_reco_esperada", DATE_MINUTE),
+        "dt_reco_urna_efetivada": parse_timestamp("_reco_efetivada", DATE_MINUTE),
         "secoes_agregadas": sentinel_to_null("_agregadas"),
         "total_secoes_agregadas": list_item_count("_agregadas"),
         "modelos_urnas": mask_labels("_models", MODELS),
-        "modelo_2020": equals_flag("modelo", 2020),
+        "modelo": range_bucket("_urna", MODEL_RANGES, MODEL_OTHER),
+        "modelo_2020": equals_flag(range_bucket("_urna", MODEL_RANGES, MODEL_OTHER), 2020),
+        "urna_contingencia": sentinel_flag("_divergencia", unmatched=unmatched),
+        "origem_voto": code_decode("_origem", ORIGINS),
     }
-    if unmatched is not None:
-        derived["urna_contingencia"] = sentinel_flag("_divergencia", unmatched=unmatched)
-        derived["origem_voto"] = code_decode("_origem", ORIGINS)
     wide = winner_flags(wide.withColumns(derived), "lula", "bolsonaro", "lulavence", "bolsonarovence", "empate")
     return tally_ratios(wide, RATIOS).select(*WIDE_COLUMNS)
 

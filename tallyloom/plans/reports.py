@@ -158,19 +158,27 @@ def distribution_specs(n: Names = Names()) -> dict[str, list[tuple[int | None, s
     }
 
 
+def distribution_name(group: int | None, hue: str) -> str:
+    return f"{'all' if group is None else group}_{hue}"
+
+
 def distributions(
     p: DataFrame, n: Names = Names(), variant: str = "C", width: float = 0.02, seed: int = 42
-) -> dict[str, dict[str, DataFrame]]:
-    """Cells, levels and marginals of every joint plot of a variant."""
-    out = {}
-    for group, hue, fraction in distribution_specs(n)[variant]:
+) -> dict[str, Callable[[], dict[str, DataFrame]]]:
+    """The joint plots of a variant; call an entry to get its cells, levels and marginals."""
+
+    def plot(group, hue, fraction):
         where = None if group is None else F.col(n.group) == group
         if (group, hue) == (1, n.model) and variant == "C":
             where = where & (F.col(n.model) != n.no_model)
-        points = sample_projection(p, [n.share_b, n.share_a, hue], [n.key], where, fraction, seed)
-        name = f"{'all' if group is None else group}_{hue}"
-        out[name] = joint_distribution(points, n.share_a, n.share_b, hue, width)
-    return out
+
+        def layers():
+            points = sample_projection(p, [n.share_b, n.share_a, hue], [n.key], where, fraction, seed)
+            return joint_distribution(points, n.share_a, n.share_b, hue, width)
+
+        return layers
+
+    return {distribution_name(g, h): plot(g, h, f) for g, h, f in distribution_specs(n)[variant]}
 
 
 def top_shares(p: DataFrame, columns: list[str], n: Names = Names(), limit: int = 100000) -> DataFrame:

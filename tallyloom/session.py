@@ -16,6 +16,12 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot key even where the split costs a further shuffle, as in a chain
+    # of joins on one key.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A generated method beyond this size is never compiled by the JVM; Spark then
+    # uses smaller methods instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
