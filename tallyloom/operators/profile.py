@@ -25,48 +25,46 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 def _as_text(field: T.StructField) -> Column:
     """A text that differs exactly when the value does; long ones are represented by a digest."""
-    column = F.col(f"`{field.name}`")
-    simple = not isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
-    if isinstance(field.dataType, T.BinaryType):
-        text = F.hex(column)
-    else:
-        text = column.cast("string") if simple else F.to_json(column)
-    return F.when(F.length(text) > _PLAIN, F.sha2(text, 256)).otherwise(text)
-
-
-def _cells(name: str, df: DataFrame) -> DataFrame:
-    entries = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.lit(f.name).alias("column_name"),
-            F.lit(f.dataType.simpleString()).alias("column_type"),
-            _as_text(f).alias("value"),
-        )
-        for i, f in enumerate(df.schema.fields)
-    ]
-    return df.select(F.lit(name).alias("table_name"), F.explode(F.array(*entries)).alias("c")).select(
-        "table_name", "c.*"
-    )
+    column, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, T.AtomicType) and not isinstance(kind, (T.StringType, T.BinaryType)):
+        return column.cast("string")
+    if isinstance(kind, T.BinaryType):
+        column = F.hex(column)
+    elif not isinstance(kind, T.StringType):
+        column = F.to_json(column)
+    return F.when(F.octet_length(column) > _PLAIN, F.sha2(column, 256)).otherwise(column)
 
 
 def schema_profile(tables: Mapping[str, DataFrame] | DataFrame, sentinel: str = SENTINEL) -> DataFrame:
     """Per column: type, rows, NULLs, sentinels and exact distinct values.
 
-    Cells are counted per value first, in the map tasks, so a value that fills a
-    third of a column travels once per task. Tables without rows do not appear.
+    Cells are counted per (column number, value) first, in the map tasks, so a
+    value that fills a third of a column travels once per task; names and types
+    are added to the result. Tables without rows do not appear.
     """
     if isinstance(tables, DataFrame):
         tables = {"table": tables}
-    cells = reduce(DataFrame.unionByName, [_cells(n, df) for n, df in tables.items()])
-    column = ["table_name", "position", "column_name", "column_type"]
-    values = cells.groupBy(*column, "value").agg(F.count(F.lit(1)).alias("n"))
+    described, parts = [], []
+    for name, df in tables.items():
+        fields = df.schema.fields
+        texts = F.array(*[_as_text(f) for f in fields])
+        cells = df.select(F.posexplode(texts).alias("position", "value"))
+        parts.append(cells.select((F.col("position") + len(described)).alias("no"), "value"))
+        described += [(name, i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)]
+    values = reduce(DataFrame.unionByName, parts).groupBy("no", "value").agg(F.count(F.lit(1)).alias("n"))
     absent = F.col("value").isNull()
-    return values.groupBy(*column).agg(
+    counts = values.groupBy("no").agg(
         F.sum("n").alias("n_rows"),
         F.sum(F.when(absent, F.col("n")).otherwise(0)).alias("n_nulls"),
         F.sum(F.when(F.col("value") == sentinel, F.col("n")).otherwise(0)).alias("n_sentinels"),
         F.count("value").alias("n_distinct"),
     )
+    labels = ("table_name", "position", "column_name", "column_type")
+    named = {
+        label: F.element_at(F.array(*[F.lit(d[i]) for d in described]), F.col("no") + 1)
+        for i, label in enumerate(labels)
+    }
+    return counts.withColumns(named).select(*labels, "n_rows", "n_nulls", "n_sentinels", "n_distinct")
 
 
 def schema_differences(df: DataFrame, declared: T.StructType) -> list[str]:

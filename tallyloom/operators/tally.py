@@ -131,16 +131,14 @@ def late_flag_from_table(
     """As ``late_flag``, with cut-offs in a table ``(area, exception, cutoff_ts)``.
 
     A cut-off row with an ``exception`` value overrides the area's own (the row
-    whose ``exception`` is NULL). Areas without a cut-off give 0. The latest
-    time per (key, area, exception) decides, so the detail is folded to that
-    grain before the joins.
+    whose ``exception`` is NULL); at most one row each. Areas without a cut-off
+    give 0. A cut-off table of lookup size is broadcast by its statistics, and
+    the only shuffle is then the fold by key.
     """
-    by = [*keys, area] + ([exception] if exception else [])
-    rows = df.groupBy(*dict.fromkeys(by)).agg(F.max(ts).alias("_ts"))
     general = cutoffs.where(F.col("exception").isNull()).select(
         F.col("area").alias(area), F.col("cutoff_ts").alias("_general")
     )
-    rows = rows.join(general, area, "left")
+    rows = df.select(*dict.fromkeys([*keys, ts, area, *([exception] if exception else [])])).join(general, area, "left")
     cutoff = F.col("_general")
     if exception:
         special = cutoffs.where(F.col("exception").isNotNull()).select(
@@ -148,7 +146,7 @@ def late_flag_from_table(
         )
         rows = rows.join(special, exception, "left")
         cutoff = F.coalesce(F.col("_special"), cutoff)
-    return rows.groupBy(*keys).agg(F.max(F.when(F.col("_ts") > cutoff, 1).otherwise(0)).alias(name))
+    return rows.groupBy(*keys).agg(F.max(F.when(F.col(ts) > cutoff, 1).otherwise(0)).alias(name))
 
 
 def sum_by_category(df: DataFrame, category: str, measure: Column | str, name: str = "total") -> DataFrame:
