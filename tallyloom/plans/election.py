@@ -43,12 +43,13 @@ from ..operators import (
     left_join_default,
     mask_labels,
     row_pick,
+    save_mixture,
     tally_columns,
     tally_ratios,
     winner_flags,
 )
 from ..operators.joins import FanoutError
-from ..sources import StageStore, read_delimited
+from ..sources import StageStore, read_delimited, write_delimited, write_partitioned, write_sorted
 
 # Machine number ranges and the model year of each.
 MODEL_RANGES = (
@@ -432,7 +433,7 @@ def run(
     fanout: str = "error",
     faithful: bool = False,
     **mixture_changes,
-) -> dict[str, DataFrame]:
+) -> dict[str, DataFrame | MixtureFit]:
     """The whole analysis; every stage that is read more than once is stored first."""
     wide = sections(
         bulletins(sources["bulletins"]),
@@ -442,6 +443,13 @@ def run(
         faithful,
     )
     vm = store.write("vm", with_zone_workers(wide, zone_workers(sources["workers"])))
-    _, labelled = cluster(vm, variant, **mixture_changes)
-    p = store.write("p", labelled)
-    return {"vm": vm, "p": p}
+    fit, labelled = cluster(vm, variant, **mixture_changes)
+    return {"vm": vm, "p": store.write("p", labelled), "fit": fit}
+
+
+def export(analysis: Mapping[str, DataFrame | MixtureFit], store: StageStore, files: int = 20) -> None:
+    """The stored results: sections in order of receipt, as text and per cluster, and the model."""
+    write_sorted(analysis["vm"], store.path("vm_sorted"), ["dt_bu_recebido"], files)
+    write_delimited(analysis["vm"], store.path("vm_csv"), single_file=True)
+    write_partitioned(analysis["p"], store.path("p_by_cluster"), ["prediction"])
+    save_mixture(analysis["fit"], store.path("mixture"))

@@ -24,6 +24,7 @@ from ..operators import (
     sum_pair_by_group,
     top_n,
 )
+from ..sources import StageStore, write_parquet
 
 
 @dataclass(frozen=True)
@@ -187,3 +188,16 @@ def top_shares(p: DataFrame, columns: list[str], n: Names = Names(), limit: int
         F.col(n.share_a).between(0.0, 1.0) & (F.col(n.group) != n.last_group) & (F.col(n.new_model) == 0)
     )
     return top_n(p, n.share_a, limit, [n.key], where, bounds=(0.0, 1.0)).select(*columns)
+
+
+def write_reports(p: DataFrame, vm: DataFrame, store: StageStore, n: Names = Names(), variant: str = "C") -> list[str]:
+    """Store every comparison, contingency table and joint plot under its name."""
+    made = {**comparisons(p, vm, n), **crosstabs(p, n)}
+    for name, make in made.items():
+        write_parquet(make(), store.path(name))
+    written = list(made)
+    for name, layers in distributions(p, n, variant).items():
+        for layer, df in layers().items():
+            written.append(f"plot_{name}_{layer}")
+            write_parquet(df, store.path(written[-1]))
+    return written

@@ -222,3 +222,18 @@ def test_top_shares(analysis):
     rows = reports.top_shares(analysis["p"], ["secao", "lula_por_aptos"], limit=3).collect()
     shares = [r["lula_por_aptos"] for r in rows]
     assert shares == sorted(shares, reverse=True) and len(rows) <= 3
+
+
+def test_exports(spark, analysis):
+    store = StageStore(spark)
+    election.export(analysis, store, files=3)
+    n = len(fixtures.SECTIONS)
+    assert store.read("vm_sorted").count() == store.read("p_by_cluster").count() == n
+    assert spark.read.options(header=True, sep=";").csv(store.path("vm_csv")).count() == n
+
+
+def test_stored_reports(spark, analysis):
+    store = StageStore(spark)
+    p = store.write("p", analysis["p"])
+    assert len(reports.write_reports(p, analysis["vm"], store, variant="V")) == 23 + 12 + 3 * 12
+    assert store.read("cmp_09").count() > 1 and store.read("plot_0_regiao_cells").columns[0] == "regiao"
