@@ -75,7 +75,8 @@ def standard_scale(df: DataFrame, features: Sequence[str], keep: Sequence[str],
 def arrange(df: DataFrame, key: Sequence[str], partitions: int | None = None) -> DataFrame:
     """Fix the partitioning and row order by key, on which EM's starting points depend.
 
-    With a unique key the same rows then always give the same model.
+    With a unique key the same rows then give the same model, up to the order in
+    which the partial sums of tasks are added.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *key).sortWithinPartitions(*key)

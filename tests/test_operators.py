@@ -227,7 +227,9 @@ def test_mixture_finds_blobs_and_reloads(spark, tmp_path):
 def test_mixture_is_the_same_for_any_input_partitioning(spark):
     df = blobs(spark)
     fits = [fit_mixture(df.repartition(n), ["x", "y"], ["id"], k=3, partitions=4, max_iter=10) for n in (1, 7)]
-    assert fits[0].log_likelihood == fits[1].log_likelihood
+    # partial sums of tasks merge in the order the tasks end, so the last digits may differ
+    assert fits[0].log_likelihood == pytest.approx(fits[1].log_likelihood, rel=1e-9)
+    assert rows(fits[0].assign(df).select("id", "prediction")) == rows(fits[1].assign(df).select("id", "prediction"))
 
 
 def test_scaling_keeps_the_groups(spark):
