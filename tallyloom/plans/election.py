@@ -37,7 +37,6 @@ from ..operators import (
     MixtureFit,
     conditional_sum_by_key,
     enrich_detail,
-    fanout_audit,
     fit_mixture,
     label_mask,
     left_join_default,
@@ -48,7 +47,6 @@ from ..operators import (
     tally_ratios,
     winner_flags,
 )
-from ..operators.joins import FanoutError
 from ..sources import StageStore, read_delimited, write_delimited, write_partitioned, write_sorted
 
 # Machine number ranges and the model year of each.
@@ -296,9 +294,15 @@ def detail(b: DataFrame, r: DataFrame, m: DataFrame, unmatched: str = "one") ->
     )
 
 
-def _audit(df: DataFrame, keys: list[str], side: str) -> None:
-    if not fanout_audit(df.select(*keys), keys).isEmpty():
-        raise FanoutError(f"{side}: several rows for one value of {keys}")
+def _copies(fanout: str, side: str) -> Column:
+    """Aggregate: how often a key's rows count; evaluated with the fold, so no audit pass is needed."""
+    n = F.count(F.lit(1))
+    if fanout == "dedupe":
+        return F.lit(1).cast("bigint")
+    if fanout == "allow":
+        return n
+    message = F.lit(f"{side}: several rows for one key; choose fanout 'dedupe' or 'allow'")
+    return F.when(n == 1, n).otherwise(F.raise_error(message).cast("bigint"))
 
 
 def sections(
@@ -312,17 +316,13 @@ def sections(
 ) -> DataFrame:
     """One wide row per section that has a result row for at least one of its votables.
 
-    ``fanout`` is what repeated result or machine rows do: ``error`` raises,
-    ``dedupe`` counts each bulletin row once, ``allow`` multiplies the sums.
+    ``fanout`` is what repeated result or machine rows do: ``error`` fails the
+    job that reads the sums, ``dedupe`` counts each bulletin row once, ``allow``
+    multiplies the sums.
     """
     if fanout not in ("error", "dedupe", "allow"):
         raise ValueError("fanout must be 'error', 'dedupe' or 'allow'")
     votable = ["urna_id", "NR_VOTAVEL"]
-    if fanout == "error":
-        _audit(r, votable, "results")
-        _audit(m, ["urna_id"], "machines")
-    times = F.lit(1).cast("bigint") if fanout == "dedupe" else F.count(F.lit(1))
-
     per_votable = b.groupBy(*votable).agg(
         row_pick(SECTION_ATTRIBUTES, "_section"),
         F.sum("QT_VOTOS").alias("_votes"),
@@ -330,8 +330,8 @@ def sections(
         F.max(late_expr("dh_emissao_bu", late_rules(faithful))).alias("_late"),
         *[F.max(c).alias(n) for n, c in LATEST.items()],
     )
-    places = r.groupBy(*votable).agg(row_pick(PLACE_ATTRIBUTES, "_place"), times.alias("_n_results"))
-    units = m.groupBy("urna_id").agg(row_pick(MACHINE_ATTRIBUTES, "_machine"), times.alias("_n_machines"))
+    places = r.groupBy(*votable).agg(row_pick(PLACE_ATTRIBUTES, "_place"), _copies(fanout, "results").alias("_n_results"))
+    units = m.groupBy("urna_id").agg(row_pick(MACHINE_ATTRIBUTES, "_machine"), _copies(fanout, "machines").alias("_n_machines"))
 
     folded = (
         per_votable.join(places, votable, "inner")

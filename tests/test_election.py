@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 import fixtures
-from tallyloom.operators import FanoutError
 from tallyloom.plans import election, reports
 from tallyloom.sources import StageStore
 
@@ -97,8 +96,11 @@ def test_late(sources, faithful):
 
 
 def test_repeats_are_reported(repeated):
-    with pytest.raises(FanoutError):
-        election.sections(*prepared(repeated))
+    b, r, m = prepared(repeated)
+    with pytest.raises(Exception, match="results: several rows"):
+        election.sections(b, r, m.dropDuplicates(["urna_id"])).collect()
+    with pytest.raises(Exception, match="machines: several rows"):
+        election.sections(b, r.dropDuplicates(["urna_id", "NR_VOTAVEL"]), m).collect()
 
 
 def test_repeats_multiply_or_not(repeated, sources):
