@@ -442,7 +442,10 @@ def run(
         fanout,
         faithful,
     )
-    vm = store.write("vm", with_zone_workers(wide, zone_workers(sources["workers"])))
+    # Stored, the zones have a known size: up to the threshold they are broadcast, and
+    # the wide sections are not shuffled once more.
+    zones = store.write("zones", zone_workers(sources["workers"]))
+    vm = store.write("vm", with_zone_workers(wide, zones))
     fit, labelled = cluster(vm, variant, **mixture_changes)
     return {"vm": vm, "p": store.write("p", labelled), "fit": fit}
 

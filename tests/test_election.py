@@ -239,3 +239,11 @@ def test_stored_reports(spark, analysis):
     p = store.write("p", analysis["p"])
     assert len(reports.write_reports(p, analysis["vm"], store, variant="V")) == 23 + 12 + 3 * 12
     assert store.read("cmp_09").count() > 1 and store.read("plot_0_regiao_cells").columns[0] == "regiao"
+
+
+def test_stored_zones_are_broadcast(spark, sources):
+    store = StageStore(spark)
+    wide = store.write("wide", election.sections(*prepared(sources)))
+    zones = store.write("zones", election.zone_workers(sources["workers"]))
+    plan = election.with_zone_workers(wide, zones)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
