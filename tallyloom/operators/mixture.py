@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
-from math import log
+from math import ceil, log
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel
@@ -72,14 +72,23 @@ def standard_scale(df: DataFrame, features: Sequence[str], keep: Sequence[str],
     return scaled.select(*keep, *[values[i].alias(f"{f}_scaled") for i, f in enumerate(features)])
 
 
+# Rows per partition: below the first the work of a partition is not worth a task,
+# and the second keeps cached vectors of a partition well within memory.
+MIN_ROWS, MAX_ROWS = 10_000, 1_000_000
+
+
 def arrange(df: DataFrame, key: Sequence[str], partitions: int | None = None) -> DataFrame:
     """Fix the partitioning and row order by key, on which EM's starting points depend.
 
     With a unique key the same rows then give the same model, up to the order in
-    which the partial sums of tasks are added.
+    which the partial sums of tasks are added. The number of partitions follows
+    from the number of rows if it is not given.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *key).sortWithinPartitions(*key)
+    if partitions is None:
+        rows = df.count()
+        usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        partitions = max(1, ceil(rows / MAX_ROWS), min(usual, ceil(rows / MIN_ROWS)))
+    return df.repartition(partitions, *key).sortWithinPartitions(*key)
 
 
 @contextmanager
