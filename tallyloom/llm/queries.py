@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, jaccard_groups, packing, pfor, storage
+from tallyloom.llm import decontaminate, hyperlang, jaccard_groups, packing, pfor, storage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,3 +82,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_token_group_join")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups.link_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op10_hyperdimensional_language")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperlang.identify(table(spark, sf_dir, "documents"))
