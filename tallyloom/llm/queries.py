@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, hyperlang, jaccard_groups, packing, pfor, storage
+from tallyloom.llm import decontaminate, hyperlang, jaccard_groups, packing, pfor, storage, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,3 +87,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_hyperdimensional_language")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperlang.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op8_class_kneser_ney")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
