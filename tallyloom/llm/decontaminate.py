@@ -190,3 +190,10 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, sh
             F.col("n_hit").isNotNull().alias("contaminated"),
         )
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFrame:
+    """``docs`` without documents that contain a window of the benchmark; a ``doc_id`` goes with all its rows."""
+    found = find_passages(docs, benchmark, window=window).where("contaminated")
+    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")

@@ -123,9 +123,18 @@ def prototypes(texts: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.n
     return {r["lang"]: np.array(r["vector"]) for r in sorted(rows, key=lambda r: r["lang"])}
 
 
-def nearest(texts: DataFrame, profiles: dict[str, np.ndarray], dimensions: int = DIMENSIONS) -> DataFrame:
-    """(key columns, text) with the text replaced by ``lang_pred`` and ``score``, the cosine, 0 at least."""
+def nearest(
+    texts: DataFrame,
+    profiles: dict[str, np.ndarray],
+    dimensions: int = DIMENSIONS,
+    *,
+    keep_text: bool = False,
+    names_out: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """(key columns, text) with the text replaced or followed by the nearest language and the cosine, 0 at least."""
     keys = texts.columns[:-1]
+    kept = len(keys) + keep_text
+    columns_out = [*texts.columns[:kept], *names_out]
     names = list(profiles)
     unit = np.array([v / (np.linalg.norm(v) or 1.0) for v in profiles.values()]).reshape(-1, dimensions).T
 
@@ -153,10 +162,11 @@ def nearest(texts: DataFrame, profiles: dict[str, np.ndarray], dimensions: int =
                 found[rows] = np.where(has, best, -1)
                 scores[rows] = np.where(has, np.clip(cosines[np.arange(len(part)), best], 0.0, 1.0), 0.0)
             langs = pa.array([names[k] if k >= 0 else UNKNOWN for k in found.tolist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], langs, pa.array(scores)], [*keys, "lang_pred", "score"])
+            columns = [*batch.columns[:kept], langs, pa.array(scores)]
+            yield pa.RecordBatch.from_arrays(columns, columns_out)
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1]]
-    return texts.mapInArrow(judge, ", ".join([*kinds, "lang_pred string", "score double"]))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:kept]]
+    return texts.mapInArrow(judge, ", ".join([*kinds, f"`{names_out[0]}` string", f"`{names_out[1]}` double"]))
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5):
@@ -174,3 +184,20 @@ def identify(docs: DataFrame, *, dimensions: int = DIMENSIONS, folds: int = 5) -
     storage.prepare(docs.sparkSession)
     profiles = prototypes(docs.where(~held_out(folds=folds)).select("text", "lang"), dimensions)
     return nearest(docs.select("doc_id", held_out(folds=folds).alias("held_out"), "text"), profiles, dimensions)
+
+
+def keep_known(docs: DataFrame, *, least: float = 0.05, dimensions: int = DIMENSIONS, folds: int = 5) -> DataFrame:
+    """``docs`` without rows whose text has no letter or is nearer than ``least`` to no language; row by row.
+
+    A NULL ``lang`` becomes the language found. Where nothing could be learned, only texts without a letter go.
+    """
+    storage.prepare(docs.sparkSession)
+    profiles = prototypes(docs.where(~held_out(folds=folds)).select("text", "lang"), dimensions)
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    found = nearest(docs.select(*others, "text"), profiles, dimensions, keep_text=True, names_out=("_found", "_near"))
+    if not profiles:
+        found = found.where(F.col("text").rlike(r"\p{L}"))
+    else:
+        found = found.where((F.col("_found") != UNKNOWN) & (F.col("_near") >= least))
+        found = found.withColumn("lang", F.coalesce("lang", "_found"))
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -326,3 +326,17 @@ def link_documents(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFra
         .join(named, "name", "left")
         .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     )
+
+
+def keep_one(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFrame:
+    """``docs`` with one document of each class of linked documents: the one with the least ``doc_id``.
+
+    Of rows with equal ``doc_id`` and text one stays. Rows without ``doc_id`` cannot be named as copies, and stay.
+    """
+    gone = link_documents(docs, n=n, percent=percent).where("doc_id <> component_id").select("doc_id").distinct()
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
+    kept = kept.groupBy("doc_id", "text").agg(F.first(F.struct(*(F.col(f"`{c}`") for c in others))).alias("_rest"))
+    kept = kept.select("doc_id", "text", "_rest.*") if others else kept.select("doc_id", "text")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.select(*columns).unionAll(docs.where("doc_id is null").select(*columns))
