@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, hyperlang, jaccard_groups, packing, pfor, pii, quality_rules, storage, toxicity
+from tallyloom.llm import (
+    decontaminate,
+    hyperlang,
+    jaccard_groups,
+    license_scan,
+    packing,
+    pfor,
+    pii,
+    quality_rules,
+    storage,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -104,3 +115,56 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_ngram_likelihood_rules")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _op2_sql() -> str:
+    quoted = [(name, text.replace("'", "''")) for name, text in license_scan.TEMPLATES]
+    templates = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(quoted))
+
+    def terms(text: str) -> str:
+        low = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        return f"regexp_extract_all({low}, '[a-z0-9]+')"
+
+    return f"""
+WITH templates(k, name, text) AS (VALUES {templates}),
+t_terms AS (SELECT k, name, unnest({terms('text')}) AS term FROM templates),
+files AS (SELECT doc_id, '/' || source || '/' || lang AS dir, text, {terms("coalesce(text, '')")} AS w FROM documents),
+total AS (SELECT count(*) AS n FROM files),
+df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(w) AS term FROM files) GROUP BY term),
+vocabulary AS (SELECT DISTINCT term FROM t_terms),
+idf AS (SELECT term, ln(((SELECT n FROM total) + 1) / (coalesce(df, 0) + 1)) + 1 AS idf
+    FROM vocabulary LEFT JOIN df USING (term)),
+t_weights AS (SELECT k, name, term, count(*) * max(idf) AS v FROM t_terms JOIN idf USING (term) GROUP BY ALL),
+t_norms AS (SELECT k, sqrt(sum(v * v)) AS norm FROM t_weights GROUP BY k),
+units AS (
+    SELECT doc_id, line, {terms('unit')} AS w FROM (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, generate_subscripts(string_split(text, chr(10)), 1) AS line
+        FROM files WHERE text IS NOT NULL)
+    UNION ALL SELECT doc_id, -1, w FROM files),
+u_terms AS (SELECT doc_id, line, term, count(*) AS tf FROM (SELECT doc_id, line, unnest(w) AS term FROM units) GROUP BY ALL),
+u_weights AS (SELECT doc_id, line, term, tf * coalesce(idf, ln((SELECT n FROM total) + 1) + 1) AS v
+    FROM u_terms LEFT JOIN idf USING (term)),
+u_norms AS (SELECT doc_id, line, sum(v * v) AS norm FROM u_weights GROUP BY ALL),
+near AS (SELECT doc_id, line, name, round(sum(u.v * t.v / t_norms.norm) / sqrt(max(u_norms.norm)), 9) AS cosine
+    FROM u_weights u JOIN t_weights t USING (term) JOIN t_norms USING (k) JOIN u_norms USING (doc_id, line)
+    GROUP BY doc_id, line, k, name HAVING cosine >= 0.8),
+best AS (SELECT doc_id, line, min({{'c': -cosine, 'name': name}}) AS best FROM near GROUP BY ALL),
+own AS (SELECT doc_id, min(best) AS best, count(*) FILTER (line >= 1) AS n_lines,
+    coalesce(sum(len(w)) FILTER (line >= 1), 0) AS n_matched FROM best JOIN units USING (doc_id, line) GROUP BY doc_id),
+given AS (SELECT dir, min(best) AS given FROM own JOIN files USING (doc_id) WHERE n_matched >= 0.5 * len(w) GROUP BY dir),
+parents AS (SELECT DISTINCT dir, unnest([dir, regexp_replace(dir, '/[^/]*$', '')]) AS up FROM files),
+nearest AS (SELECT p.dir, arg_max(up, length(up)) AS up, arg_max(given, length(up)) AS given
+    FROM parents p JOIN given g ON g.dir = p.up GROUP BY p.dir)
+SELECT doc_id, coalesce(own.best.name, nearest.given.name) AS licence,
+    coalesce(-own.best.c, -nearest.given.c) AS similarity, coalesce(n_lines, 0) AS n_lines,
+    own.best IS NOT NULL AS own, CASE WHEN own.best IS NULL THEN up END AS inherited_from
+FROM files LEFT JOIN own USING (doc_id) LEFT JOIN nearest USING (dir)
+"""
+
+
+@query("op2_licence_inheritance", _op2_sql())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"))
+    found = license_scan.scan(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text"))
+    return found.withColumnRenamed("file_id", "doc_id")
