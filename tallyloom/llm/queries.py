@@ -13,6 +13,7 @@ from tallyloom.llm import (
     jaccard_groups,
     license_scan,
     packing,
+    perplexity,
     pfor,
     pii,
     quality_rules,
@@ -168,3 +169,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"))
     found = license_scan.scan(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text"))
     return found.withColumnRenamed("file_id", "doc_id")
+
+
+@query("op5_kneser_ney_perplexity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
