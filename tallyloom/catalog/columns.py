@@ -242,4 +242,4 @@ def q_null_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First hundred orders without a shipping time."""
     shipped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("last_shipped"))
     rows = table(spark, sf_dir, "orders").join(shipped, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return null_audit(rows, "last_shipped", ["o_orderkey", "o_custkey", "o_orderstatus"], ["o_orderkey"])
+    return null_audit(rows, "last_shipped", ["o_orderkey", "o_custkey", "o_orderstatus"], ["o_orderkey"], limit=100)

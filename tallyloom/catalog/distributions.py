@@ -29,9 +29,16 @@ def hash_sample_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"], 1.0)
 
 
-@query("bernoulli_sample")
+@query("bernoulli_sample", "SELECT COUNT(*) AS n_orders, 1 AS within_five_sigma, CAST(0 AS BIGINT) AS n_strangers FROM orders")
 def q_bernoulli_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bernoulli_sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), 0.1)
+    """What holds for any sample: its rows are orders, each once at most, and about a tenth of them."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    drawn = bernoulli_sample(orders, 0.1).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("drawn"))
+    both = orders.withColumn("known", F.lit(1)).join(drawn, "o_orderkey", "full")
+    n, k = F.count("known"), F.sum(F.coalesce("drawn", F.lit(0)))
+    near = F.abs(k - 0.1 * n) <= 5 * F.sqrt(0.1 * 0.9 * n)
+    strangers = F.count(F.when(F.col("known").isNull() | (F.col("drawn") > 1), 1))
+    return both.agg(n.alias("n_orders"), near.cast("int").alias("within_five_sigma"), strangers.alias("n_strangers"))
 
 
 @query(

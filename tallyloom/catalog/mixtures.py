@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import floor_positive_columns
@@ -26,7 +29,7 @@ from .registry import query
 
 FLOORED = {"a_share": "a_feature", "r_share": "r_feature", "n_share": "n_feature"}
 FEATURES = [*FLOORED.values(), "quantity"]
-ITERATIONS = 15
+K = 4
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +45,7 @@ def _stage(spark: SparkSession, sf_dir: str) -> tuple[StageStore, DataFrame]:
 
 def _fit(spark: SparkSession, sf_dir: str) -> tuple[StageStore, DataFrame, MixtureFit]:
     store, rows = _stage(spark, sf_dir)
-    return store, rows, fit_mixture(rows, FEATURES, ["order_id"], k=4, max_iter=ITERATIONS)
+    return store, rows, fit_mixture(rows, FEATURES, ["order_id"], k=K)
 
 
 _FEATURES_SQL = """feat AS (
@@ -79,13 +82,35 @@ def q_standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled.select("order_id", *[F.round(f"{f}_scaled", 9).alias(f"{f}_scaled") for f in FEATURES])
 
 
-@query("mixture_fit")
+def _log_density(fit: MixtureFit, values: Column, component: int) -> Column:
+    """Log of weight times density of one component, from its parameters."""
+    gaussian = fit.model.gaussians[component]
+    mean, covariance = gaussian.mean.toArray(), gaussian.cov.toArray()
+    inverse, (_, log_det) = np.linalg.inv(covariance), np.linalg.slogdet(covariance)
+    away = [F.get(values, i) - F.lit(float(m)) for i, m in enumerate(mean)]
+    square = reduce(
+        Column.__add__,
+        [F.lit(float(inverse[i, j])) * x * y for i, x in enumerate(away) for j, y in enumerate(away)],
+    )
+    return F.lit(float(np.log(fit.model.weights[component]) - log_det / 2)) - square / 2
+
+
+@query(
+    "mixture_fit",
+    with_sections("SELECT order_id, 1 AS label_in_range, 1 AS most_probable, 1 AS label_recomputed FROM sec"),
+)
 def mixture_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every section with what holds for its label, which is also recomputed from weights, means and covariances."""
     _, rows, fit = _fit(spark, sf_dir)
     labelled = fit.assign(rows)
-    return labelled.select(
-        "order_id", "prediction", F.round(F.array_max(vector_to_array("probability")), 6).alias("membership")
-    )
+    values = vector_to_array("features")
+    densities = F.array(*[_log_density(fit, values, c) for c in range(K)])
+    checks = {
+        "label_in_range": F.col("prediction").between(0, K - 1),
+        "most_probable": F.array_max(vector_to_array("probability")) >= 1 / K - 1e-9,
+        "label_recomputed": F.get(densities, F.col("prediction")) >= F.array_max(densities) - 1e-6,
+    }
+    return labelled.select("order_id", *[check.cast("int").alias(name) for name, check in checks.items()])
 
 
 @query(
@@ -114,30 +139,59 @@ def mixture_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("mixture_sizes")
-def q_mixture_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, rows, fit = _fit(spark, sf_dir)
-    return mixture_sizes(fit.assign(rows))
+def _checked_sizes(sizes: DataFrame) -> DataFrame:
+    inside = F.sum(F.when(F.col("prediction").between(0, K - 1), 0).otherwise(1))
+    return sizes.agg(F.sum("n_rows").alias("n_rows"), inside.alias("n_groups_out_of_range"))
 
 
-@query("mixture_summary")
-def q_mixture_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, fit = _fit(spark, sf_dir)
-    return mixture_summary(spark, [fit])
+_SIZES_SQL = with_sections("SELECT COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS n_groups_out_of_range FROM sec")
 
 
-@query("mixture_scaled_fit")
+@query("mixture_sizes", _SIZES_SQL)
+def q_mixture_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, rows, fit = _fit(spark, sf_dir)
+    return _checked_sizes(mixture_sizes(fit.assign(rows)))
+
+
+@query("mixture_scaled_fit", _SIZES_SQL)
 def mixture_scaled_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The variant that fits scaled features."""
     _, rows = _stage(spark, sf_dir)
-    fit = fit_mixture(rows, FEATURES, ["order_id"], k=4, max_iter=ITERATIONS, seed=12345, scaled=True)
-    return mixture_sizes(fit.assign(rows))
+    fit = fit_mixture(rows, FEATURES, ["order_id"], k=K, seed=12345, scaled=True)
+    return _checked_sizes(mixture_sizes(fit.assign(rows)))
+
+
+def _checked_summary(summary: DataFrame) -> DataFrame:
+    """The figures that are certain, and whether the others fit them."""
+    k, d = F.col("k"), F.col("n_features")
+    parameters = (k - 1) + k * d + k * d * (d + 1) / 2
+    expected = -2 * F.col("log_likelihood") + parameters * F.log(F.col("n_rows"))
+    return summary.select(
+        "k",
+        "n_features",
+        "n_rows",
+        (F.abs(F.col("bic") - expected) <= 1e-9 * F.abs(expected)).cast("int").alias("bic_fits"),
+        F.col("iterations").between(1, 100).cast("int").alias("iterations_fit"),
+    )
+
+
+def _summary_sql(ks: str) -> str:
+    return with_sections(
+        f"""SELECT CAST(k AS INTEGER) AS k, CAST({len(FEATURES)} AS INTEGER) AS n_features, COUNT(*) AS n_rows, 1 AS bic_fits,
+            1 AS iterations_fit FROM sec, {ks} AS ks(k) GROUP BY k"""
+    )
+
+
+@query("mixture_summary", _summary_sql(f"range({K}, {K + 1})"))
+def q_mixture_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, fit = _fit(spark, sf_dir)
+    return _checked_summary(mixture_summary(spark, [fit]))
 
 
-@query("mixture_k_sweep")
+@query("mixture_k_sweep", _summary_sql("range(2, 11)"))
 def mixture_k_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows = _stage(spark, sf_dir)
-    return mixture_summary(spark, k_sweep(rows, FEATURES, ["order_id"], ks=range(2, 5), max_iter=10))
+    return _checked_summary(mixture_summary(spark, k_sweep(rows, FEATURES, ["order_id"])))
 
 
 @query(

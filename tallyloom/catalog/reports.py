@@ -109,7 +109,9 @@ def _crossed(rows: str, columns: str) -> str:
     cells = ", ".join(
         f"CAST(SUM(CASE WHEN {columns} = {v} THEN 1 ELSE 0 END) AS BIGINT) AS {columns}_{v}" for v in _VALUES[columns]
     )
-    return with_sections(f"SELECT {rows}, {cells} FROM sec GROUP BY {rows}")
+    stated = ", ".join(map(str, _VALUES[columns]))
+    other = f"CAST(SUM(CASE WHEN {columns} IN ({stated}) THEN 0 ELSE 1 END) AS BIGINT) AS {columns}_other"
+    return with_sections(f"SELECT {rows}, {cells}, {other} FROM sec GROUP BY {rows}")
 
 
 def _crosstab(name: str):
@@ -252,10 +254,11 @@ def q_crosstab_long(spark: SparkSession, sf_dir: str) -> DataFrame:
                  FROM orders JOIN customer ON c_custkey = o_custkey)
        SELECT segment, CAST(SUM(CASE WHEN status = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS status_F,
               CAST(SUM(CASE WHEN status = 'P' THEN 1 ELSE 0 END) AS BIGINT) AS status_P,
-              CAST(SUM(CASE WHEN status IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS status_null FROM t GROUP BY segment""",
+              CAST(SUM(CASE WHEN status IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS status_null,
+              CAST(SUM(CASE WHEN status NOT IN ('F', 'P') THEN 1 ELSE 0 END) AS BIGINT) AS status_other FROM t GROUP BY segment""",
 )
 def q_crosstab_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Column values read from the data; NULL rows and columns have their own cells."""
+    """NULL rows and columns have their own cells, and any other value the last one."""
     customer = table(spark, sf_dir, "customer")
     rows = (
         table(spark, sf_dir, "orders")
@@ -265,14 +268,15 @@ def q_crosstab_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.nullif(F.col("o_orderstatus"), F.lit("O")).alias("status"),
         )
     )
-    return crosstab_wide(rows, "segment", "status")
+    return crosstab_wide(rows, "segment", "status", ["F", "P", None])
 
 
 @query(
     "crosstab_ordered",
     """SELECT l_linenumber, CAST(SUM(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS BIGINT) AS flag_A,
               CAST(SUM(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS BIGINT) AS flag_N,
-              CAST(SUM(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS flag_R
+              CAST(SUM(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS flag_R,
+              CAST(SUM(CASE WHEN l_returnflag IN ('A', 'N', 'R') THEN 0 ELSE 1 END) AS BIGINT) AS flag_other
        FROM lineitem GROUP BY l_linenumber ORDER BY l_linenumber""",
 )
 def q_crosstab_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,13 +291,13 @@ _TOP = "order_id, nation, region, segment, a_votes, r_votes, n_votes, eligible,
     "top_n_filtered",
     with_sections(
         f"""SELECT {_TOP} FROM sec WHERE a_share BETWEEN 0.0 AND 1.0 AND prediction <> 3 AND model_2020 = 0
-            ORDER BY a_share DESC, order_id LIMIT 1000"""
+            ORDER BY a_share DESC, order_id LIMIT 100000"""
     ),
 )
 def top_n_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over a stored section table: the values are read once for the bins and once for the rows."""
     sec = StageStore(spark).write("sections", standin.sections(spark, sf_dir))
-    return reports.top_shares(sec, _TOP.split(", "), NAMES, limit=1000)
+    return reports.top_shares(sec, _TOP.split(", "), NAMES)
 
 
 @query(

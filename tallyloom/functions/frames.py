@@ -33,8 +33,8 @@ def floor_positive_columns(df: DataFrame, renamed: dict[str, str], floor: float
 
 
 def null_audit(
-    df: DataFrame, column: str, show: Sequence[str], order: Sequence[str], limit: int | None = 100
+    df: DataFrame, column: str, show: Sequence[str], order: Sequence[str], limit: int | None = None
 ) -> DataFrame:
-    """Rows where ``column`` is NULL, first ``limit`` in a stated order (all with ``None``)."""
+    """Rows where ``column`` is NULL; with ``limit`` the first so many in a stated order."""
     hits = df.where(F.col(column).isNull()).select(*show)
     return hits.orderBy(*order).limit(limit) if limit is not None else hits

@@ -1,7 +1,7 @@
 """Operators: each takes DataFrames and returns a DataFrame."""
 
 from .compare import compare_by, having_mixed_groups, relative_difference, share_by, sum_pair_by_group
-from .crosstab import crosstab_long, crosstab_values, crosstab_wide
+from .crosstab import crosstab_long, crosstab_wide
 from .density import density_grid, density_levels, iso_proportions, joint_distribution, marginal_histogram
 from .joins import (
     FanoutError,

@@ -3,55 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_COLUMNS = 1000
-
 
 def crosstab_long(df: DataFrame, rows: str, columns: str, name: str = "n") -> DataFrame:
     """One row per pair of values that occurs, with its count; any cardinality."""
     return df.groupBy(rows, columns).agg(F.count(F.lit(1)).alias(name))
 
 
-def crosstab_values(df: DataFrame, column: str, max_values: int = MAX_COLUMNS) -> list:
-    """The distinct values that become columns, sorted, NULL last.
-
-    Only ``max_values`` + 1 values ever reach the driver; more than
-    ``max_values`` is an error, and ``crosstab_long`` is the form to use then.
-    """
-    found = [r[0] for r in df.select(column).distinct().limit(max_values + 1).collect()]
-    if len(found) > max_values:
-        raise ValueError(f"{column} has more than {max_values} values; use crosstab_long")
-    return sorted(v for v in found if v is not None) + [v for v in found if v is None]
-
-
 def crosstab_wide(
     df: DataFrame,
     rows: str,
     columns: str,
-    values: Sequence | None = None,
+    values: Sequence,
     prefix: str | None = None,
-    max_values: int = MAX_COLUMNS,
     ordered: bool = False,
 ) -> DataFrame:
-    """One row per value of ``rows``, one count column per value of ``columns``.
-
-    Column names are ``prefix`` (by default ``<columns>_``) and the value, or
-    ``null``. Given ``values`` the plan is lazy and other values are not shown;
-    without, they are read first. The row key keeps its type, so ``ordered``
-    sorts numbers as numbers. Pairs are counted before they are spread, so the
-    wide step sees at most one row per pair.
+    """One row per value of ``rows``, one count column per stated value of ``columns`` and one for all others.
+
+    Column names are ``prefix`` (by default ``<columns>_``) and the value,
+    ``null`` or ``other``; NULL counts as another value unless it is stated, so
+    the cells of a row add up to its rows. Open domains are for
+    ``crosstab_long``. The row key keeps its type, so ``ordered`` sorts numbers
+    as numbers. Pairs are counted before they are spread, so the wide step sees
+    at most one row per pair.
     """
-    if values is None:
-        values = crosstab_values(df, columns, max_values)
     prefix = f"{columns}_" if prefix is None else prefix
-    cells = [
-        F.sum(F.when(F.col(columns).eqNullSafe(F.lit(v)), F.col("n")).otherwise(0)).alias(
-            prefix + ("null" if v is None else str(v))
-        )
-        for v in values
-    ]
+    hits = {prefix + ("null" if v is None else str(v)): F.col(columns).eqNullSafe(F.lit(v)) for v in values}
+    stated = reduce(Column.__or__, hits.values(), F.lit(False))
+    cells = [F.sum(F.when(hit, F.col("n")).otherwise(0)).alias(name) for name, hit in hits.items()]
+    cells.append(F.sum(F.when(stated, 0).otherwise(F.col("n"))).alias(f"{prefix}other"))
     out = crosstab_long(df, rows, columns).groupBy(rows).agg(*cells)
     return out.orderBy(F.asc_nulls_last(rows)) if ordered else out

@@ -57,7 +57,17 @@ def join_inner(left: DataFrame, right: DataFrame, on: Sequence[str], duplicates:
 
 
 def join_left(left: DataFrame, right: DataFrame, on: Sequence[str], duplicates: str = "allow") -> DataFrame:
-    return left.join(unique_side(right, on, duplicates), list(on), "left")
+    """Left outer join that survives a hot key on either side.
+
+    AQE never splits the right side of a left outer join, so a right side that
+    may repeat a key is joined inner, where both sides are split, and the left
+    rows without a partner are found by an anti join and added.
+    """
+    right = unique_side(right, on, duplicates)
+    if duplicates != "allow":
+        return left.join(right, list(on), "left")
+    lonely = left.join(right.select(*on).distinct(), list(on), "left_anti")
+    return left.join(right, list(on), "inner").unionAll(lonely.join(right.where(F.lit(False)), list(on), "left"))
 
 
 def enrich_detail(
@@ -90,11 +100,15 @@ def enrich_detail(
             for new, src in columns.items()
         ]
 
-    return (
-        b.join(m, on_match, "inner")
-        .join(x, on_extra, "left")
-        .select("base.*", *added(match_columns, "match"), *added(extra_columns, "extra"))
-    )
+    columns = ["base.*", *added(match_columns, "match"), *added(extra_columns, "extra")]
+    matched = b.join(m, on_match, "inner")
+    if duplicates != "allow":
+        return matched.join(x, on_extra, "left").select(*columns)
+    # As in join_left: the extra side may have a hot key.
+    keys = extra.select(*extra_on).distinct().alias("extra")
+    lonely = matched.join(keys, on_extra, "left_anti")
+    partners = matched.join(x, on_extra, "inner").select(*columns)
+    return partners.unionAll(lonely.join(extra.where(F.lit(False)).alias("extra"), on_extra, "left").select(*columns))
 
 
 def left_join_default(

@@ -10,13 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil, log
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import persisted
@@ -32,6 +33,7 @@ class MixtureFit:
     n_rows: int
     iterations: int
     log_likelihood: float
+    partitions: int
 
     @property
     def model(self) -> GaussianMixtureModel:
@@ -42,8 +44,21 @@ class MixtureFit:
         return bic(self.log_likelihood, self.k, self.n_features, self.n_rows)
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """``df`` with ``features``, ``probability`` and ``prediction``; also for rows not trained on."""
-        return self.pipeline.transform(df)
+        """Every row of ``df`` with ``features``, ``probability`` and ``prediction``; also rows not trained on.
+
+        A model fitted with ``invalid="skip"`` leaves the three NULL where a feature is NULL or NaN.
+        """
+        assembler = self.pipeline.stages[0]
+        if assembler.getHandleInvalid() != "skip":
+            return self.pipeline.transform(df)
+        whole = reduce(
+            Column.__and__,
+            [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in assembler.getInputCols()],
+        )
+        done = self.pipeline.transform(df.where(whole))
+        added = [f for f in done.schema.fields if f.name not in df.columns]
+        rest = df.where(~whole).withColumns({f.name: F.lit(None).cast(f.dataType) for f in added})
+        return done.unionByName(rest)
 
 
 def bic(log_likelihood: float, k: int, d: int, n: int) -> float:
@@ -72,22 +87,21 @@ def standard_scale(df: DataFrame, features: Sequence[str], keep: Sequence[str],
     return scaled.select(*keep, *[values[i].alias(f"{f}_scaled") for i, f in enumerate(features)])
 
 
-# Rows per partition: below the first the work of a partition is not worth a task,
-# and the second keeps cached vectors of a partition well within memory.
-MIN_ROWS, MAX_ROWS = 10_000, 1_000_000
+# Rows per partition: enough work for a task, and cached vectors well within memory.
+ROWS_PER_PARTITION = 20_000
 
 
-def arrange(df: DataFrame, key: Sequence[str], partitions: int | None = None) -> DataFrame:
+def arrange(
+    df: DataFrame, key: Sequence[str], partitions: int | None = None, rows_per_partition: int = ROWS_PER_PARTITION
+) -> DataFrame:
     """Fix the partitioning and row order by key, on which EM's starting points depend.
 
     With a unique key the same rows then give the same model, up to the order in
     which the partial sums of tasks are added. The number of partitions follows
-    from the number of rows if it is not given.
+    from the number of rows alone if it is not given, whatever the session says.
     """
     if partitions is None:
-        rows = df.count()
-        usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        partitions = max(1, ceil(rows / MAX_ROWS), min(usual, ceil(rows / MIN_ROWS)))
+        partitions = max(1, ceil(df.count() / rows_per_partition))
     return df.repartition(partitions, *key).sortWithinPartitions(*key)
 
 
@@ -138,6 +152,7 @@ def k_sweep(
                     n_rows=n_rows,
                     iterations=model.summary.numIter,
                     log_likelihood=model.summary.logLikelihood,
+                    partitions=vectors.rdd.getNumPartitions(),
                 )
             )
     return fits
@@ -154,10 +169,10 @@ def mixture_sizes(predictions: DataFrame, group: str = "prediction") -> DataFram
 
 def mixture_summary(spark: SparkSession, fits: Iterable[MixtureFit]) -> DataFrame:
     """One row of training figures per fit."""
-    rows = [(f.k, f.n_features, f.n_rows, f.iterations, f.log_likelihood, f.bic) for f in fits]
+    rows = [(f.k, f.n_features, f.n_rows, f.iterations, f.log_likelihood, f.bic, f.partitions) for f in fits]
     return spark.createDataFrame(
         rows,
-        "k int, n_features int, n_rows bigint, iterations int, log_likelihood double, bic double",
+        "k int, n_features int, n_rows bigint, iterations int, log_likelihood double, bic double, partitions int",
     )
 
 

@@ -11,8 +11,6 @@ from pyspark.sql import types as T
 
 from ..functions.derive import SENTINEL
 
-_PLAIN = 64
-
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(table_name, n_rows) for each table, in one job; a table without rows counts 0."""
@@ -23,48 +21,62 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-def _as_text(field: T.StructField) -> Column:
-    """A text that differs exactly when the value does; long ones are represented by a digest."""
+def _identity(field: T.StructField) -> list[Column]:
+    """Fixed-width columns that differ exactly when the value does: numbers themselves, a digest and the length else."""
     column, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return [column + F.lit(0.0).cast(kind)]  # -0.0 is 0.0
     if isinstance(kind, T.AtomicType) and not isinstance(kind, (T.StringType, T.BinaryType)):
-        return column.cast("string")
-    if isinstance(kind, T.BinaryType):
-        column = F.hex(column)
-    elif not isinstance(kind, T.StringType):
+        return [column]
+    if not isinstance(kind, (T.StringType, T.BinaryType)):
         column = F.to_json(column)
-    return F.when(F.octet_length(column) > _PLAIN, F.sha2(column, 256)).otherwise(column)
+    return [F.unhex(F.md5(column.cast("binary"))), F.octet_length(column)]
 
 
-def schema_profile(tables: Mapping[str, DataFrame] | DataFrame, sentinel: str = SENTINEL) -> DataFrame:
+def schema_profile(
+    tables: Mapping[str, DataFrame] | DataFrame, sentinel: str = SENTINEL, distinct: Sequence[str] | None = None
+) -> DataFrame:
     """Per column: type, rows, NULLs, sentinels and exact distinct values.
 
-    Cells are counted per (column number, value) first, in the map tasks, so a
-    value that fills a third of a column travels once per task; names and types
-    are added to the result. Tables without rows do not appear.
+    Rows, NULLs and sentinels of a table are one pass with fixed-width state.
+    Distinct values are counted column by column, each from its own column of
+    the source; ``distinct`` names the columns to count (all by default), the
+    others have NULL. A table without rows shows its columns with zeros.
     """
     if isinstance(tables, DataFrame):
         tables = {"table": tables}
-    described, parts = [], []
+    passes, counts = [], []
     for name, df in tables.items():
         fields = df.schema.fields
-        texts = F.array(*[_as_text(f) for f in fields])
-        cells = df.select(F.posexplode(texts).alias("position", "value"))
-        parts.append(cells.select((F.col("position") + len(described)).alias("no"), "value"))
-        described += [(name, i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)]
-    values = reduce(DataFrame.unionByName, parts).groupBy("no", "value").agg(F.count(F.lit(1)).alias("n"))
-    absent = F.col("value").isNull()
-    counts = values.groupBy("no").agg(
-        F.sum("n").alias("n_rows"),
-        F.sum(F.when(absent, F.col("n")).otherwise(0)).alias("n_nulls"),
-        F.sum(F.when(F.col("value") == sentinel, F.col("n")).otherwise(0)).alias("n_sentinels"),
-        F.count("value").alias("n_distinct"),
+        states = [F.count(F.lit(1)).alias("n_rows")]
+        for i, f in enumerate(fields):
+            states.append(F.count(F.col(f"`{f.name}`")).alias(f"v{i}"))
+            hit = F.col(f"`{f.name}`") == sentinel if isinstance(f.dataType, T.StringType) else F.lit(False)
+            states.append(F.count(F.when(hit, 1)).alias(f"s{i}"))
+        rows = [
+            F.struct(
+                F.lit(name).alias("table_name"),
+                F.lit(i).alias("position"),
+                F.lit(f.name).alias("column_name"),
+                F.lit(f.dataType.simpleString()).alias("column_type"),
+                F.col("n_rows"),
+                (F.col("n_rows") - F.col(f"v{i}")).alias("n_nulls"),
+                F.col(f"s{i}").alias("n_sentinels"),
+            )
+            for i, f in enumerate(fields)
+        ]
+        # One row per table becomes one per column.
+        passes.append(df.agg(*states).select(F.inline(F.array(*rows))))
+        for i, f in enumerate(fields):
+            if distinct is None or f.name in distinct:
+                n = df.agg(F.count_distinct(*_identity(f)).alias("n_distinct"))
+                counts.append(n.select(F.lit(name).alias("table_name"), F.lit(i).alias("position"), "n_distinct"))
+    out = reduce(DataFrame.unionByName, passes)
+    if not counts:
+        return out.withColumn("n_distinct", F.lit(None).cast("bigint"))
+    return out.join(reduce(DataFrame.unionByName, counts), ["table_name", "position"], "left").select(
+        *out.columns, "n_distinct"
     )
-    labels = ("table_name", "position", "column_name", "column_type")
-    named = {
-        label: F.element_at(F.array(*[F.lit(d[i]) for d in described]), F.col("no") + 1)
-        for i, label in enumerate(labels)
-    }
-    return counts.withColumns(named).select(*labels, "n_rows", "n_nulls", "n_sentinels", "n_distinct")
 
 
 def schema_differences(df: DataFrame, declared: T.StructType) -> list[str]:

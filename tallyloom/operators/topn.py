@@ -23,9 +23,12 @@ def top_n(
     Spark's own top-N sends up to ``n`` rows of *every* partition to one task,
     which is fine while ``n`` is small. For a large ``n`` over many partitions
     give ``bounds``, the expected range of ``by``: the values are first counted
-    in equal-width bins (values outside the range fall in the end bins), and only
-    rows of the bins that can reach the first ``n`` are sorted. The result is the
-    same with and without, and for any bounds.
+    in equal-width bins (values outside the range fall in the end bins, NaN in
+    the first), and only rows of bins that can reach the first ``n`` go on. Those
+    are range-partitioned by value and tie-break and ranked by the counts of the
+    partitions before them, so that neither a value that ties at the cut nor the
+    result passes one task. The result is the same with and without, for any
+    bounds; it needs ``tie_break`` to be a key.
     """
     if where is not None:
         df = df.where(where)
@@ -33,12 +36,23 @@ def top_n(
     if bounds is None:
         return df.orderBy(*order).limit(n)
     low, high = map(float, bounds)
-    scaled = F.floor((F.col(by).cast("double") - low) / F.lit(high - low) * F.lit(BINS))
-    bin_no = F.coalesce(F.least(F.greatest(scaled, F.lit(0)), F.lit(BINS - 1)), F.lit(-1)).cast("int")
+    value = F.col(by).cast("double")
+    scaled = F.floor((value - low) / F.lit(high - low) * F.lit(BINS))
+    inside = F.least(F.greatest(scaled, F.lit(0)), F.lit(BINS - 1))
+    bin_no = F.when(F.isnan(value), BINS).otherwise(F.coalesce(inside, F.lit(-1))).cast("int")
     counts = df.groupBy(bin_no.alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
     above = Window.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
     reach = counts.withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0)))
-    # At most BINS + 1 integers: bounded however large the input is.
+    # At most BINS + 2 integers: bounded however large the input is.
     kept = F.broadcast(reach.where(F.col("_above") < n).select("_bin"))
     rows = df.withColumn("_bin", bin_no).join(kept, "_bin", "left_semi").drop("_bin")
-    return rows.orderBy(*order).limit(n)
+
+    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    # One row per partition.
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    ranked = ranged.withColumn("_rank", local).join(F.broadcast(sizes), "_part")
+    chosen = ranked.where(F.col("_before") + F.col("_rank") <= n).select(*df.columns)
+    return chosen.orderBy(*order)

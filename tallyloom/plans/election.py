@@ -350,21 +350,6 @@ def sections(
     return _finish(wide.select("*", "_section.*", "_place.*", "_machine.*"), unmatched)
 
 
-def sections_from_detail(d: DataFrame, faithful: bool = False, unmatched: str = "one") -> DataFrame:
-    """The same wide table folded from the multiplied detail, for checks on small inputs."""
-    machine = {n: (f"_m{n}" if n.startswith("_") else n) for n in MACHINE_ATTRIBUTES}
-    wide = d.groupBy("urna_id").agg(
-        row_pick(SECTION_ATTRIBUTES, "_section"),
-        row_pick({n: n for n in PLACE_ATTRIBUTES}, "_place"),
-        row_pick(machine, "_machine"),
-        F.bit_or(label_mask("modelo", MODELS)).alias("_models"),
-        F.max(late_expr("dh_emissao_bu", late_rules(faithful))).alias("emissao_bu_pos_encerramento"),
-        *[F.max(c).alias(n) for n, c in LATEST.items()],
-        *tally_columns("NR_VOTAVEL", "QT_VOTOS", VOTABLES),
-    )
-    return _finish(wide.select("*", "_section.*", "_place.*", "_machine.*"), unmatched)
-
-
 def _finish(wide: DataFrame, unmatched: str) -> DataFrame:
     """What follows from the picked attributes, once per section."""
     times = {n: parse_timestamp(n) for n in ("_emissao", "_recebido", "_abertura", "_encerramento")}
@@ -453,6 +438,6 @@ def run(
 def export(analysis: Mapping[str, DataFrame | MixtureFit], store: StageStore, files: int = 20) -> None:
     """The stored results: sections in order of receipt, as text and per cluster, and the model."""
     write_sorted(analysis["vm"], store.path("vm_sorted"), ["dt_bu_recebido"], files)
-    write_delimited(analysis["vm"], store.path("vm_csv"), single_file=True)
+    write_delimited(analysis["vm"], store.path("vm_csv"))
     write_partitioned(analysis["p"], store.path("p_by_cluster"), ["prediction"])
     save_mixture(analysis["fit"], store.path("mixture"))

@@ -53,6 +53,7 @@ class Names:
     zone_labels: tuple[str, ...] = ("cidade", "uf", "zona")
     point: tuple[tuple[str, object], ...] = (("zona", "172"), ("cidade", "REGISTRO"), ("uf", "SP"))
     no_model: object = 1
+    models: tuple[int, ...] = (1, 2009, 2010, 2011, 2013, 2015, 2020)
     abroad: object = "ZZ"
     opening: str = "2022-10-30 08:00:00"
     early_opening: str = "2022-10-30 07:00:00"
@@ -129,15 +130,22 @@ def crosstab_pairs(n: Names = Names()) -> dict[str, tuple[str, str, bool]]:
     }
 
 
+def crosstab_values(n: Names = Names(), groups: int = 4) -> dict[str, list]:
+    """The values that become columns; all others are counted in the column ``other``."""
+    flags = dict.fromkeys((n.new_model, n.a_wins, n.b_wins), [0, 1])
+    return {n.group: list(range(groups)), n.model: list(n.models), **flags}
+
+
 def crosstabs(
     p: DataFrame, n: Names = Names(), values: Mapping[str, list] | None = None, wide: bool = True
 ) -> dict[str, Callable[[], DataFrame]]:
-    """The contingency tables. ``values`` gives the column values per column, if known beforehand."""
+    """The contingency tables. ``values`` replaces the column values of ``crosstab_values`` per column."""
+    stated = {**crosstab_values(n), **(values or {})}
 
     def table(rows, columns, ordered):
         if not wide:
             return lambda: crosstab_long(p, rows, columns)
-        return lambda: crosstab_wide(p, rows, columns, (values or {}).get(columns), ordered=ordered)
+        return lambda: crosstab_wide(p, rows, columns, stated[columns], ordered=ordered)
 
     return {name: table(*spec) for name, spec in crosstab_pairs(n).items()}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,8 +23,10 @@ def read_delimited(
     """Scan files or globs into ``schema``, without inferring types.
 
     ``by_name`` binds columns by the header, so files may hold more columns and
-    another order; only the header line is read ahead. Otherwise columns are
-    bound by position. A value that does not fit its declared type is NULL, and
+    another order. All files under one path have one layout: the header of one
+    is read ahead, and a file with another fails the job when it is read. Files
+    of several layouts are given as a list of paths, one or more per layout.
+    Otherwise columns are bound by position. A value that does not fit its declared type is NULL, and
     text columns keep their text: leading zeros, clock times and sentinels. With
     ``null_value`` a sentinel is read as NULL instead, which makes it the same
     as an absent value to everything downstream.
@@ -36,7 +40,12 @@ def read_delimited(
         reader = reader.option("recursiveFileLookup", True)
     if not by_name:
         return reader.schema(schema).csv(path)
-    text = reader.csv(path)
+    paths = [path] if isinstance(path, str) else path
+    parts = [_by_header(reader.option("enforceSchema", False).csv(p), p, schema) for p in paths]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _by_header(text: DataFrame, path: str, schema: T.StructType) -> DataFrame:
     missing = [f.name for f in schema.fields if f.name not in text.columns]
     if missing:
         raise ValueError(f"columns missing from {path}: {missing}")

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SINGLE_FILE_ROWS = 1_000_000
-
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
@@ -44,16 +42,7 @@ def write_delimited(
     path: str,
     sep: str = ";",
     encoding: str = "UTF-8",
-    single_file: bool = False,
-    max_single_rows: int = SINGLE_FILE_ROWS,
     mode: str = "overwrite",
 ) -> None:
-    """Delimited text with a header in each file.
-
-    One file means one task, so ``single_file`` is followed only for a result
-    counted to be no larger than ``max_single_rows``; beyond it the export is a
-    folder of part files, which readers take as one table.
-    """
-    if single_file and df.count() <= max_single_rows:
-        df = df.coalesce(1)
+    """Delimited text: a folder of part files with a header each, which readers take as one table."""
     df.write.mode(mode).options(header=True, sep=sep, encoding=encoding).csv(path)

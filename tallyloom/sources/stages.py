@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_local_roots: dict[str, str] = {}
-
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that all executors share: the one the session names in ``spark.checkpoint.dir``.
-
-    Only a local-mode session without that setting gets a folder of this machine.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="tallyloom-")
-    return _local_roots[app]
+    """Folder that all executors share: the one the session names in ``spark.checkpoint.dir``, else its warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return root.rstrip("/")
 
 
 class StageStore:
@@ -45,6 +32,12 @@ class StageStore:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def remove(self) -> None:
+        """Delete the stages; call it when nothing reads them any more."""
+        context = self.spark.sparkContext
+        root = context._jvm.org.apache.hadoop.fs.Path(self.root)
+        root.getFileSystem(context._jsc.hadoopConfiguration()).delete(root, True)
+
 
 def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])

@@ -112,11 +112,26 @@ def test_repeats_multiply_or_not(repeated, sources):
     assert allowed["1"]["aptos"] == 400 and allowed["2"]["lula"] == 90
 
 
+def sections_from_detail(d, faithful=False, unmatched="one"):
+    """The same wide table, folded from the multiplied detail."""
+    machine = {n: (f"_m{n}" if n.startswith("_") else n) for n in election.MACHINE_ATTRIBUTES}
+    wide = d.groupBy("urna_id").agg(
+        election.row_pick(election.SECTION_ATTRIBUTES, "_section"),
+        election.row_pick({n: n for n in election.PLACE_ATTRIBUTES}, "_place"),
+        election.row_pick(machine, "_machine"),
+        F.bit_or(election.label_mask("modelo", election.MODELS)).alias("_models"),
+        F.max(election.late_expr("dh_emissao_bu", election.late_rules(faithful))).alias("emissao_bu_pos_encerramento"),
+        *[F.max(c).alias(n) for n, c in election.LATEST.items()],
+        *election.tally_columns("NR_VOTAVEL", "QT_VOTOS", election.VOTABLES),
+    )
+    return election._finish(wide.select("*", "_section.*", "_place.*", "_machine.*"), unmatched)
+
+
 @pytest.mark.parametrize("repeats", [False, True])
 def test_fold_before_join_equals_fold_of_detail(sources, repeated, repeats):
     b, r, m = prepared(repeated if repeats else sources)
     before = election.sections(b, r, m, fanout="allow")
-    after = election.sections_from_detail(election.detail(b, r, m))
+    after = sections_from_detail(election.detail(b, r, m))
     key = lambda row: row["urna_id"]
     assert sorted(before.collect(), key=key) == sorted(after.collect(), key=key)
 

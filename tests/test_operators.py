@@ -18,7 +18,6 @@ from tallyloom.functions import (
 from tallyloom.operators import (
     FanoutError,
     compare_by,
-    crosstab_values,
     crosstab_wide,
     density_grid,
     density_levels,
@@ -26,6 +25,7 @@ from tallyloom.operators import (
     first_row_per_key,
     fit_mixture,
     hash_sample,
+    join_left,
     k_sweep,
     left_join_default,
     load_mixture,
@@ -152,11 +152,34 @@ def test_compare_with_zero_opponent(spark):
 
 def test_crosstab_is_typed_and_counts_nulls(spark):
     df = spark.createDataFrame([(10, 1), (9, 1), (9, None), (None, 2)], "r int, c int")
-    out = crosstab_wide(df, "r", "c", ordered=True)
-    assert out.columns == ["r", "c_1", "c_2", "c_null"]
-    assert [tuple(r) for r in out.collect()] == [(9, 1, 0, 1), (10, 1, 0, 0), (None, 0, 1, 0)]
-    with pytest.raises(ValueError):
-        crosstab_values(spark.range(5), "id", max_values=4)
+    out = crosstab_wide(df, "r", "c", [1, None], ordered=True)
+    assert out.columns == ["r", "c_1", "c_null", "c_other"]
+    assert [tuple(r) for r in out.collect()] == [(9, 1, 1, 0), (10, 1, 0, 0), (None, 0, 0, 1)]
+    assert [tuple(r) for r in crosstab_wide(df, "r", "c", [2], ordered=True).collect()] == [(9, 0, 2), (10, 0, 1), (None, 1, 0)]
+
+
+def test_left_join_splits_a_hot_right_key(spark):
+    left = spark.range(50).select(F.when(F.col("id") < 40, F.col("id")).alias("k"), "id")
+    right = spark.range(3000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 30).alias("k"), F.col("id").alias("v"))
+    plain = left.join(right, ["k"], "left")
+    out = join_left(left, right, ["k"])
+    assert out.columns == plain.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_top_n_of_ties_and_nan(spark):
+    df = spark.range(0, 2000, 1, 6).select("id", F.when(F.col("id") % 2 == 0, 0.7).otherwise(F.col("id") / 2000).alias("v"))
+    df = df.unionAll(spark.createDataFrame([(5000, float("nan")), (5001, None), (5002, 9.0)], "id long, v double"))
+    for n in (1, 2, 400, 900, 1990, 5000):
+        plain = [r["id"] for r in top_n(df, "v", n, ["id"]).collect()]
+        assert [r["id"] for r in top_n(df, "v", n, ["id"], bounds=(0.0, 1.0)).collect()] == plain
+
+
+def test_profile_of_nothing_and_of_negative_zero(spark):
+    empty = {r["column_name"]: tuple(r)[4:] for r in schema_profile(spark.createDataFrame([], "a int, b string")).collect()}
+    assert empty == {"a": (0, 0, 0, 0), "b": (0, 0, 0, 0)}
+    zeros = spark.createDataFrame([(0.0,), (-0.0,), (None,)], "x double")
+    assert tuple(schema_profile(zeros).first())[4:] == (3, 1, 0, 1)
 
 
 def test_sample_does_not_depend_on_partitions(spark):
@@ -247,7 +270,10 @@ def test_sweep_and_null_features(spark):
     holes = df.withColumn("x", F.when(F.col("id") > 0, F.col("x")))
     with pytest.raises(Exception):
         fit_mixture(holes, ["x", "y"], ["id"], k=2, partitions=2)
-    assert fit_mixture(holes, ["x", "y"], ["id"], k=2, partitions=2, invalid="skip").n_rows == 399
+    fit = fit_mixture(holes, ["x", "y"], ["id"], k=2, partitions=2, invalid="skip")
+    assert fit.n_rows == 399
+    labelled = fit.assign(holes)
+    assert labelled.count() == holes.count() and labelled.where("prediction is null").count() == holes.count() - 399
 
 
 def test_standard_scale(spark):

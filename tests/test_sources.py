@@ -52,11 +52,20 @@ def test_folders_and_name_patterns(spark, tmp_path):
     assert [r["code"] for r in out.collect()] == ["1"]
 
 
-def test_single_file_only_below_the_limit(spark, tmp_path):
+def test_each_layout_is_bound_by_its_own_header(spark, tmp_path):
+    schema = T.StructType.fromDDL("x int, y string")
+    write(tmp_path / "a.csv", "x;y\n1;one\n")
+    write(tmp_path / "b.csv", "y;x\nthree;3\n")
+    write(tmp_path / "c.csv", "z;x;y\nzz;5;five\n")
+    layouts = [f"{tmp_path}/{n}*.csv" for n in "abc"]
+    assert sorted(map(tuple, read_delimited(spark, layouts, schema).collect())) == [(1, "one"), (3, "three"), (5, "five")]
+    with pytest.raises(Exception):
+        read_delimited(spark, f"{tmp_path}/[ab].csv", schema).collect()
+
+
+def test_delimited_parts_have_headers(spark, tmp_path):
     df = spark.range(0, 100, 1, 5)
-    write_delimited(df, str(tmp_path / "one"), single_file=True)
-    write_delimited(df, str(tmp_path / "many"), single_file=True, max_single_rows=99)
-    assert len(glob.glob(f"{tmp_path}/one/*.csv")) == 1
+    write_delimited(df, str(tmp_path / "many"))
     assert len(glob.glob(f"{tmp_path}/many/*.csv")) == 5
     assert spark.read.options(header=True, sep=";").csv(str(tmp_path / "many")).count() == 100
 
