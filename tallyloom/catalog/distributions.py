@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bernoulli_sample, density_grid, density_levels, hash_sample, marginal_histogram, sample_projection
 from ..plans import reports, standin
 from ..plans.standin import NAMES, table, with_sections
+from ..sources import StageStore
 from .registry import query
 
 # One tenth of the 32-bit range, as the first eight digits of the digest.
@@ -103,22 +106,27 @@ def q_marginal_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marginal_histogram(standin.sections(spark, sf_dir), "n_share", 0.02, "model")
 
 
-def _plot(name: str):
+def _plot(variant: str, name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        made = reports.distributions(standin.sections(spark, sf_dir), NAMES, "C", width=0.05)
+        made = reports.distributions(standin.sections(spark, sf_dir), NAMES, variant, width=0.05)
         return made[name]()["cells"]
 
     return run
 
 
-def _plot_sql(group: int | None, hue: str, fraction: float) -> str:
-    conditions = ["a_share IS NOT NULL", "r_share IS NOT NULL"]
+def _plot_where(variant: str, group: int | None, hue: str, fraction: float) -> list[str]:
+    conditions = []
     if group is not None:
         conditions.append(f"prediction = {group}")
-    if (group, hue) == (1, "model"):
+    if (variant, group, hue) == ("C", 1, "model"):
         conditions.append("model <> 1")
     if fraction < 1:
         conditions.append(f"SUBSTR(MD5(CONCAT_WS('-', order_id, '42')), 1, 8) < {_TENTH}")
+    return conditions
+
+
+def _plot_sql(variant: str, group: int | None, hue: str, fraction: float) -> str:
+    conditions = ["a_share IS NOT NULL", "r_share IS NOT NULL", *_plot_where(variant, group, hue, fraction)]
     grid = f"""grid AS (
       SELECT {hue}, CAST(FLOOR(a_share / CAST(0.05 AS DOUBLE)) AS BIGINT) AS cell_x,
              CAST(FLOOR(r_share / CAST(0.05 AS DOUBLE)) AS BIGINT) AS cell_y, COUNT(*) AS n
@@ -126,6 +134,42 @@ def _plot_sql(group: int | None, hue: str, fraction: float) -> str:
     return _leveled(grid, hue)
 
 
-for _group, _hue, _fraction in reports.distribution_specs(NAMES)["C"]:
-    _name = reports.distribution_name(_group, _hue)
-    query(f"plot_{_name}", _plot_sql(_group, _hue, _fraction))(_plot(_name))
+def _marginals(variant: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Both marginals of every plot of a variant, over a stored section table."""
+        sec = StageStore(spark).write("sections", standin.sections(spark, sf_dir))
+        parts = []
+        for name, layers in reports.distributions(sec, NAMES, variant, width=0.05).items():
+            made = layers()
+            for axis in ("x", "y"):
+                rows = made[f"marginal_{axis}"]
+                hue = next(c for c in rows.columns if c not in ("bucket", "n"))
+                parts.append(
+                    rows.select(
+                        F.lit(name).alias("plot"), F.lit(axis).alias("axis"), F.col(hue).cast("string").alias("hue"), "bucket", "n"
+                    )
+                )
+        return reduce(DataFrame.unionByName, parts)
+
+    return run
+
+
+def _marginals_sql(variant: str) -> str:
+    parts = []
+    for group, hue, fraction in reports.distribution_specs(NAMES)[variant]:
+        for axis, share in (("x", "a_share"), ("y", "r_share")):
+            conditions = [f"{share} IS NOT NULL", *_plot_where(variant, group, hue, fraction)]
+            parts.append(
+                f"""SELECT '{reports.distribution_name(group, hue)}' AS plot, '{axis}' AS axis, CAST({hue} AS VARCHAR) AS hue,
+                    CAST(FLOOR({share} / CAST(0.05 AS DOUBLE)) AS BIGINT) AS bucket, COUNT(*) AS n
+                    FROM sec WHERE {' AND '.join(conditions)} GROUP BY ALL"""
+            )
+    return with_sections(" UNION ALL ".join(parts))
+
+
+for _variant, _specs in reports.distribution_specs(NAMES).items():
+    _prefix = "plot" if _variant == "C" else f"plot_{_variant.lower()}"
+    for _group, _hue, _fraction in _specs:
+        _name = reports.distribution_name(_group, _hue)
+        query(f"{_prefix}_{_name}", _plot_sql(_variant, _group, _hue, _fraction))(_plot(_variant, _name))
+    query(f"marginals_{_variant.lower()}", _marginals_sql(_variant))(_marginals(_variant))

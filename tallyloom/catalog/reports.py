@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..operators import (
     compare_by,
     crosstab_long,
     crosstab_wide,
+    density_grid,
     having_mixed_groups,
     share_by,
     top_n,
@@ -36,7 +39,7 @@ _ZONES = f"""SELECT zone_id, MAX(nation) AS nation, MAX(region) AS region, MAX(s
        CAST(SUM(CASE WHEN model_2020 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_with,
        CAST(SUM(CASE WHEN model_2020 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_without, {_SUMS}, {_DIFS}
 FROM sec GROUP BY zone_id
-HAVING SUM(eligible) <= 20000 AND SUM(CASE WHEN model_2020 = 1 THEN 1 ELSE 0 END) > 0
+HAVING SUM(eligible) <= (SELECT FLOOR(SUM(eligible) / COUNT(DISTINCT zone_id)) FROM sec) AND SUM(CASE WHEN model_2020 = 1 THEN 1 ELSE 0 END) > 0
        AND SUM(CASE WHEN model_2020 = 0 THEN 1 ELSE 0 END) > 0"""
 
 
@@ -83,10 +86,17 @@ _COMPARISONS = {
 }
 
 
+def _mean_size(sec: DataFrame, group: str) -> int:
+    """A limit that leaves groups at every scale: the mean number of eligible voters per group."""
+    mean = F.floor(F.sum("eligible") / F.count_distinct(group))
+    return int(sec.agg(mean.alias("mean")).first()["mean"] or 0)
+
+
 def _comparison(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         sec = standin.sections(spark, sf_dir)
-        return reports.comparisons(sec, sec, NAMES)[name]()
+        names = replace(NAMES, zone_limit=_mean_size(sec, "zone_id")) if name == "cmp_14" else NAMES
+        return reports.comparisons(sec, sec, names)[name]()
 
     return run
 
@@ -221,19 +231,20 @@ def q_share_by(spark: SparkSession, sf_dir: str) -> DataFrame:
                    CAST(SUM(CASE WHEN late = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_late,
                    CAST(SUM(CASE WHEN late = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_in_time, {_SUMS}, {_DIFS}
             FROM sec GROUP BY nation
-            HAVING SUM(eligible) <= 150000 AND SUM(CASE WHEN late = 1 THEN 1 ELSE 0 END) > 0
+            HAVING SUM(eligible) <= (SELECT FLOOR(SUM(eligible) / COUNT(DISTINCT nation)) FROM sec) AND SUM(CASE WHEN late = 1 THEN 1 ELSE 0 END) > 0
                    AND SUM(CASE WHEN late = 0 THEN 1 ELSE 0 END) > 0"""
     ),
 )
 def q_having_mixed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sec = standin.sections(spark, sf_dir)
     return having_mixed_groups(
-        standin.sections(spark, sf_dir),
+        sec,
         "nation",
         "a_votes",
         "r_votes",
         labels=["region"],
         size="eligible",
-        max_size=150000,
+        max_size=_mean_size(sec, "nation"),
         flag="late",
         with_name="n_late",
         without_name="n_in_time",
@@ -300,6 +311,23 @@ def top_n_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.top_shares(sec, _TOP.split(", "), NAMES)
 
 
+@query(
+    "top_n_density",
+    with_sections(
+        """, best AS (SELECT region, a_votes, r_votes FROM sec WHERE a_share BETWEEN 0.0 AND 1.0 AND prediction <> 3
+                      AND model_2020 = 0 ORDER BY a_share DESC, order_id LIMIT 100000)
+           SELECT region, CAST(FLOOR(a_votes / CAST(10 AS DOUBLE)) AS BIGINT) AS cell_x,
+                  CAST(FLOOR(r_votes / CAST(10 AS DOUBLE)) AS BIGINT) AS cell_y, COUNT(*) AS n
+           FROM best GROUP BY ALL"""
+    ),
+)
+def top_n_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scatter of both counts over the top list."""
+    sec = StageStore(spark).write("sections", standin.sections(spark, sf_dir))
+    best = reports.top_shares(sec, ["region", "a_votes", "r_votes"], NAMES)
+    return density_grid(best, "a_votes", "r_votes", 10.0, 10.0, "region")
+
+
 @query(
     "top_n_small",
     "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",

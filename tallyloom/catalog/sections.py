@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from ..plans import derived, election
+from ..plans import derived, election, reports
+from ..sources import StageStore
 from .registry import query
 
 _FULL, _MINUTE, _SHOWN = "%d/%m/%Y %H:%M:%S", "%d/%m/%Y %H:%M", "%Y-%m-%d %H:%M:%S"
@@ -52,7 +53,8 @@ def _ctes(repeats: bool = True, third_year: int = 2022) -> str:
       m AS (SELECT *, {_key('NR_ZONA', 'NR_SECAO')} AS urna_id FROM machines {one}),
       d AS (SELECT b.*, r.NM_LOCAL_VOTACAO, r.DS_LOCAL_VOTACAO_ENDERECO, m.NR_URNA_EFETIVADA AS machine, m.NR_URNA_ESPERADA,
                    m.DT_CARGA_URNA_ESPERADA, m.DT_CARGA_URNA_EFETIVADA, m.DT_RECO_URNA_ESPERADA, m.DT_RECO_URNA_EFETIVADA,
-                   m.CD_CARGA_1_URNA_ESPERADA, m.CD_FLASHCARD_URNA_EFETIVADA, m.DS_DIVERGENCIA, m.CD_ORIGEM_VOTO,
+                   m.CD_CARGA_1_URNA_ESPERADA, m.CD_CARGA_1_URNA_EFETIVADA, m.CD_CARGA_2_URNA_ESPERADA, m.CD_CARGA_2_URNA_EFETIVADA,
+                   m.CD_FLASHCARD_URNA_ESPERADA, m.CD_FLASHCARD_URNA_EFETIVADA, m.DS_DIVERGENCIA, m.CD_ORIGEM_VOTO,
                    {_late(third_year)} AS late,
                    ROW_NUMBER() OVER (PARTITION BY b.urna_id ORDER BY emissao NULLS FIRST, recebido, abertura, encerramento) AS b_no,
                    ROW_NUMBER() OVER (PARTITION BY b.urna_id ORDER BY m.NR_URNA_EFETIVADA NULLS FIRST) AS m_no
@@ -64,6 +66,12 @@ def _ctes(repeats: bool = True, third_year: int = 2022) -> str:
                    MAX(CASE WHEN b_no = 1 THEN CAST(EPOCH(abertura) AS BIGINT) - CAST(EPOCH(encerramento) AS BIGINT) END) AS segundos_abertura_encerramento,
                    MAX(TRY_STRPTIME(DT_CARGA_URNA_ESPERADA, '{_MINUTE}')) AS dt_carga_urna_esperada,
                    MAX(TRY_STRPTIME(DT_CARGA_URNA_EFETIVADA, '{_MINUTE}')) AS dt_carga_urna_efetivada,
+                   MAX(TRY_STRPTIME(DT_RECO_URNA_ESPERADA, '{_MINUTE}')) AS dt_reco_urna_esperada,
+                   MAX(TRY_STRPTIME(DT_RECO_URNA_EFETIVADA, '{_MINUTE}')) AS dt_reco_urna_efetivada,
+                   MAX(mun) AS cidade_id, MAX(NR_LOCAL_VOTACAO) AS local_votacao_id, MAX(NR_JUNTA_APURADORA) AS junta_apuradora,
+                   MAX(NR_TURMA_APURADORA) AS turma_apuradora, MAX(CD_FLASHCARD_URNA_ESPERADA) AS flashcard_urna_esperada,
+                   MAX(CD_CARGA_1_URNA_EFETIVADA) AS carga_1_urna_efetivada, MAX(CD_CARGA_2_URNA_ESPERADA) AS carga_2_urna_esperada,
+                   MAX(CD_CARGA_2_URNA_EFETIVADA) AS carga_2_urna_efetivada,
                    MAX(NULLIF(DS_AGREGADAS, '#NULO#')) AS secoes_agregadas,
                    CAST(MAX(CASE WHEN DS_AGREGADAS <> '#NULO#' THEN LEN(STRING_SPLIT(DS_AGREGADAS, ' / ')) ELSE 0 END) AS INTEGER) AS total_secoes_agregadas,
                    STRING_AGG(DISTINCT CAST(modelo AS VARCHAR), ',') AS modelos_urnas, MAX(modelo) AS modelo,
@@ -79,11 +87,13 @@ def _ctes(repeats: bool = True, third_year: int = 2022) -> str:
 
 
 _TIMES = ("dt_geracao", "dt_emissao_bu", "dt_bu_recebido", "dt_abertura", "dt_encerramento",
-          "dt_carga_urna_esperada", "dt_carga_urna_efetivada")
+          "dt_carga_urna_esperada", "dt_carga_urna_efetivada", "dt_reco_urna_esperada", "dt_reco_urna_efetivada")
 _PLAIN = (
     "urna_id", "zona_id", "uf", "cidade", "zona", "secao", "regiao", "segundos_emissao_bu_recebimento",
     "segundos_abertura_encerramento", "secoes_agregadas", "total_secoes_agregadas", "modelos_urnas", "modelo",
-    "urna_efetivada", "urna_esperada", "carga_1_urna_esperada", "flashcard_urna_efetivada", "local_votacao", "endereco",
+    "urna_efetivada", "urna_esperada", "carga_1_urna_esperada", "carga_1_urna_efetivada",
+    "carga_2_urna_esperada", "carga_2_urna_efetivada", "flashcard_urna_esperada", "flashcard_urna_efetivada",
+    "cidade_id", "local_votacao_id", "junta_apuradora", "turma_apuradora", "local_votacao", "endereco",
     "origem_voto", "urna_contingencia", "aptos", "nao_habilitados_biometria", "comparecimentos", "abstencoes",
     "emissao_bu_pos_encerramento", "lula", "bolsonaro", "brancos", "nulos",
 )
@@ -94,9 +104,9 @@ _WIDE = ", ".join([*_PLAIN, *(f"STRFTIME({t}, '{_SHOWN}') AS {t}" for t in _TIME
 
 
 def _shown(wide: DataFrame) -> DataFrame:
-    """Times as text; the columns that are constants of the derivation are left out."""
+    """All columns, times as text."""
     times = wide.withColumns({t: F.date_format(t, "yyyy-MM-dd HH:mm:ss") for t in _TIMES})
-    return times.select(*_PLAIN, *_TIMES, "modelo_2020", "lulavence", "bolsonarovence", "empate", *election.RATIOS)
+    return times.select(*election.WIDE_COLUMNS)
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -186,3 +196,26 @@ def election_section_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+
+@query(
+    "election_mixture",
+    f"""{_ctes()} SELECT COUNT(*) AS n_sections, CAST(SUM(lula) AS BIGINT) AS sum_lula,
+        CAST(SUM(bolsonaro) AS BIGINT) AS sum_bolsonaro, CAST(0 AS BIGINT) AS n_groups_out_of_range FROM f""",
+)
+def election_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From sections to clusters to the first report: over the clusters, its sums are those of all sections."""
+    store = StageStore(spark)
+    zones = election.zone_workers(derived.source(spark, sf_dir, "workers"))
+    vm = store.write("vm", election.with_zone_workers(_sections(spark, sf_dir, fanout="allow"), zones))
+    _, labelled = election.cluster(vm, "C")
+    p = store.write("p", labelled.drop("features", "probability"))
+    sizes = p.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+    both = reports.comparisons(p, vm)["cmp_01"]().join(sizes, "prediction")
+    outside = F.when(F.col("prediction").between(0, election.MIXTURES["C"].k - 1), 0).otherwise(1)
+    return both.agg(
+        F.sum("n").alias("n_sections"),
+        F.sum("sum_lula").alias("sum_lula"),
+        F.sum("sum_bolsonaro").alias("sum_bolsonaro"),
+        F.sum(outside).alias("n_groups_out_of_range"),
+    )

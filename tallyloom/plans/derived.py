@@ -8,20 +8,31 @@ same for Spark and for the SQL checks.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .standin import table
 
-# Two letters per nation, in key order.
-STATES = "SPRJMGESSCPRRSGOPAAPDFTOBAPECEMTMSAMRRROACZZRNPBAL"
+# A state per nation, in key order.
+STATES = (
+    "SP", "RJ", "MG", "ES", "SC", "PR", "RS", "GO", "PA", "AP", "DF", "TO", "BA",
+    "PE", "CE", "MT", "MS", "AM", "RR", "RO", "AC", "ZZ", "RN", "PB", "AL",
+)
 
 _VOTABLE = """CASE WHEN l_returnflag = 'A' THEN '13' WHEN l_returnflag = 'R' THEN '22'
                    WHEN l_linestatus = 'F' THEN '95' ELSE '96' END"""
 
 
-def _one_of(texts: str, number: str) -> str:
-    """SQL that picks one of some two-letter texts by a number."""
-    return f"SUBSTR('{texts}', 1 + 2 * ({number} % {len(texts) // 2}), 2)"
+def _one_of(texts: Sequence[str], number: str) -> str:
+    """SQL that picks one of some texts by a number, from 0 and around."""
+    cases = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(texts))
+    return f"CASE {number} % {len(texts)} {cases} END"
+
+
+def _section_code(offset: int) -> str:
+    """SQL of a padded code that is constant per section and differs by ``offset``."""
+    return f"LPAD(CAST(o_orderkey % 97 + {100 * offset} AS STRING), 6, '0')"
 
 
 def _municipality(state_key: str) -> str:
@@ -37,17 +48,20 @@ _PLACES = f"""SELECT o.*, n_nationkey, n_name, c_mktsegment, {_municipality('n_n
               FROM {{orders}} AS o JOIN {{customer}} AS c ON o.o_custkey = c.c_custkey
                    JOIN {{nation}} AS n ON c.c_nationkey = n.n_nationkey"""
 
+# Known origin codes, and one that is not.
+ORIGIN_CODES = ("U", "C", "R", "B", "X")
+
 # Minutes and seconds on both sides of the cut-offs.
-_MINUTE = _one_of("0809101130", "(l_orderkey + l_linenumber)")
-_SECOND = _one_of("000159", "l_partkey")
+_MINUTE = _one_of(("08", "09", "10", "11", "30"), "(l_orderkey + l_linenumber)")
+_SECOND = _one_of(("00", "01", "59"), "l_partkey")
 
 SOURCES = {
     "bulletins": f"""
       SELECT CASE WHEN l_linenumber = 7 THEN 3 ELSE 1 END AS CD_CARGO_PERGUNTA,
-             SUBSTR('{STATES}', n_nationkey * 2 + 1, 2) AS SG_UF,
+             {_one_of(STATES, 'n_nationkey')} AS SG_UF,
              municipality AS CD_MUNICIPIO, n_name AS NM_MUNICIPIO, zone_no AS NR_ZONA,
-             CAST(o_orderkey AS STRING) AS NR_SECAO, '1015' AS NR_LOCAL_VOTACAO,
-             '#NULO#' AS NR_JUNTA_APURADORA, c_mktsegment AS NR_TURMA_APURADORA,
+             CAST(o_orderkey AS STRING) AS NR_SECAO, '10' || zone_no AS NR_LOCAL_VOTACAO,
+             CASE WHEN o_orderkey % 3 = 0 THEN '#NULO#' ELSE {_section_code(9)} END AS NR_JUNTA_APURADORA, c_mktsegment AS NR_TURMA_APURADORA,
              999000 + (o_custkey % 1500) * 830 AS NR_URNA_EFETIVADA,
              '30/10/2022' AS DT_GERACAO, CASE WHEN o_orderstatus = 'F' THEN '#NULO#' ELSE '10:11:12' END AS HH_GERACAO,
              CASE WHEN l_partkey % 50 = 0 THEN '#NULO#'
@@ -78,12 +92,15 @@ SOURCES = {
       SELECT municipality AS CD_MUNICIPIO, zone_no AS NR_ZONA, CAST(o_orderkey AS STRING) AS NR_SECAO,
              '20/10/2022 09:15' AS DT_CARGA_URNA_ESPERADA,
              CASE WHEN o_orderstatus = 'F' THEN '20/10/2022 10:45' ELSE '#NULO#' END AS DT_CARGA_URNA_EFETIVADA,
-             '31/02/2022 09:15' AS DT_RECO_URNA_ESPERADA, '21/10/2022 00:00' AS DT_RECO_URNA_EFETIVADA,
-             machine AS NR_URNA_EFETIVADA, '001234' AS NR_URNA_ESPERADA,
-             '000001' AS CD_CARGA_URNA_ESPERADA, '000002' AS CD_CARGA_1_URNA_ESPERADA, '000003' AS CD_CARGA_2_URNA_ESPERADA,
-             '000004' AS CD_CARGA_URNA_EFETIVADA, '000005' AS CD_CARGA_1_URNA_EFETIVADA, '000006' AS CD_CARGA_2_URNA_EFETIVADA,
-             '000007' AS CD_FLASHCARD_URNA_ESPERADA, '000008' AS CD_FLASHCARD_URNA_EFETIVADA,
-             'ORIGIN' AS DS_ORIGEM_VOTO, deviation AS DS_DIVERGENCIA, SUBSTR('UCRBX', zone_key, 1) AS CD_ORIGEM_VOTO
+             CASE WHEN o_orderkey % 2 = 0 THEN '31/02/2022 09:15' ELSE '19/10/2022 08:05' END AS DT_RECO_URNA_ESPERADA,
+             '2' || CAST(o_orderkey % 7 AS STRING) || '/10/2022 00:00' AS DT_RECO_URNA_EFETIVADA,
+             machine AS NR_URNA_EFETIVADA, {_section_code(0)} AS NR_URNA_ESPERADA,
+             {_section_code(1)} AS CD_CARGA_URNA_ESPERADA, {_section_code(2)} AS CD_CARGA_1_URNA_ESPERADA,
+             {_section_code(3)} AS CD_CARGA_2_URNA_ESPERADA, {_section_code(4)} AS CD_CARGA_URNA_EFETIVADA,
+             {_section_code(5)} AS CD_CARGA_1_URNA_EFETIVADA, {_section_code(6)} AS CD_CARGA_2_URNA_EFETIVADA,
+             {_section_code(7)} AS CD_FLASHCARD_URNA_ESPERADA, {_section_code(8)} AS CD_FLASHCARD_URNA_EFETIVADA,
+             'ORIGIN' AS DS_ORIGEM_VOTO, deviation AS DS_DIVERGENCIA,
+             {_one_of(ORIGIN_CODES, '(zone_key - 1)')} AS CD_ORIGEM_VOTO
       FROM (SELECT p.*, CAST(zone_no AS INT) AS zone_key, '0' || CAST(o_custkey AS STRING) AS machine,
                    CASE WHEN o_orderpriority = '5-LOW' THEN '#DIV' ELSE '#NULO#' END AS deviation
             FROM ({_PLACES}) AS p WHERE o_orderstatus <> 'O'

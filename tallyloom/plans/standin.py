@@ -53,7 +53,6 @@ NAMES = replace(
     abroad="MIDDLE EAST",
     opening="1998-01-01 00:00:00",
     early_opening="1995-06-01 00:00:00",
-    zone_limit=20000,
     others=(0, 1, 2),
     last_group=3,
 )
