@@ -91,7 +91,26 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op7_token_group_join")
+_OP7_SQL = f"""
+WITH RECURSIVE {_WORDS_SQL.format(pattern=r'[^\x20\x09-\x0D]+').strip()},
+grams AS (SELECT DISTINCT doc_id, unnest(CASE
+        WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id
+    GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * o >= 90 * (x.n + y.n - o)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, b AS other FROM edges UNION
+    SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.other),
+least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT words.doc_id, coalesce(n, 0) AS n_shingles, least(words.doc_id, coalesce(other, words.doc_id)) AS component_id
+FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON least.doc_id = words.doc_id
+"""
+
+
+@query("op7_token_group_join", _OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups.link_documents(table(spark, sf_dir, "documents"))
 
