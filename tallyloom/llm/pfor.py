@@ -170,9 +170,8 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     # One row per shard, that is per partition of the writer.
     sizes = found.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
     before = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return found.join(sizes.select("shard", before.alias("_before")), "shard").withColumn(
-        "start", F.col("start") + F.col("_before")
-    ).drop("_before")
+    offsets = F.broadcast(sizes.select("shard", before.alias("_before")))
+    return found.join(offsets, "shard").withColumn("start", F.col("start") + F.col("_before")).drop("_before")
 
 
 def read_ids(spark: SparkSession, path: str, *, with_ids: bool = False) -> DataFrame:
