@@ -22,23 +22,24 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def window_hashes(hashes: Column, window: int) -> Column:
-    """A hash of each window of so many words, by doubling: 2, 4, 8 words from two neighbouring halves."""
-    runs, size = hashes, 1
+def neighbours(runs: Column, apart: int) -> Column:
+    """A hash of each element with the one so many places after it."""
+    left = F.greatest(F.size(runs) - apart, F.lit(0))
+    return F.zip_with(F.slice(runs, 1, left), F.slice(runs, apart + 1, left), lambda a, b: F.xxhash64(a, b))
+
+
+def window_hashes(pairs: Column, window: int) -> Column:
+    """A hash of each window of so many words, by doubling the hashes of two: 4, 8 words from neighbouring halves."""
+    runs, size = pairs, 2
     while size < window:
-        runs = F.zip_with(
-            F.slice(runs, 1, F.greatest(F.size(runs) - size, F.lit(0))),
-            F.slice(runs, size + 1, F.greatest(F.size(runs) - size, F.lit(0))),
-            lambda a, b: F.xxhash64(a, b),
-        )
-        size *= 2
+        runs, size = neighbours(runs, size), 2 * size
     return runs
 
 
 def measures(docs: DataFrame, window: int = 8) -> DataFrame:
-    """The rows of ``docs`` as (doc_id, _hashes, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
-    if window & (window - 1):
-        raise ValueError("the window must be a power of two")
+    """The rows of ``docs`` as (doc_id, _hashes, _pairs, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
+    if window < 2 or window & (window - 1):
+        raise ValueError("the window must be a power of two, 2 at least")
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split("_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     step = docs.select("doc_id", text.alias("_text"))
@@ -56,7 +57,8 @@ def measures(docs: DataFrame, window: int = 8) -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"),
     )
-    step = step.withColumn("_runs", window_hashes(F.col("_hashes"), window))
+    step = step.withColumn("_pairs", neighbours(F.col("_hashes"), 1))
+    step = step.withColumn("_runs", window_hashes(F.col("_pairs"), window))
     # Windows that occur again are found by sorting (hash, place); most texts repeat nothing and need no sort.
     step = step.withColumn(
         "_placed",
@@ -89,14 +91,8 @@ def measures(docs: DataFrame, window: int = 8) -> DataFrame:
     return step.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_runs", "_placed", "_again")
 
 
-def _grams(hashes: Column, buckets: int) -> Column:
-    """Buckets of the words and word pairs of a text."""
-    pairs = F.zip_with(
-        F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0))),
-        F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0))),
-        lambda a, b: F.xxhash64(a, b),
-    )
-    return F.transform(F.concat(hashes, pairs), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+def _bucket(h: Column, buckets: int) -> Column:
+    return F.pmod(h, F.lit(buckets)).cast("int")
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
@@ -105,8 +101,10 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> l
     if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     hashes = F.transform(words(F.coalesce("text", F.lit(""))), lambda w: F.xxhash64(w))
-    grams = docs.select("doc_id", hashes.alias("_hashes")).select("doc_id", _grams(F.col("_hashes"), buckets).alias("_grams"))
-    rows = grams.join(ids, "doc_id", "left").select("_trusted", F.explode("_grams").alias("bucket"))
+    grams = docs.select("doc_id", hashes.alias("_hashes"))
+    grams = grams.select("doc_id", F.concat("_hashes", neighbours(F.col("_hashes"), 1)).alias("_grams"))
+    rows = grams.join(ids, "doc_id", "left").select("_trusted", F.explode("_grams").alias("h"))
+    rows = rows.select("_trusted", _bucket(F.col("h"), buckets).alias("bucket"))
     counts = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.count("_trusted").alias("t")).collect()
     n, t = [1] * buckets, [1] * buckets
     for r in counts:
@@ -128,8 +126,8 @@ def judge(
     """
     weights = log_ratios(docs, labels.where("quality = 1"), buckets)
     table = F.split(F.lit(",".join(f"{w:.6f}" for w in weights)), ",").cast("array<double>")
-    step = measures(docs, window).withColumn("_grams", _grams(F.col("_hashes"), buckets))
-    total = F.aggregate("_grams", F.lit(0.0), lambda sum_, b: sum_ + F.get(table, b))
+    step = measures(docs, window).withColumn("_grams", F.concat("_hashes", "_pairs"))
+    total = F.aggregate("_grams", F.lit(0.0), lambda sum_, h: sum_ + F.get(table, _bucket(h, buckets)))
     step = step.withColumn("llr", F.coalesce(total / F.nullif(F.size("_grams"), F.lit(0)), F.lit(0.0)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return step.withColumn("base_failed", failed).select(
