@@ -103,7 +103,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE, mar
     storage.prepare(spark)
     known = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     part = F.crc32(F.col("doc_id").cast("string")) % folds
-    trusted = storage.stored(docs.join(known, "doc_id").select("lang", part.alias("part"), "text"), "trusted")
+    trusted = storage.stored(docs.join(storage.small_side(known), "doc_id").select("lang", part.alias("part"), "text"), "trusted")
     # Two tables of 4 bytes for each of 2 ** SLOT_BITS slots and order.
     model = spark.sparkContext.broadcast(fit(trusted.where("part <> 0").select("text")))
     held = perplexities(trusted.where("part = 0").select("lang", "text"), model)

@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -29,6 +30,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Keys up to this number are sent to every executor (some 40 MB).
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(keys: DataFrame) -> DataFrame:
+    """``keys`` marked for broadcasting if counted to be ``BROADCAST_ROWS`` at most; else the join shuffles, same result."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+
+
 def prepare(spark: SparkSession) -> None:
     """Let executors import this package, and keep Arrow batches small enough for very long texts.
 
