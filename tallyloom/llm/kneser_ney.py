@@ -171,13 +171,13 @@ def slot_table(rows: DataFrame, bits: int) -> np.ndarray:
             keys, values, weights = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             at = slot(keys.view(np.uint64), bits)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(at), pa.array(values * weights), pa.array(weights)], ["slot", "vw", "w"]
+                [pa.array(at.astype(np.int32)), pa.array(values * weights), pa.array(weights)], ["slot", "vw", "w"]
             )
 
     key, value, weight = rows.columns
     typed = rows.select(F.col(key).cast("long"), F.col(value).cast("double"), F.col(weight).cast("double"))
-    dealt = typed.mapInArrow(work, "slot long, vw double, w double").groupBy("slot")
-    found = dealt.agg((F.sum("vw") / F.sum("w")).alias("v")).toPandas()
+    dealt = typed.mapInArrow(work, "slot int, vw double, w double").groupBy("slot")
+    found = dealt.agg((F.sum("vw") / F.sum("w")).cast("float").alias("v")).toArrow()
     out = np.zeros(1 << bits, dtype=np.float32)
-    out[found["slot"].to_numpy(dtype=np.int64)] = found["v"].to_numpy()
+    out[found["slot"].to_numpy()] = found["v"].to_numpy()
     return out

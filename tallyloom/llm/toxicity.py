@@ -13,8 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +25,8 @@ SLOT_BITS = 22
 # Words of a passage.
 PASSAGES = (1, 4, 16)
 FEATURES = ["per_word", *(f"passage{n}" for n in PASSAGES)]
+# Weight of the squares of the coefficients of standardised features.
+PENALTY = 1e-4
 
 
 def class_ratios(labelled: DataFrame, bits: int = SLOT_BITS) -> np.ndarray:
@@ -88,6 +88,68 @@ def compare(texts: DataFrame, ratios, bits: int = SLOT_BITS) -> DataFrame:
     return texts.mapInArrow(work, ", ".join([*kinds, *(f"{f} double" for f in FEATURES)]))
 
 
+def calibrate(rows: DataFrame, steps: int = 30) -> tuple[list[float], float]:
+    """Coefficients of ``FEATURES`` and the intercept of a logistic fit to all (label, ``FEATURES``), by Newton's method.
+
+    Tasks sum losses, gradients and curvatures; the driver gets these sums only. Without both labels: no evidence either way.
+    """
+    size = len(FEATURES) + 1
+
+    def sums(beta: np.ndarray | None, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 + size + size * size)
+            for batch in batches:
+                y, *x = (c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns)
+                x = np.column_stack([*((v - c) / s for v, c, s in zip(x, centre, scale)), np.ones(len(y))])
+                if beta is None:  # number of ones, sums, squares
+                    total += np.concatenate([[y.sum()], x.sum(0), (x.T @ x).ravel()])
+                else:
+                    z = np.clip(x @ beta, -500, 500)
+                    p = 1 / (1 + np.exp(-z))
+                    total += np.concatenate(
+                        [[np.sum(np.logaddexp(0, z) - y * z)], x.T @ (p - y), ((x * (p * (1 - p))[:, None]).T @ x).ravel()]
+                    )
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total))), pa.array(total)], ["place", "part"])
+
+        found = rows.select("label", *FEATURES).mapInArrow(work, "place long, part double")
+        out = np.zeros(1 + size + size * size)
+        for r in found.groupBy("place").agg(F.sum("part").alias("part")).collect():
+            out[r["place"]] = r["part"]
+        return out
+
+    first = sums(None, np.zeros(size - 1), np.ones(size - 1))
+    ones, n = first[0], first[size]
+    if not 0 < ones < n:
+        return [1.0] * (size - 1), -1.0
+    centre = first[1:size] / n
+    spread = np.diag(first[1 + size :].reshape(size, size))[:-1] / n - centre**2
+    scale = np.sqrt(np.where(spread > 1e-12, spread, 1.0))
+    ridge = np.full(size, PENALTY)
+    ridge[-1] = 0.0
+
+    def at(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        found = sums(beta, centre, scale) / n
+        curve = found[1 + size :].reshape(size, size) + np.diag(ridge + 1e-9)
+        return found[0] + 0.5 * float(ridge @ beta**2), found[1 : 1 + size] + ridge * beta, curve
+
+    beta = np.zeros(size)
+    beta[-1] = np.log(ones / (n - ones))
+    loss, slope, curve = at(beta)
+    for _ in range(steps):
+        step = np.linalg.solve(curve, slope)
+        tried = at(beta - step)
+        while tried[0] > loss and np.abs(step).max() > 1e-6:
+            step /= 4
+            tried = at(beta - step)
+        gain = loss - tried[0]
+        if gain > 0:
+            beta, (loss, slope, curve) = beta - step, tried
+        if gain < 1e-7:
+            break
+    weights = beta[:-1] / scale
+    return weights.tolist(), float(beta[-1] - weights @ centre)
+
+
 def score(docs: DataFrame, labels: DataFrame, *, folds: int = 5) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted of every document.
 
@@ -100,7 +162,7 @@ def score(docs: DataFrame, labels: DataFrame, *, folds: int = 5) -> DataFrame:
     storage.prepare(spark)
     known = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     part = F.crc32(F.col("doc_id").cast("string")) % folds
-    taught = docs.where(~held_out(folds=folds)).select("doc_id", "text").join(known.where(part != 0), "doc_id")
+    taught = docs.where(~held_out(folds=folds)).select("doc_id", "text").join(storage.small_side(known.where(part != 0)), "doc_id")
     taught = taught.where("text is not null").withColumn("part", part)
     shares = {r["toxic"]: r["n"] for r in known.where(part != 0).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     rows = docs.select("doc_id", held_out(folds=folds).alias("held_out"), "text")
@@ -111,15 +173,9 @@ def score(docs: DataFrame, labels: DataFrame, *, folds: int = 5) -> DataFrame:
         taught = storage.stored(taught, "taught")
         counted = taught.where(F.col("part") != folds - 1).select("text", "toxic")
         ratios = spark.sparkContext.broadcast(class_ratios(counted))  # 4 bytes for each of 2 ** SLOT_BITS slots
-        features = array_to_vector(F.array(*FEATURES))
         tried = taught.where(F.col("part") == folds - 1).select("toxic", "text")
-        fit = compare(tried, ratios).select(features.alias("features"), F.col("toxic").cast("double").alias("label"))
-        fit = storage.stored(fit, "calibration")
-        if fit.select("label").distinct().count() < 2:
-            weights, intercept = [1.0] * len(FEATURES), -1.0
-        else:
-            model = LogisticRegression(regParam=1e-4, maxIter=50).fit(fit)
-            weights, intercept = model.coefficients.toArray().tolist(), float(model.intercept)
+        fit = compare(tried, ratios).withColumnRenamed("toxic", "label")
+        weights, intercept = calibrate(storage.stored(fit, "calibration"))
         x = sum((F.lit(w) * F.col(f) for w, f in zip(weights, FEATURES)), F.lit(intercept))
         out = compare(rows, ratios).select("doc_id", "held_out", (1 / (1 + F.exp(-x))).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
