@@ -3,13 +3,13 @@
 An event is a byte with the bytes before it, packed into one number: the byte itself lowest, then its predecessors back
 to the space before the word (``within_words``) or to the text's start, eight bytes in all at most. A gram of order m is
 an event cut to m bytes; shorter histories keep their full length. Counts, continuation counts, discounts, context totals
-and probabilities are joins and aggregates of count tables, dealt by gram. What tasks need for scoring is put into
-tables of a fixed number of slots by a hash of the gram: their size does not depend on the input.
+and probabilities are joins and aggregates of count tables, dealt by gram. Texts to be scored are packed into slices of bounded
+size; each slice asks once for each of its distinct grams, the answers are joined by exact gram and meet the texts again by slice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -126,11 +126,12 @@ def contexts(counts: DataFrame, n: str, d: tuple[float, float, float]) -> DataFr
 
 def levels(counts: DataFrame, orders: list[int]) -> list[tuple[int, int, DataFrame]]:
     """(order, next lower order, (gram, n)) from the highest order down; n counts occurrences at the top and different
-    left neighbours below, except for grams whose history is the whole word or text, which have none."""
+    left neighbours below, except for grams whose history is the whole word or text, which have none. Grams with n = 0 are
+    asked for only: they count nowhere."""
     out, grams = [], counts.select("gram", "n")
     for order, lower in zip(orders, [*orders[1:], 0]):
         if order != orders[0]:
-            n = F.when(_longer(F.col("gram"), order), F.lit(1)).otherwise(F.col("n"))
+            n = F.when(_longer(F.col("gram"), order), (F.col("n") > 0).cast("int")).otherwise(F.col("n"))
             grams = grams.groupBy(_cut(F.col("gram"), order).alias("gram")).agg(F.sum(n).alias("n"))
         grams = storage.stored(grams, f"order{order}")
         out.append((order, lower, grams.where(_longer(F.col("gram"), lower)) if lower else grams))
@@ -138,13 +139,16 @@ def levels(counts: DataFrame, orders: list[int]) -> list[tuple[int, int, DataFra
 
 
 def probabilities(counts: DataFrame, orders: list[int]) -> list[tuple[int, DataFrame, DataFrame]]:
-    """(order, (gram, p), (context, gamma)) from the lowest order up, of (gram, n) counts at the highest order."""
+    """(order, (gram, p), (context, gamma)) from the lowest order up, of (gram, n) counts at the highest order.
+
+    Grams with n = 0 get what backing off gives them; a context that nothing follows leaves all to the shorter gram.
+    """
     out: list[tuple[int, DataFrame, DataFrame]] = []
     below: DataFrame | None = None
     for order, lower, grams in reversed(levels(counts, orders)):
         d = discounts(grams)
         context = contexts(grams, "n", d)
-        joined = grams.withColumn("context", F.shiftrightunsigned("gram", 8)).join(context, "context")
+        joined = grams.withColumn("context", F.shiftrightunsigned("gram", 8)).join(context, "context", "left")
         if below is None:
             low = F.lit(1 / 256)
         else:
@@ -153,13 +157,83 @@ def probabilities(counts: DataFrame, orders: list[int]) -> list[tuple[int, DataF
             )
             low = F.col("low_p")
         p = (F.col("n") - _discount(F.col("n"), d)) / F.col("total") + F.col("gamma") * low
-        level = storage.stored(joined.select("gram", p.alias("p")), f"p{order}")
+        level = storage.stored(joined.select("gram", F.coalesce(p, low).alias("p")), f"p{order}")
         out.append((order, level, context.select("context", "gamma")))
         # The next level may cut to any gram up to this order.
         below = level if below is None else level.unionAll(below)
     return out
 
 
+def pack(
+    texts: DataFrame, inside: np.ndarray, within_words: bool, order: int, distinct: bool = False
+) -> DataFrame:
+    """(slice, grams, payload) of (key columns, text): the distinct grams of a slice of rows, and the rows, compressed.
+
+    Stored, so that a slice has the same rows whenever it is read.
+    """
+    mask = np.uint64((1 << 8 * order) - 1)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            for part in textbytes.slices(batch.column(batch.num_columns - 1), _TRAIN_SLICE):
+                packed, _ = events(part, inside, within_words, distinct)
+                grams = np.unique(packed & mask).view(np.int64)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
+                    out.write_batch(batch.slice(part.first, len(part)))
+                row = [
+                    pa.array([number]),
+                    pa.ListArray.from_arrays(pa.array([0, len(grams)], pa.int32()), pa.array(grams)),
+                    pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(row, ["slice", "grams", "payload"])
+                number += 1
+
+    return storage.stored(texts.mapInArrow(work, "slice long, grams array<long>, payload binary"), "slices")
+
+
+class Values:
+    """Values of a slice's grams."""
+
+    def __init__(self, grams: np.ndarray, values: np.ndarray, order: int) -> None:
+        place = np.argsort(grams)
+        self.grams, self.values = grams[place], values[place]
+        self.mask = np.uint64((1 << 8 * order) - 1)
+
+    def of(self, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each event, 0 where it has none, and whether it has one."""
+        grams = packed & self.mask
+        if not len(self.grams):
+            return np.zeros(len(grams)), np.zeros(len(grams), dtype=bool)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        has = self.grams[at] == grams
+        return np.where(has, self.values[at], 0.0), has
+
+
+def gather(
+    slices: DataFrame, values: DataFrame, order: int, score: Callable[[pa.RecordBatch, Values], pa.RecordBatch], schema: str
+) -> DataFrame:
+    """``score`` of the rows of each of ``slices`` and the ``values`` (gram, v) of its grams; a gram is a key of ``values`` once."""
+    asked = slices.select(F.col("slice").alias("of"), F.explode("grams").alias("gram"))
+    found = asked.join(values.select("gram", F.col("v").cast("double").alias("v")), "gram").select("of", "gram", "v")
+
+    def work(rows: pa.Table, known: pa.Table) -> pa.Table:
+        grams, v = (known.column(name).to_numpy() for name in ("gram", "v"))
+        table = Values(grams.view(np.uint64), v, order)
+        out = []
+        for payload in rows.column("payload").to_pylist():
+            with pa.ipc.open_stream(payload) as reader:
+                out += [score(batch, table) for batch in reader]
+        return pa.Table.from_batches(out)
+
+    dealt = slices.select("slice", "payload").groupBy("slice").cogroup(found.groupBy("of"))
+    return dealt.applyInArrow(work, schema)
+
+
 def slot_table(rows: DataFrame, bits: int) -> np.ndarray:
     """Values by slot from (key, value, weight), averaged by weight where keys share a slot; 0 where there is none.
 

@@ -1,9 +1,9 @@
 """Quality of texts by the perplexity of an interpolated modified Kneser-Ney model of trusted text.
 
 The model gives a byte after up to four bytes before it, spaces between words included. N-gram counts of all trusted texts
-are dealt by n-gram and joined with their contexts and their shorter n-grams, order by order; the results are packed into
-tables of a fixed number of slots, so that what a task needs to score texts does not grow with the corpus. Thresholds are
-quantiles of the perplexities of trusted texts that were not counted, by language.
+are dealt by n-gram and joined with their contexts and their shorter n-grams, order by order, together with the n-grams of
+the texts to be scored: those that trusted text has not are counted zero times and back off. Each slice of texts gets the
+probabilities of its own n-grams. Thresholds are quantiles of the perplexities of trusted texts that were not counted, by language.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from tallyloom.llm import kneser_ney as kn
 from tallyloom.llm import storage, textbytes
 
 ORDERS = [5, 4, 3, 2, 1]
-SLOT_BITS = 20
 QUANTILE = 0.99
 # A text may exceed the quantile by this factor: short texts scatter.
 MARGIN = 1.3
@@ -28,7 +27,7 @@ STEP = 0.001
 
 
 class Model:
-    """Log probabilities and back-off weights by order and slot; zero where the model has none."""
+    """Log probabilities and back-off weights of a small model by order and slot; zero where the model has none."""
 
     def __init__(self, orders: list[int], bits: int) -> None:
         self.orders, self.bits = sorted(orders), bits
@@ -48,36 +47,35 @@ class Model:
         return out
 
 
-def fit(trusted: DataFrame, orders: list[int] = ORDERS, bits: int = SLOT_BITS) -> Model:
-    """A model of the column ``text``."""
+def log_probabilities(trusted: DataFrame, asked: DataFrame, orders: list[int] = ORDERS) -> DataFrame:
+    """(gram, v): log probability of each of the grams ``asked`` and of those of the column ``text``, each gram once."""
     rows = trusted.where("text is not null").select("text", F.lit(0).alias("kind"))
     counts = kn.count_events(rows, textbytes.SPACED, False, orders[0]).select("gram", F.col("n0").alias("n"))
-    counts = storage.stored(counts, "counts")
-    model = Model(orders, bits)
-    for _, level, context in kn.probabilities(counts, orders):
-        model.log_p.append(kn.slot_table(level.select("gram", F.log("p").alias("v"), "p"), bits))
-        model.log_gamma.append(kn.slot_table(context.select("context", F.log("gamma").alias("v"), F.lit(1.0).alias("w")), bits))
-    return model
-
-
-def perplexities(texts: DataFrame, model) -> DataFrame:
-    """(key columns, text) with the text replaced by ``perplexity`` per byte, NULL for texts without words."""
-    keys = texts.columns[:-1]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = model.value
-        for batch in batches:
-            out = np.full(batch.num_rows, np.nan)
-            for part in textbytes.slices(batch.column(len(keys))):
-                packed, bounds = kn.events(part, textbytes.SPACED, False)
-                total = np.concatenate([[0.0], np.cumsum(scorer.score(packed))])
-                n = np.diff(bounds)
-                mean = (total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(n, 1)
-                out[part.first : part.first + len(part)] = np.where(n > 0, np.exp(-mean), np.nan)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, mask=np.isnan(out))], [*keys, "perplexity"])
-
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1]]
-    return texts.mapInArrow(work, ", ".join([*kinds, "perplexity double"]))
+    counts = counts.unionAll(asked.select("gram", F.lit(0).cast("long").alias("n"))).groupBy("gram").agg(F.sum("n").alias("n"))
+    first, *rest = (level for _, level, _ in kn.probabilities(storage.stored(counts, "counts"), orders))
+    for level in rest:
+        first = first.unionAll(level)
+    return first.select("gram", F.log("p").alias("v"))
+
+
+def perplexities(slices: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """The key columns of packed rows (``keys`` as "name type") and ``perplexity`` per byte, NULL for texts without words."""
+    names = [*(k.split(" ")[0] for k in keys), "perplexity"]
+
+    def score(batch: pa.RecordBatch, known: kn.Values) -> pa.RecordBatch:
+        out = np.full(batch.num_rows, np.nan)
+        for part in textbytes.slices(batch.column(len(keys))):
+            packed, bounds = kn.events(part, textbytes.SPACED, False)
+            v, has = known.of(packed)
+            if not has.all():
+                raise ValueError("a gram of a text has no probability")
+            total = np.concatenate([[0.0], np.cumsum(v)])
+            n = np.diff(bounds)
+            mean = (total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(n, 1)
+            out[part.first : part.first + len(part)] = np.where(n > 0, np.exp(-mean), np.nan)
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, mask=np.isnan(out))], names)
+
+    return kn.gather(slices, values, ORDERS[0], score, ", ".join([*keys, "perplexity double"]))
 
 
 def thresholds(rows: DataFrame, quantile: float) -> DataFrame:
@@ -104,12 +102,17 @@ def judge(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE, mar
     known = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     part = F.crc32(F.col("doc_id").cast("string")) % folds
     trusted = storage.stored(docs.join(storage.small_side(known), "doc_id").select("lang", part.alias("part"), "text"), "trusted")
-    # Two tables of 4 bytes for each of 2 ** SLOT_BITS slots and order.
-    model = spark.sparkContext.broadcast(fit(trusted.where("part <> 0").select("text")))
-    held = perplexities(trusted.where("part = 0").select("lang", "text"), model)
+    # Held trusted texts and all documents are scored in one go.
+    held = trusted.where("part = 0").select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "lang", F.lit(True).alias("held"), "text")
+    texts = docs.select("doc_id", "lang", F.lit(False).alias("held"), "text").unionAll(held)
+    slices = kn.pack(texts, textbytes.SPACED, False, ORDERS[0])
+    asked = slices.select(F.explode("grams").alias("gram")).distinct()
+    values = log_probabilities(trusted.where("part <> 0").select("text"), asked)
+    keys = [f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields[:-1]]
+    scored = storage.stored(perplexities(slices, values, keys), "perplexities")
     # One row per language.
-    limits = storage.stored(thresholds(held, quantile), "thresholds")
-    scored = perplexities(docs.select("doc_id", "lang", "text"), model)
+    limits = storage.stored(thresholds(scored.where("held"), quantile), "thresholds")
+    scored = scored.where("not held")
     scored = scored.withColumn("_lang", F.col("lang"))
     every = limits.where("lang = '*'").select(F.max("threshold").alias("every")).first()["every"]
     own = limits.where("lang is null or lang <> '*'").select(F.col("lang").alias("_of"), "threshold")

@@ -21,7 +21,6 @@ from tallyloom.llm import storage, textbytes
 from tallyloom.llm.hyperlang import held_out
 
 ORDERS = [8, 6, 4, 2, 1]
-SLOT_BITS = 22
 # Words of a passage.
 PASSAGES = (1, 4, 16)
 FEATURES = ["per_word", *(f"passage{n}" for n in PASSAGES)]
@@ -29,8 +28,8 @@ FEATURES = ["per_word", *(f"passage{n}" for n in PASSAGES)]
 PENALTY = 1e-4
 
 
-def class_ratios(labelled: DataFrame, bits: int = SLOT_BITS) -> np.ndarray:
-    """log P(event | toxic) / P(event | ordinary) by slot of the event, from (text, toxic 0 or 1)."""
+def class_ratios(labelled: DataFrame) -> DataFrame:
+    """(gram, v): log P(event | toxic) / P(event | ordinary) of each event of (text, toxic 0 or 1)."""
     counts = storage.stored(kn.count_events(labelled, textbytes.ALNUM, True, ORDERS[0], distinct=True), "counts")
     shared = kn.probabilities(counts.select("gram", (F.col("n0") + F.col("n1")).alias("n")), ORDERS)
     pooled = shared[0][1]
@@ -49,43 +48,38 @@ def class_ratios(labelled: DataFrame, bits: int = SLOT_BITS) -> np.ndarray:
                 seen / F.col(f"total_{n}") + F.col(f"gamma_{n}") * F.col("p")
             ),
         )
-    return kn.slot_table(
-        rows.select("gram", F.log(F.col("p_n1") / F.col("p_n0")).alias("v"), (F.col("n0") + F.col("n1")).alias("w")), bits
-    )
+    return rows.select("gram", F.log(F.col("p_n1") / F.col("p_n0")).alias("v"))
 
 
-def compare(texts: DataFrame, ratios, bits: int = SLOT_BITS) -> DataFrame:
+def compare(texts: DataFrame, ratios: DataFrame) -> DataFrame:
     """(key columns, text) with the text replaced by ``FEATURES``: log ratios of likelihood per word."""
     keys = texts.columns[:-1]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ratios.value
-        for batch in batches:
-            out = np.zeros((len(FEATURES), batch.num_rows))
-            for part in textbytes.slices(batch.column(len(keys))):
-                packed, bounds = kn.events(part, textbytes.ALNUM, True, distinct=True)
-                if not len(packed):
-                    continue
-                values = table[kn.slot(packed, bits)].astype(np.float64)
-                ends = np.flatnonzero((packed & np.uint64(0xFF)) == 0x20) + 1  # a word ends with its space
-                total = np.concatenate([[0.0], np.cumsum(values)])
-                words = np.diff(total[np.concatenate([[0], ends])])
-                at = np.searchsorted(ends, bounds, side="right")
-                n = np.diff(at)
-                sums = np.concatenate([[0.0], np.cumsum(words)])
-                rows = np.arange(part.first, part.first + len(part))
-                out[0, rows] = (sums[at[1:]] - sums[at[:-1]]) / np.maximum(n, 1)
-                # The best run of so many words within a text; a shorter text is one passage.
-                full = np.flatnonzero(n > 0)
-                for k, passage in enumerate(PASSAGES, 1):
-                    lead = np.minimum(np.repeat(at[1:], n), np.arange(len(words)) + passage)
-                    out[k, rows[full]] = np.maximum.reduceat((sums[lead] - sums[:-1]) / passage, at[:-1][full])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *map(pa.array, out)], [*keys, *FEATURES]
-            )
+    def score(batch: pa.RecordBatch, known: kn.Values) -> pa.RecordBatch:
+        out = np.zeros((len(FEATURES), batch.num_rows))
+        for part in textbytes.slices(batch.column(len(keys))):
+            packed, bounds = kn.events(part, textbytes.ALNUM, True, distinct=True)
+            if not len(packed):
+                continue
+            values, _ = known.of(packed)
+            ends = np.flatnonzero((packed & np.uint64(0xFF)) == 0x20) + 1  # a word ends with its space
+            total = np.concatenate([[0.0], np.cumsum(values)])
+            words = np.diff(total[np.concatenate([[0], ends])])
+            at = np.searchsorted(ends, bounds, side="right")
+            n = np.diff(at)
+            sums = np.concatenate([[0.0], np.cumsum(words)])
+            rows = np.arange(part.first, part.first + len(part))
+            out[0, rows] = (sums[at[1:]] - sums[at[:-1]]) / np.maximum(n, 1)
+            # The best run of so many words within a text; a shorter text is one passage.
+            full = np.flatnonzero(n > 0)
+            for k, passage in enumerate(PASSAGES, 1):
+                lead = np.minimum(np.repeat(at[1:], n), np.arange(len(words)) + passage)
+                out[k, rows[full]] = np.maximum.reduceat((sums[lead] - sums[:-1]) / passage, at[:-1][full])
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, out)], [*keys, *FEATURES])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1]]
-    return texts.mapInArrow(work, ", ".join([*kinds, *(f"{f} double" for f in FEATURES)]))
+    slices = kn.pack(texts, textbytes.ALNUM, True, ORDERS[0], distinct=True)
+    return kn.gather(slices, ratios, ORDERS[0], score, ", ".join([*kinds, *(f"{f} double" for f in FEATURES)]))
 
 
 def calibrate(rows: DataFrame, steps: int = 30) -> tuple[list[float], float]:
@@ -172,7 +166,7 @@ def score(docs: DataFrame, labels: DataFrame, *, folds: int = 5) -> DataFrame:
     else:
         taught = storage.stored(taught, "taught")
         counted = taught.where(F.col("part") != folds - 1).select("text", "toxic")
-        ratios = spark.sparkContext.broadcast(class_ratios(counted))  # 4 bytes for each of 2 ** SLOT_BITS slots
+        ratios = storage.stored(class_ratios(counted), "ratios")
         tried = taught.where(F.col("part") == folds - 1).select("toxic", "text")
         fit = compare(tried, ratios).withColumnRenamed("toxic", "label")
         weights, intercept = calibrate(storage.stored(fit, "calibration"))

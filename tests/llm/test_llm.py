@@ -336,6 +336,54 @@ def test_perplexity_tells_junk_from_prose(spark, sf_dir):
     assert np.mean(good) > 0.9
 
 
+def test_perplexity_of_unseen_grams_in_a_large_model(spark):
+    rng = np.random.default_rng(11)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz     ", dtype=np.uint8)
+    digits = np.frombuffer(b"0123456789     ", dtype=np.uint8)
+
+    def text(of, size):
+        return bytes(of[rng.integers(0, len(of), size)]).decode()
+
+    # Some three million distinct runs of five bytes; the junk shares none of them.
+    rows = [(k, text(letters, 20_000), "en") for k in range(200)] + [(1000 + k, text(digits, 2000), "en") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    known = spark.createDataFrame([(k, 1) for k in range(200)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in perplexity.judge(docs, known).collect()}
+    assert not any(got[1000 + k]["kept"] for k in range(20))
+    assert all(got[k]["kept"] for k in range(200))
+
+
+def test_perplexity_equals_a_model_without_shared_slots(spark, sf_dir):
+    from tallyloom.llm import kneser_ney as kn
+
+    storage.prepare(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    trusted = storage.stored(docs.where("doc_id % 2 = 0").select("text"), "trusted")
+    counts = kn.count_events(trusted.select("text", F.lit(0).alias("kind")), textbytes.SPACED, False, 5)
+    counts = storage.stored(counts.select("gram", F.col("n0").alias("n")), "counts")
+    levels, gammas = [], []
+    for _, level, context in kn.probabilities(counts, perplexity.ORDERS):
+        levels.append({r["gram"]: r["p"] for r in level.collect()})
+        gammas.append({r["context"]: r["gamma"] for r in context.collect()})
+
+    def p(gram):
+        out, lower = 1 / 256, 0
+        for order, seen, gamma in zip(sorted(perplexity.ORDERS), levels, gammas):
+            part = gram & (1 << 8 * order) - 1
+            if part >> 8 * lower:
+                out = seen.get(part, out * gamma.get(part >> 8, 1.0))
+            lower = order
+        return out
+
+    slices = kn.pack(docs.where("text is not null").select("text"), textbytes.SPACED, False, 5)
+    asked = slices.select(F.explode("grams").alias("gram")).distinct()
+    values = {r["gram"]: r["v"] for r in perplexity.log_probabilities(trusted, asked).collect()}
+    grams = [r["gram"] for r in asked.collect()]
+    assert sum(g not in levels[-1] for g in grams) > 100
+    for g in grams:
+        assert np.exp(values[g]) == pytest.approx(p(g))
+
+
 def test_toxicity(spark, odd, odd_rows, labels, empty):
     for known in (labels, labels.limit(0), labels.where("toxic = 1")):
         got = toxicity.score(odd, known).collect()
