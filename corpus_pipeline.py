@@ -14,8 +14,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays."""
-    return jaccard_groups.keep_one(docs)
+    """One document of each group of linked documents stays: five words a shingle, similarity 0.8."""
+    return jaccard_groups.keep_one(docs, n=5, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

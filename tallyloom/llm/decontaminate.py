@@ -193,7 +193,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, sh
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFrame:
-    """``docs`` without documents that contain a window of the benchmark; a ``doc_id`` goes with all its rows."""
-    found = find_passages(docs, benchmark, window=window).where("contaminated")
+    """``docs`` without rows whose text contains a window of the benchmark, whatever their ``doc_id``."""
+    name = F.sha2("text", 256)  # NULL texts have none, and stay
+    found = find_passages(docs.select(name.alias("doc_id"), "text"), benchmark, window=window).where("contaminated")
     gone = found.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    return docs.join(gone, name == F.col("_gone"), "left_anti")

@@ -186,10 +186,10 @@ def identify(docs: DataFrame, *, dimensions: int = DIMENSIONS, folds: int = 5) -
     return nearest(docs.select("doc_id", held_out(folds=folds).alias("held_out"), "text"), profiles, dimensions)
 
 
-def keep_known(docs: DataFrame, *, least: float = 0.05, dimensions: int = DIMENSIONS, folds: int = 5) -> DataFrame:
-    """``docs`` without rows whose text has no letter or is nearer than ``least`` to no language; row by row.
+def keep_known(docs: DataFrame, *, dimensions: int = DIMENSIONS, folds: int = 5) -> DataFrame:
+    """``docs`` without rows whose text has no letter, which are those that ``identify`` calls ``und``; row by row.
 
-    A NULL ``lang`` becomes the language found. Where nothing could be learned, only texts without a letter go.
+    Nearness is no ground to go: short texts of a known language are as far from it as those of others. A NULL ``lang`` becomes the language found. Where nothing could be learned, only texts without a letter go.
     """
     storage.prepare(docs.sparkSession)
     profiles = prototypes(docs.where(~held_out(folds=folds)).select("text", "lang"), dimensions)
@@ -198,6 +198,6 @@ def keep_known(docs: DataFrame, *, least: float = 0.05, dimensions: int = DIMENS
     if not profiles:
         found = found.where(F.col("text").rlike(r"\p{L}"))
     else:
-        found = found.where((F.col("_found") != UNKNOWN) & (F.col("_near") >= least))
+        found = found.where(F.col("_found") != UNKNOWN)
         found = found.withColumn("lang", F.coalesce("lang", "_found"))
     return found.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -329,14 +329,25 @@ def link_documents(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFra
 
 
 def keep_one(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFrame:
-    """``docs`` with one document of each class of linked documents: the one with the least ``doc_id``.
+    """``docs`` with one row of each class of linked texts: the one with the least ``doc_id``, NULL last.
 
-    Of rows with equal ``doc_id`` and text one stays. Rows without ``doc_id`` cannot be named as copies, and stay.
+    Every row is judged on its own text, so that repeated and missing keys name nothing else. Texts without words are linked
+    with nothing; of those with equal ``doc_id`` (not NULL) and text one stays.
     """
-    gone = link_documents(docs, n=n, percent=percent).where("doc_id <> component_id").select("doc_id").distinct()
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
-    kept = kept.groupBy("doc_id", "text").agg(F.first(F.struct(*(F.col(f"`{c}`") for c in others))).alias("_rest"))
-    kept = kept.select("doc_id", "text", "_rest.*") if others else kept.select("doc_id", "text")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return kept.select(*columns).unionAll(docs.where("doc_id is null").select(*columns))
+    # Stored, so that a row has the same number whenever it is read.
+    rows = storage.stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    linked = link_documents(rows.select(F.col("_row").alias("doc_id"), "text"), n=n, percent=percent)
+    linked = linked.select(F.col("doc_id").alias("_row"), "component_id")
+    blank = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()
+    keys = rows.select("_row", "doc_id", blank.alias("blank"), F.when(blank, F.col("text")).alias("blanks"))
+    least = (
+        keys.join(linked, "_row")
+        .groupBy(
+            F.when(~F.col("blank"), F.col("component_id")).alias("component"),
+            F.when(F.col("blank"), F.col("doc_id")).alias("key"),
+            "blanks",
+        )
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_row")).alias("least"))
+    )
+    kept = rows.join(least.select("least._row"), "_row", "left_semi")
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
