@@ -17,8 +17,11 @@ from tallyloom.llm import (
     pfor,
     pii,
     quality_rules,
+    simhash_planes,
     storage,
+    token_alignment,
     toxicity,
+    whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +196,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_kneser_ney_perplexity")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_tokenizer_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.summarise(table(spark, sf_dir, "documents"))
+
+
+@query("op12_simhash_planes")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_planes.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
