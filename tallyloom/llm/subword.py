@@ -43,15 +43,22 @@ _ASCII_INK = _LETTER | _DIGIT | _MARK
 
 
 def _cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sorted starts of pieces, every text's start included."""
+    """A mark at each byte where a piece starts, every text's start included."""
     left, right = data[:-1], data[1:]
     cut = _ASCII_INK[left] & _SPACE[right]
     cut |= _LETTER[left] & (_MARK | _DIGIT)[right]
     cut |= _DIGIT[left] & (_MARK | _LETTER)[right]
     # A multi-byte letter before a space, when the space stands alone.
     cut[:-1] |= (left[:-1] >= 0x80) & _SPACE[right[:-1]] & _ASCII_INK[data[2:]]
-    starts = np.flatnonzero(cut) + 1
-    return np.union1d(starts, bounds[:-1][np.diff(bounds) > 0])
+    return _marks(cut, bounds)
+
+
+def _marks(cut: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Marks at the bytes after ``cut`` and at every text's start."""
+    out = np.zeros(len(cut) + 1, dtype=bool)
+    out[1:] = cut
+    out[bounds[:-1][np.diff(bounds) > 0]] = True
+    return out
 
 
 @dataclass
@@ -181,12 +188,10 @@ class Encoder(Pieces):
         self.letters = {b: chr(b) for b in keep} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
     def cuts(self, part: textbytes.Slice) -> np.ndarray:
-        starts = _cuts(part.data, part.bounds)
-        whole = texts_with(part, self.added)
-        if not len(whole):
-            return starts
-        inside = np.isin(np.searchsorted(part.bounds, starts, side="right") - 1, whole)
-        return np.union1d(starts[~inside], part.bounds[whole])
+        marks = _cuts(part.data, part.bounds)
+        for i in texts_with(part, self.added).tolist():
+            marks[part.bounds[i] + 1 : part.bounds[i + 1]] = False
+        return np.flatnonzero(marks)
 
     def vocabulary(self) -> list[bytes]:
         """The bytes of each id's entry, decoded from byte-level letters; entries outside these are taken as they are."""
@@ -236,11 +241,9 @@ class SpacedPieces(Pieces):
         self.cuttable = self.model.encode("a ")[-1:] == [self.space] and not any(SPACE_MARK in e.lstrip(SPACE_MARK) for e in entries)
 
     def cuts(self, part: textbytes.Slice) -> np.ndarray:
-        starts = part.bounds[:-1][np.diff(part.bounds) > 0]
         if not self.cuttable:
-            return starts
-        inside = np.flatnonzero((part.data[1:] == 0x20) & (part.data[:-1] != 0x20)) + 1
-        return np.union1d(starts, inside)
+            return part.bounds[:-1][np.diff(part.bounds) > 0]
+        return np.flatnonzero(_marks((part.data[1:] == 0x20) & (part.data[:-1] != 0x20), part.bounds))
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         # The model adds the first space itself, but to nothing else it adds nothing.

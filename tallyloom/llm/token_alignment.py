@@ -25,16 +25,12 @@ from pyspark.sql import functions as F
 from tallyloom.llm import storage, subword, textbytes
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
+# Bytes of texts that are aligned at a time; a longer text is aligned as a whole.
+SLICE = 1 << 19
 # Pairs whose counts are given to all tasks: 17 bytes each.
 HEAD = 1 << 20
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The numbers from each start on, as many as each size."""
-    total = np.concatenate([[0], np.cumsum(sizes)])
-    return np.repeat(starts - total[:-1], sizes) + np.arange(total[-1])
-
-
 class Entries:
     """Byte strings by number, end to end."""
 
@@ -44,7 +40,7 @@ class Entries:
         self.data = np.frombuffer(b"".join(strings), dtype=np.uint8)
 
     def joined(self, ids: np.ndarray) -> np.ndarray:
-        return self.data[ragged(self.starts[ids], self.sizes[ids])]
+        return self.data[textbytes.ragged(self.starts[ids], self.sizes[ids])]
 
 
 class Sides:
@@ -89,8 +85,8 @@ def _faithful(part: textbytes.Slice, encoded: subword.Encoded, entries: Entries)
     sizes = np.diff(part.bounds)
     out = np.diff(total) == sizes
     chosen = np.flatnonzero(out)
-    ids = encoded.ids[ragged(encoded.bounds[chosen], np.diff(encoded.bounds)[chosen])]
-    wrong = entries.joined(ids) != part.data[ragged(part.bounds[chosen], sizes[chosen])]
+    ids = encoded.ids[textbytes.ragged(encoded.bounds[chosen], np.diff(encoded.bounds)[chosen])]
+    wrong = entries.joined(ids) != part.data[textbytes.ragged(part.bounds[chosen], sizes[chosen])]
     out[chosen[np.searchsorted(np.cumsum(sizes[chosen]), np.flatnonzero(wrong), side="right")]] = False
     return out & (sizes > 0)
 
@@ -101,7 +97,7 @@ def align_slice(part: textbytes.Slice, sides: Sides) -> Alignment:
     ids, bounds, starts, ends = [], [], [], []
     for e, entries in zip(encoded, sides.entries):
         n = np.where(ok, np.diff(e.bounds), 0)
-        ids.append(e.ids[ragged(e.bounds[:-1], n)].astype(np.int64))
+        ids.append(e.ids[textbytes.ragged(e.bounds[:-1], n)].astype(np.int64))
         bounds.append(np.concatenate([[0], np.cumsum(n)]))
         ends.append(np.cumsum(entries.sizes[ids[-1]]))
         starts.append(ends[-1] - entries.sizes[ids[-1]])
@@ -113,7 +109,7 @@ def align_slice(part: textbytes.Slice, sides: Sides) -> Alignment:
     twice = np.zeros(len(pairs), dtype=bool)
     twice[len(under) :] = starts[0][pairs[len(under) :, 0]] == starts[1][pairs[len(under) :, 1]]
     pairs = pairs[~twice]
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    pairs = pairs[np.argsort((pairs[:, 0] << 32) | pairs[:, 1])]
     links = pairs[ends[0][pairs[:, 0]] == ends[1][pairs[:, 1]]]
     return Alignment(len(part), tuple(ids), tuple(bounds), tuple(ends), pairs, links)
 
@@ -138,7 +134,7 @@ def written(found: Alignment, decimal: Entries) -> list[bytes]:
     stops = np.cumsum(sizes)
     out = np.empty(int(sizes.sum()), dtype=np.uint8)
     out[stops - 1] = after
-    out[ragged(stops - sizes, sizes - 1)] = decimal.joined(ids)
+    out[textbytes.ragged(stops - sizes, sizes - 1)] = decimal.joined(ids)
     text, edges = out.tobytes(), np.concatenate([[0], stops])[found.bounds[0] + found.bounds[1]].tolist()
     return [text[a : max(a, b - 1)] for a, b in zip(edges, edges[1:])]
 
@@ -173,7 +169,7 @@ def align(docs: DataFrame, *, first: str | None = None, second: str | None = Non
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = Sides.of(*files)
         for batch in batches:
-            for part in textbytes.slices(batch.column(1), subword.SLICE):
+            for part in textbytes.slices(batch.column(1), SLICE):
                 found = align_slice(part, sides)
                 columns = [
                     batch.column(0).slice(part.first, len(part)),
@@ -201,7 +197,7 @@ def _slices(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
 
         sides, number = Sides.of(*files), TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in textbytes.slices(batch.column(1), subword.SLICE):
+            for part in textbytes.slices(batch.column(1), SLICE):
                 found = align_slice(part, sides)
                 codes = (found.ids[0][found.links[:, 0]] << 32) | found.ids[1][found.links[:, 1]]
                 pairs, which, times = np.unique(codes, return_inverse=True, return_counts=True)

@@ -101,7 +101,7 @@ def test_equals_the_definition(spark, libraries):
 
 @pytest.mark.parametrize("head", [0, 5, 40])
 def test_counts_do_not_depend_on_the_head(spark, libraries, monkeypatch, head):
-    monkeypatch.setattr(subword, "SLICE", 200)
+    monkeypatch.setattr(token_alignment, "SLICE", 200)
     rows = rows_of_all_kinds()
     got = token_alignment.summarise(spark.createDataFrame(rows, ROWS).repartition(3), head=head)
     assert Counter(map(tuple, got.collect())) == Counter(brute(rows, libraries))
