@@ -26,18 +26,20 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the least node that links reach, for every node of ``links`` (two long columns a, b).
 
-    Links with a NULL end or equal ends say nothing. Each round is written to the shared folder; the number of rounds
-    grows with the logarithm of a component's width, and ``max_rounds`` only stops a run that cannot end.
+    Links with a NULL end or equal ends say nothing. Each round is written to the shared folder, in place of the one before; the
+    number of rounds grows with the logarithm of a component's width, and ``max_rounds`` only stops a run that cannot end.
     """
     state = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    state = storage.stored(state.where("a <> b").distinct(), "links")
+    state, path = storage.written(state.where("a <> b").distinct(), "links")
     before = None
     for _ in range(max_rounds):
         total = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if total == before or not total[0]:
             break
         before = total
-        state = storage.stored(_small_star(_large_star(state)), "links")
+        state, new = storage.written(_small_star(_large_star(state)), "links")
+        storage.remove(links.sparkSession, path)
+        path = new
     else:
         raise RuntimeError("links did not settle")
     stars = state.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -196,5 +196,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> Da
     """``docs`` without rows whose text contains a window of the benchmark, whatever their ``doc_id``."""
     name = F.sha2("text", 256)  # NULL texts have none, and stay
     found = find_passages(docs.select(name.alias("doc_id"), "text"), benchmark, window=window).where("contaminated")
-    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, name == F.col("_gone"), "left_anti")
+    (gone_,) = storage.unused_names(docs, "gone")
+    gone = found.select(F.col("doc_id").alias(gone_)).distinct()
+    return docs.join(gone, name == F.col(gone_), "left_anti")

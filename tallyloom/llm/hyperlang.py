@@ -194,10 +194,11 @@ def keep_known(docs: DataFrame, *, dimensions: int = DIMENSIONS, folds: int = 5)
     storage.prepare(docs.sparkSession)
     profiles = prototypes(docs.where(~held_out(folds=folds)).select("text", "lang"), dimensions)
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    found = nearest(docs.select(*others, "text"), profiles, dimensions, keep_text=True, names_out=("_found", "_near"))
+    found_, near_ = storage.unused_names(docs, "found", "near")
+    found = nearest(docs.select(*others, "text"), profiles, dimensions, keep_text=True, names_out=(found_, near_))
     if not profiles:
         found = found.where(F.col("text").rlike(r"\p{L}"))
     else:
-        found = found.where(F.col("_found") != UNKNOWN)
-        found = found.withColumn("lang", F.coalesce("lang", "_found"))
+        found = found.where(F.col(found_) != UNKNOWN)
+        found = found.withColumn("lang", F.coalesce("lang", found_))
     return found.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -2,9 +2,11 @@
 
 1. Each text becomes the set of its hashed n-grams; texts with equal sets are one *set*, with a 64-bit hash as its name.
 2. Sets that may be linked are brought together. Two sets of sizes s and t that reach the similarity differ in at most
-   ``(s + t) (100 - p) / (100 + p)`` tokens. The space of hashes is cut into so many blocks that linked sets must
-   agree on at least one whole non-empty block, so a hash per block is a sufficient join key. A block's hash covers all
-   tokens of the block: passages, lines or words that many documents share do not make it frequent. Blocks of sets of different
+   ``(s + t) (100 - p) / (100 + p)`` tokens. The space of hashes is cut into more blocks than that, so that linked sets
+   agree on whole blocks: a set that fills more blocks than tokens may differ has a hash per filled block as a sufficient join key.
+   A block's hash covers all its tokens. Tokens that many sets have, as those of passages and lines that many documents share, are
+   counted beforehand and left out, for else documents that share little more than these would meet: linked sets differ in
+   no more tokens without them. The sets that are left with too few filled blocks have keys of all their tokens besides. Blocks of sets of different
    size are comparable within a size class; a set near the end of its class also takes part in the next one.
 3. Sets connected by such keys form a neighbourhood. Neighbourhoods are cut into chunks of bounded size, and every pair of
    chunks is a unit of work. In a unit, similar sets are partitioned into groups; the matrix holds each group's token union;
@@ -24,19 +26,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm import storage, textbytes
+from tallyloom.llm import bitfilter, common_tokens, storage, textbytes
 from tallyloom.llm.components import components
 
 # Sizes of a class are within this ratio.
 CLASS_RATIO = 1.35
-# Blocks beyond the necessary number, so that empty blocks need not serve as keys.
-SPARE = 2
+# Cuts of the space of hashes: whether common tokens are left out, and blocks beyond the necessary number as a share of it, some of
+# which stay empty. Sets that are crowded in one cut take the next one, too, and empty blocks as keys after the last.
+CUTS = ((True, 0.15), (True, 1.5), (False, 0.15), (False, 0.5))
+LEAST_SPARE = 2
+# Tokens of so many sets are common.
+COMMON = 32
 # Tokens of a chunk: the memory of a unit is some hundred bytes per token at most.
 CHUNK_TOKENS = 1 << 17
 # Sets of a group of the token-group matrix.
 GROUP = 32
 # Bits of the filter that picks texts to be compared; beyond it more texts travel, nothing is lost.
 FILTER_BITS = 1 << 22
+# Bits of the filter of common tokens; beyond it more tokens are left out, and more sets have keys of all their tokens.
+COMMON_BITS = 1 << 24
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -84,73 +92,137 @@ class SizeClasses:
             out.append(max(out[-1] + 1, int(out[-1] * CLASS_RATIO), 100 * out[-1] // self.percent + 1))
         return np.array([*out, max(out[-1] + 1, int(out[-1] * CLASS_RATIO))])
 
-    def blocks(self, bounds: np.ndarray) -> np.ndarray:
-        """Number of blocks of each class: one more than differences are possible, and the spare ones."""
-        return 2 * (bounds[1:] - 1) * (100 - self.percent) // (100 + self.percent) + 1 + SPARE
+    def differences(self, bounds: np.ndarray) -> np.ndarray:
+        """How many tokens two linked sets of a class may differ in."""
+        return 2 * (bounds[1:] - 1) * (100 - self.percent) // (100 + self.percent)
 
 
-def block_keys(tokens: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys of each set and their bounds; sets without possible partners have none."""
+def _cut_keys(
+    tokens: np.ndarray, which: np.ndarray, kind: np.ndarray, n_blocks: np.ndarray, cut: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Block hashes of sets by the cut's number, the set of each, and the block of each.
+
+    ``tokens`` are sorted within sets, ``which`` has the set of each; ``kind`` and ``n_blocks`` are by set.
+    """
+    place = tokens
+    if cut:
+        place = textbytes.mix64(tokens ^ (np.uint64(cut) * _ODD))
+    block = ((place >> np.uint64(32)) * n_blocks[which].astype(np.uint64)) >> np.uint64(32)
+    if cut:
+        order = np.lexsort((block, which))
+        tokens, which, block = tokens[order], which[order], block[order]
+    first = np.ones(len(tokens), dtype=bool)
+    first[1:] = (which[1:] != which[:-1]) | (block[1:] != block[:-1])
+    at = np.flatnonzero(first)
+    sums = np.add.reduceat(textbytes.mix64(tokens), at) if len(at) else np.zeros(0, np.uint64)
+    owner, block = which[at], block[at]
+    salt = (kind[owner] * len(CUTS) + cut).astype(np.uint64) * _ODD + block
+    return textbytes.mix64(sums + textbytes.mix64(salt)).view(np.int64), owner, block
+
+
+def block_keys(
+    tokens: np.ndarray, bounds: np.ndarray, percent: int, common: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Join keys of each set and their bounds; sets without possible partners have none. ``common`` marks tokens."""
     sizes = np.diff(bounds)
+    rare = tokens if common is None else tokens[~common]
+    rare_bounds = bounds if common is None else np.concatenate([[0], np.cumsum(~common)])[bounds]
     classes = SizeClasses(percent)
     if not len(sizes) or sizes.max() < classes.least:
         return np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
     edges = classes.bounds(int(sizes.max()))
-    n_blocks = classes.blocks(edges)
+    differences = classes.differences(edges)
     own = np.searchsorted(edges, sizes, side="right") - 1
     grows = (sizes >= classes.least) & (100 * sizes // percent >= edges[own + 1])
-    found, owner = [], []
+    found, owners = [], []
     for chosen, shift in ((sizes >= classes.least, 0), (grows, 1)):
         sets = np.flatnonzero(chosen)
-        if not len(sets):
-            continue
-        n = sizes[sets]
-        which = np.repeat(sets, n)
-        offset = np.concatenate([[0], np.cumsum(n)])
-        part = tokens[np.repeat(bounds[sets] - offset[:-1], n) + np.arange(offset[-1])]
-        kind = own[sets] + shift
-        m = n_blocks[kind]
-        with np.errstate(over="ignore"):
-            block = ((part >> np.uint64(32)) * np.repeat(m, n).astype(np.uint64)) >> np.uint64(32)
-            first = np.ones(len(part), dtype=bool)
-            first[1:] = (which[1:] != which[:-1]) | (block[1:] != block[:-1])
-            at = np.flatnonzero(first)
-            sums = np.add.reduceat(textbytes.mix64(part), at)
-            salt = np.repeat(kind, n)[at].astype(np.uint64) * _ODD + block[at]
-            found.append(textbytes.mix64(sums + textbytes.mix64(salt)).view(np.int64))
-            owner.append(which[at])
-            filled = np.bincount(which[at], minlength=len(sizes))[sets]
-            for i in np.flatnonzero(m - filled > SPARE).tolist():  # empty blocks count where there are many
-                mine = block[at][which[at] == sets[i]]
-                empty = np.setdiff1d(np.arange(m[i], dtype=np.uint64), mine)
-                found.append(textbytes.mix64(textbytes.mix64(np.uint64(kind[i]) * _ODD + empty) + _ODD).view(np.int64))
-                owner.append(np.full(len(empty), sets[i]))
-    keys, owner = np.concatenate(found), np.concatenate(owner)
+        for cut, (uncommon, share) in enumerate(CUTS):
+            if not len(sets):
+                break
+            of, at = (rare, rare_bounds) if uncommon else (tokens, bounds)
+            n = np.diff(at)[sets]
+            part = of[textbytes.ragged(at[sets], n)]
+            kind = own[sets] + shift
+            m = differences[kind] + 1 + np.maximum(LEAST_SPARE, np.ceil(share * differences[kind])).astype(np.int64)
+            with np.errstate(over="ignore"):
+                keys, owner, block = _cut_keys(part, np.repeat(np.arange(len(sets)), n), kind, m, cut)
+            found.append(keys)
+            owners.append(sets[owner])
+            filled = np.bincount(owner, minlength=len(sets))
+            # Of more filled blocks than differences one is the same in a linked set.
+            crowded = np.flatnonzero(filled <= differences[kind])
+            if cut == len(CUTS) - 1:
+                for i in crowded.tolist():
+                    empty = np.setdiff1d(np.arange(m[i], dtype=np.uint64), block[owner == i])
+                    with np.errstate(over="ignore"):
+                        found.append(textbytes.mix64(textbytes.mix64(np.uint64(kind[i]) * _ODD + empty) + _ODD).view(np.int64))
+                    owners.append(np.full(len(empty), sets[i]))
+            sets = sets[crowded]
+    keys, owner = np.concatenate(found), np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     return keys[order], np.searchsorted(owner[order], np.arange(len(bounds)))
 
 
-def _sketch(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, set name (NULL if empty) and join keys of every document."""
+def _sketch(docs: DataFrame, n: int) -> DataFrame:
+    """The key columns of (key columns, text), n_shingles and set name (NULL if empty) of every row."""
+    keys = docs.columns[:-1]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in textbytes.slices(batch.column(1)):
+            for part in textbytes.slices(batch.column(len(keys))):
                 tokens, bounds = token_sets(part, n)
-                keys, key_bounds = block_keys(tokens, bounds, percent)
                 sizes = np.diff(bounds)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(part.first, len(part)),
-                        pa.array(sizes),
-                        pa.array(set_names(tokens, bounds), mask=sizes == 0),
-                        pa.ListArray.from_arrays(pa.array(key_bounds, pa.int32()), pa.array(keys)),
-                    ],
-                    ["doc_id", "n_shingles", "name", "keys"],
-                )
+                columns = [c.slice(part.first, len(part)) for c in batch.columns[:-1]]
+                columns += [pa.array(sizes), pa.array(set_names(tokens, bounds), mask=sizes == 0)]
+                yield pa.RecordBatch.from_arrays(columns, [*keys, "n_shingles", "name"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(work, "doc_id long, n_shingles long, name long, keys array<long>")
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[:-1]]
+    return docs.mapInArrow(work, ", ".join([*kinds, "n_shingles long, name long"]))
+
+
+def _key_rows(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
+    """(key, name) of the sets, by the filter of common tokens; a task gives each set once."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for part in textbytes.slices(batch.column(0)):
+                tokens, bounds = token_sets(part, n)
+                names = set_names(tokens, bounds)
+                keys = block_keys(tokens, bounds, percent, bitfilter.passes(common, common_tokens.places(tokens)))
+                new, at = np.unique(names, return_index=True)
+                at = at[~np.isin(new, given)]
+                given = np.union1d(given, new)
+                count = np.diff(keys[1])[at]
+                rows = textbytes.ragged(keys[1][at], count)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[0][rows]), pa.array(np.repeat(names[at], count))], ["key", "name"])
+
+    return docs.select("text").mapInArrow(work, "key long, name long")
+
+
+def _near(keys: DataFrame) -> DataFrame:
+    """Links (a, b) of every set with the least set of its key; ``keys``: key, name, clustered and sorted by both."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, least = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            key, name = (c.to_numpy() for c in batch.columns)
+            if not len(key):
+                continue
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = key[1:] != key[:-1]
+            at = np.flatnonzero(new)
+            first = name[at]
+            if len(last) and key[0] == last[0]:  # the run began in an earlier batch
+                first = np.concatenate([least, first[1:]])
+            other = first[np.cumsum(new) - 1]
+            last, least = key[-1:], other[-1:]
+            apart = np.flatnonzero(name != other)
+            pairs = np.unique(np.column_stack([name[apart], other[apart]]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return keys.mapInArrow(work, "a long, b long")
 
 
 def _token_rows(docs: DataFrame, n: int, packed: np.ndarray) -> DataFrame:
@@ -162,8 +234,7 @@ def _token_rows(docs: DataFrame, n: int, packed: np.ndarray) -> DataFrame:
             for part in textbytes.slices(batch.column(0)):
                 tokens, bounds = token_sets(part, n)
                 names = set_names(tokens, bounds)
-                at = names.view(np.uint64) & np.uint64(FILTER_BITS - 1)
-                passing = (packed[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.int64))) & 1
+                passing = bitfilter.passes(packed, names)
                 out = ([], [])
                 for i in np.flatnonzero(passing & (np.diff(bounds) > 0)).tolist():
                     if (name := int(names[i])) not in given:
@@ -277,48 +348,57 @@ def _unit_links(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(work, "a long, b long")
 
 
-def link_documents(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every document.
-
-    Words stand between ASCII white space, A-Z in lower case. A document's set has its distinct n-grams; with fewer words,
-    the whole sequence as one. Documents link when ``100 * |intersection| >= percent * |union|``. NULL texts and texts
-    without words have no set and are linked with nothing. Repeated rows link to each other; a NULL doc_id counts only
-    where a class has no other. ``doc_id`` is read as a long; further columns are ignored; an empty table gives no rows.
-    """
+def _classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(name, component) of the sets of ``docs`` (a column text) that are linked with others."""
     spark = docs.sparkSession
-    storage.prepare(spark)
-    seen = storage.stored(_sketch(docs, n, percent), "sketches")
-    keys = seen.where("name is not null").select("name", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("name").alias("least"), F.max("name").alias("most")).where("least < most")
-    near = keys.join(shared, "key").select(F.col("name").alias("a"), F.col("least").alias("b")).where("a <> b")
-    hoods = storage.stored(components(near), "neighbourhoods")
-
-    bits = hoods.select(F.pmod("node", F.lit(FILTER_BITS)).cast("int").alias("bit")).distinct()
-    packed = np.zeros(FILTER_BITS, dtype=bool)
-    packed[[r["bit"] for r in bits.collect()]] = True  # at most FILTER_BITS numbers
-    packed = np.packbits(packed)
+
+    def sets(part: textbytes.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        tokens, bounds = token_sets(part, n)
+        return tokens, bounds, set_names(tokens, bounds)
+
+    many = common_tokens.common(docs, sets, COMMON, common_tokens.ranges(docs))
+    many = bitfilter.of(many, "place", COMMON_BITS)
+    keys = _key_rows(docs, n, percent, many).repartition("key").sortWithinPartitions("key", "name")
+    hoods, hoods_at = storage.written(components(_near(keys)), "neighbourhoods")
+    packed = bitfilter.of(hoods, "node", FILTER_BITS)
     tokens = (
         _token_rows(docs, n, packed)
         .join(hoods.select(F.col("node").alias("name"), F.col("component").alias("hood")), "name")
         .groupBy("name", "hood")
         .agg(F.first("tokens").alias("tokens"))
     )
-    tokens = storage.stored(tokens, "sets")
+    tokens, tokens_at = storage.written(tokens, "sets")
     size = F.length("tokens") / 8
-    chunks = tokens.groupBy("hood").agg(F.ceil(F.sum(size) / CHUNK_TOKENS).cast("int").alias("chunks"))
-    dealt = tokens.join(chunks, "hood").withColumn("chunk", F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int"))
+    chunks = tokens.groupBy("hood").agg(F.ceil(F.sum(size) / CHUNK_TOKENS).cast("int").alias("chunks"), F.count("*").alias("n"))
+    dealt = tokens.join(chunks.where("n > 1").drop("n"), "hood").withColumn(
+        "chunk", F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int")
+    )
     units = (
         dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select("hood", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "name", "tokens")
         .repartition("hood", "i", "j")
         .sortWithinPartitions("hood", "i", "j")
     )
-    groups = components(_unit_links(units, percent))
+    groups = components(_unit_links(units, percent)).withColumnRenamed("node", "name")
+    for path in (hoods_at, tokens_at):  # the components have been written
+        storage.remove(spark, path)
+    return groups
+
+
+def link_documents(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every document.
 
+    Words stand between ASCII white space, A-Z in lower case. A document's set has its distinct n-grams; with fewer words,
+    the whole sequence as one. Documents link when ``100 * |intersection| >= percent * |union|``. NULL texts and texts
+    without words have no set and are linked with nothing. Repeated rows link to each other; a NULL doc_id counts only
+    where a class has no other. ``doc_id`` is read as a long; further columns are ignored; an empty table gives no rows.
+    """
+    storage.prepare(docs.sparkSession)
+    groups = _classes(docs, n, percent)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    seen = storage.stored(_sketch(texts, n), "sketches")
     sets = seen.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("first"))
-    placed = sets.join(groups.withColumnRenamed("node", "name"), "name", "left").withColumn(
-        "component", F.coalesce("component", "name")
-    )
+    placed = sets.join(groups, "name", "left").withColumn("component", F.coalesce("component", "name"))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     named = placed.join(least, "component").select("name", "component_id")
     return (
@@ -332,22 +412,42 @@ def keep_one(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFrame:
     """``docs`` with one row of each class of linked texts: the one with the least ``doc_id``, NULL last.
 
     Every row is judged on its own text, so that repeated and missing keys name nothing else. Texts without words are linked
-    with nothing; of those with equal ``doc_id`` (not NULL) and text one stays.
+    with nothing; of those with equal ``doc_id`` (not NULL) and text one stays. Of rows that share the chosen ``doc_id`` and text
+    any one stays. Columns may have any names.
     """
-    # Stored, so that a row has the same number whenever it is read.
-    rows = storage.stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    linked = link_documents(rows.select(F.col("_row").alias("doc_id"), "text"), n=n, percent=percent)
-    linked = linked.select(F.col("doc_id").alias("_row"), "component_id")
-    blank = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()
-    keys = rows.select("_row", "doc_id", blank.alias("blank"), F.when(blank, F.col("text")).alias("blanks"))
-    least = (
-        keys.join(linked, "_row")
-        .groupBy(
-            F.when(~F.col("blank"), F.col("component_id")).alias("component"),
-            F.when(F.col("blank"), F.col("doc_id")).alias("key"),
-            "blanks",
-        )
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_row")).alias("least"))
+    spark = docs.sparkSession
+    storage.prepare(spark)
+    groups = _classes(docs, n, percent)
+    digest = F.coalesce(F.sha2(F.col("text").cast("string"), 256), F.lit(""))
+    rows = docs.select(F.col("doc_id").alias("id"), digest.alias("digest"), "text")
+    seen = _sketch(rows, n).where("name is not null or id is not null")
+    # Rows of a text under one key, by class; a text without words is a class for each key.
+    texts = seen.groupBy("name", "id", "digest").agg(F.count("*").alias("n")).join(groups, "name", "left")
+    texts = texts.select(
+        F.coalesce("component", "name").alias("component"),
+        F.when(F.col("name").isNull(), F.struct("id", "digest")).alias("blank"),
+        F.struct(F.col("id").isNull().alias("missing"), "id", "digest").alias("row"),
+        "n",
+    )
+    texts = storage.stored(texts, "texts")
+    least = texts.groupBy("component", "blank").agg(F.min("row").alias("least"))
+    same = texts["component"].eqNullSafe(least["component"]) & texts["blank"].eqNullSafe(least["blank"])
+    ranked = texts.join(least, same).select("row.id", "row.digest", "n", (F.col("row") == F.col("least")).alias("chosen"))
+    id_, digest_ = storage.unused_names(docs, "id", "digest")
+    ranked = storage.stored(
+        ranked.where("not chosen or n > 1").select(F.col("id").alias(id_), F.col("digest").alias(digest_), "chosen"), "others"
+    )
+
+    def named(side: DataFrame):
+        return F.col("doc_id").eqNullSafe(F.col(id_)) & (digest == F.col(digest_))
+
+    gone = ranked.where("not chosen").drop("chosen")
+    kept = docs.join(storage.small_side(gone), named(gone), "left_anti")
+    repeated = ranked.where("chosen").drop("chosen")
+    if repeated.isEmpty():
+        return kept
+    repeated = storage.small_side(repeated)
+    one = kept.join(repeated, named(repeated)).groupBy(id_, digest_).agg(
+        F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row")
     )
-    kept = rows.join(least.select("least._row"), "_row", "left_semi")
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return kept.join(repeated, named(repeated), "left_anti").unionAll(one.select("row.*"))

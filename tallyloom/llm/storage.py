@@ -14,7 +14,7 @@ _shipped: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``, else the session's warehouse; never a folder of one machine."""
+    """The folder named in ``spark.checkpoint.dir``, else the session's warehouse, which on a cluster must be shared, too."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return root.rstrip("/")
 
@@ -23,11 +23,33 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as parquet to the shared folder and read again: later jobs start from the files."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written as parquet to the shared folder and read again, and the folder: later jobs start from the files."""
     path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as parquet to the shared folder and read again."""
+    return written(df, name)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``written`` made and that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def unused_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 # Keys up to this number are sent to every executor (some 40 MB).

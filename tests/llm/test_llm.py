@@ -14,6 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.llm import (
+    bitfilter,
+    common_tokens,
     components,
     decontaminate,
     hyperlang,
@@ -546,6 +548,77 @@ def test_jaccard_in_many_chunks(spark, monkeypatch):
     assert Counter(map(tuple, got)) == Counter(brute_classes(rows))
 
 
+@pytest.mark.parametrize("common", [2, 3, 6])
+def test_jaccard_classes_do_not_depend_on_what_is_common(spark, monkeypatch, common):
+    monkeypatch.setattr(jaccard_groups, "COMMON", common)
+    rows = chained_copies(11)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for n, percent in ((3, 90), (5, 80)):
+        got = jaccard_groups.link_documents(docs, n=n, percent=percent).collect()
+        assert Counter(map(tuple, got)) == Counter(brute_classes(rows, n, percent))
+
+
+def test_common_tokens():
+    rng = np.random.default_rng(1)
+    numbers = np.sort(rng.integers(0, 1 << 32, 500, dtype=np.uint64))
+    for x in (numbers, np.repeat(numbers, 2), numbers[:1]):
+        assert (common_tokens.unpacked(common_tokens.packed(x), len(x)) == x).all()
+
+
+def test_common_tokens_are_counted_over_all_tasks(spark, given):
+    docs = spark.createDataFrame([r[:2] for r in given], "doc_id long, text string").repartition(5)
+
+    def sets(part):
+        tokens, bounds = jaccard_groups.token_sets(part, 3)
+        return tokens, bounds, jaccard_groups.set_names(tokens, bounds)
+
+    # One task counts equal sets once.
+    one = docs.coalesce(1)
+    storage.prepare(spark)
+    counts, seen = Counter(), set()
+    for part in textbytes.slices(pa.array([r[1] for r in given])):
+        tokens, bounds, names = sets(part)
+        for i, name in enumerate(names.tolist()):
+            if name not in seen:
+                seen.add(name)
+                counts.update(common_tokens.places(tokens[bounds[i] : bounds[i + 1]]).tolist())
+    for n_ranges in (256, 4096):
+        got = [r["place"] for r in common_tokens.common(one, sets, 4, n_ranges).collect()]
+        assert sorted(got) == sorted(t for t, n in counts.items() if n >= 4) and got
+    more = {r["place"] for r in common_tokens.common(docs, sets, 4, common_tokens.ranges(docs)).collect()}
+    assert more >= set(got)
+
+
+def test_neighbourhoods_stay_small(spark):
+    """Passages that many documents share do not join them to one neighbourhood."""
+    rng = random.Random(14)
+    passages = [" ".join(f"p{rng.randint(0, 9999)}" for _ in range(60)) for _ in range(3)]
+    rows = [(k, " ".join([f"w{rng.randint(0, 99999)}" for _ in range(150)] + rng.sample(passages, 2))) for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    storage.prepare(spark)
+
+    def sets(part):
+        tokens, bounds = jaccard_groups.token_sets(part, 5)
+        return tokens, bounds, jaccard_groups.set_names(tokens, bounds)
+
+    many = bitfilter.of(common_tokens.common(docs, sets, 32, 256), "place", jaccard_groups.COMMON_BITS)
+    for filter_, small in ((many, True), (np.zeros_like(many), False)):
+        keys = jaccard_groups._key_rows(docs, 5, 80, filter_).repartition("key").sortWithinPartitions("key", "name")
+        found = components.components(jaccard_groups._near(keys)).groupBy("component").count().agg(F.max("count")).first()[0] or 0
+        assert (found <= 12) == small
+
+
+def test_names_of_columns_are_kept(spark, sf_dir):
+    names = ["_row", "_gone", "_found", "_near", "id", "digest", "gone", "found", "near", "missing", "blank", "name", "chosen"]
+    docs = spark.createDataFrame([(1, "one two three four", "en"), (2, "one two three four", None), (2, "5", "fr"), (None, "le a", "fr")], "doc_id long, text string, lang string")
+    docs = docs.select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    items = spark.createDataFrame([(1, "nothing of that")], "item_id long, text string")
+    for kept in (jaccard_groups.keep_one(docs), decontaminate.keep_clean(docs, items), hyperlang.keep_known(docs)):
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert rows and all(r[n] == k for r in rows for k, n in enumerate(names))
+
+
 def test_jaccard_edges(spark, odd, odd_rows, empty):
     got = jaccard_groups.link_documents(odd).collect()
     want = brute_classes([r[:2] for r in odd_rows])

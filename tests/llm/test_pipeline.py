@@ -23,7 +23,7 @@ def test_stages(spark, sf_dir):
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
     docs, rows = step("language", docs)
     assert rows == {k: t for k, t in before.items() if any(c.isalpha() for c in t or "")}
-    classes = brute_classes(sorted(rows.items()))
+    classes = brute_classes(sorted(rows.items()), n=5, percent=80)
     docs, kept = step("near_duplicates", docs)
     assert kept == {d: rows[d] for d, _, c in classes if d == c}
     dirty = {r[0] for r in brute_passages(kept.items(), items) if r[5]}
