@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rollup import ROWS, Rows
+
 Dims = str | Sequence[str] | Mapping[str, Column]
 
 
@@ -38,21 +40,23 @@ def compare_by(
     reverse: bool = False,
     digits: int = 2,
     ordered: bool = True,
+    of: Rows = ROWS,
 ) -> DataFrame:
     """Sums of two measures per group with absolute and relative difference.
 
     ``dims`` are column names or ``{name: expression}``. ``reverse`` compares b
     to a, ``count`` names a row-count column, ``stddev`` adds the sample
     standard deviations. Largest relative difference first; ties by group.
+    ``df`` has rows, or cells of a fold with ``of=CELLS``.
     """
     names, exprs = _dims(dims)
     if where is not None:
         df = df.where(where)
-    aggs = [F.sum(a).alias(f"sum_{a}"), F.sum(b).alias(f"sum_{b}")]
+    aggs = [of.sum(a).alias(f"sum_{a}"), of.sum(b).alias(f"sum_{b}")]
     if stddev:
-        aggs += [F.stddev_samp(a).alias(f"stddev_{a}"), F.stddev_samp(b).alias(f"stddev_{b}")]
+        aggs += [of.stddev(a).alias(f"stddev_{a}"), of.stddev(b).alias(f"stddev_{b}")]
     if count:
-        aggs.append(F.count(F.lit(1)).alias(count))
+        aggs.append(of.count().alias(count))
     first, second = (b, a) if reverse else (a, b)
     x, y = F.col(f"sum_{first}"), F.col(f"sum_{second}")
     out = df.groupBy(*exprs).agg(*aggs).withColumns(
@@ -70,12 +74,13 @@ def share_by(
     where: Column | None = None,
     digits: int = 2,
     ordered: bool = True,
+    of: Rows = ROWS,
 ) -> DataFrame:
     """Shares of two measures in a total, per group; the gap is taken before rounding."""
     names, exprs = _dims(dims)
     if where is not None:
         df = df.where(where)
-    sums = df.groupBy(*exprs).agg(*[F.sum(c).alias(f"_{c}") for c in dict.fromkeys([a, b, total])])
+    sums = df.groupBy(*exprs).agg(*[of.sum(c).alias(f"_{c}") for c in dict.fromkeys([a, b, total])])
     share_a = F.try_divide(F.col(f"_{a}"), F.col(f"_{total}"))
     share_b = F.try_divide(F.col(f"_{b}"), F.col(f"_{total}"))
     out = sums.select(
@@ -100,6 +105,7 @@ def having_mixed_groups(
     without_name: str = "n_without",
     digits: int = 2,
     ordered: bool = True,
+    of: Rows = ROWS,
 ) -> DataFrame:
     """Groups that hold rows both with and without ``flag`` and whose summed size is within a limit.
 
@@ -109,13 +115,13 @@ def having_mixed_groups(
     out = (
         df.groupBy(key)
         .agg(
-            *[F.max(c).alias(c) for c in labels],
-            F.count(F.lit(1)).alias("total"),
-            F.sum(size).alias(f"sum_{size}"),
-            F.sum(F.when(F.col(flag) == 1, 1).otherwise(0)).alias(with_name),
-            F.sum(F.when(F.col(flag) == 0, 1).otherwise(0)).alias(without_name),
-            F.sum(a).alias(f"sum_{a}"),
-            F.sum(b).alias(f"sum_{b}"),
+            *[of.max(c).alias(c) for c in labels],
+            of.count().alias("total"),
+            of.sum(size).alias(f"sum_{size}"),
+            of.count_where(F.col(flag) == 1).alias(with_name),
+            of.count_where(F.col(flag) == 0).alias(without_name),
+            of.sum(a).alias(f"sum_{a}"),
+            of.sum(b).alias(f"sum_{b}"),
         )
         .where((F.col(f"sum_{size}") <= max_size) & (F.col(with_name) > 0) & (F.col(without_name) > 0))
     )
@@ -125,11 +131,11 @@ def having_mixed_groups(
 
 
 def sum_pair_by_group(
-    df: DataFrame, dims: Dims, a: str, b: str, where: Column | None = None, total: bool = False
+    df: DataFrame, dims: Dims, a: str, b: str, where: Column | None = None, total: bool = False, of: Rows = ROWS
 ) -> DataFrame:
     """Two sums per group with their difference, or with their total instead."""
     _, exprs = _dims(dims)
     if where is not None:
         df = df.where(where)
-    last = (F.sum(a) + F.sum(b)).alias("total") if total else (F.sum(a) - F.sum(b)).alias("dif")
-    return df.groupBy(*exprs).agg(F.sum(a).alias(f"sum_{a}"), F.sum(b).alias(f"sum_{b}"), last)
+    x, y = of.sum(a), of.sum(b)
+    return df.groupBy(*exprs).agg(x.alias(f"sum_{a}"), y.alias(f"sum_{b}"), (x + y).alias("total") if total else (x - y).alias("dif"))

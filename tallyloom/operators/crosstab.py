@@ -8,10 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rollup import ROWS, Rows
 
-def crosstab_long(df: DataFrame, rows: str, columns: str, name: str = "n") -> DataFrame:
+
+def crosstab_long(df: DataFrame, rows: str, columns: str, name: str = "n", of: Rows = ROWS) -> DataFrame:
     """One row per pair of values that occurs, with its count; any cardinality."""
-    return df.groupBy(rows, columns).agg(F.count(F.lit(1)).alias(name))
+    return df.groupBy(rows, columns).agg(of.count().alias(name))
 
 
 def crosstab_wide(
@@ -21,6 +23,7 @@ def crosstab_wide(
     values: Sequence,
     prefix: str | None = None,
     ordered: bool = False,
+    of: Rows = ROWS,
 ) -> DataFrame:
     """One row per value of ``rows``, one count column per stated value of ``columns`` and one for all others.
 
@@ -36,5 +39,5 @@ def crosstab_wide(
     stated = reduce(Column.__or__, hits.values(), F.lit(False))
     cells = [F.sum(F.when(hit, F.col("n")).otherwise(0)).alias(name) for name, hit in hits.items()]
     cells.append(F.sum(F.when(stated, 0).otherwise(F.col("n"))).alias(f"{prefix}other"))
-    out = crosstab_long(df, rows, columns).groupBy(rows).agg(*cells)
+    out = crosstab_long(df, rows, columns, of=of).groupBy(rows).agg(*cells)
     return out.orderBy(F.asc_nulls_last(rows)) if ordered else out

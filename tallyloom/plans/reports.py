@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import before_cutoff_flag
 from ..operators import (
+    CELLS,
+    ROWS,
+    Folds,
     compare_by,
     crosstab_long,
     crosstab_wide,
@@ -24,6 +27,7 @@ from ..operators import (
     sum_pair_by_group,
     top_n,
 )
+from ..operators.rollup import Rows
 from ..sources import StageStore, write_parquet
 
 
@@ -69,20 +73,36 @@ def _point(n: Names) -> Column:
     return condition
 
 
-def comparisons(p: DataFrame, vm: DataFrame, n: Names = Names(), digits: int = 2) -> dict[str, Callable[[], DataFrame]]:
-    """The grouped comparison reports; call an entry to get its DataFrame."""
+def derived_dims(n: Names) -> dict[str, Column]:
+    """Dims of reports that are no columns of the section table."""
+    return {
+        "opened_before_start": before_cutoff_flag(n.opened, n.opening),
+        "opened_early": before_cutoff_flag(n.opened, n.early_opening),
+        "at_point": _point(n),
+    }
+
+
+def _comparisons(
+    table: Callable[[str, set[str]], DataFrame], derived: Mapping[str, Column], n: Names, digits: int, of: Rows
+) -> dict[str, Callable[[], DataFrame]]:
+    """The comparisons over ``table(name, columns)``, which gives "p" or "vm" with at least these columns."""
     known = F.col(n.model) != n.no_model
     home = F.col(n.region) != n.abroad
 
-    def by(dims, where=None, df=p, **options):
-        return lambda: compare_by(df, dims, n.a, n.b, where=where, digits=digits, **options)
+    def by(dims, where=None, reads=(), name="p", **options):
+        columns = {dims, *reads} if isinstance(dims, str) else set(reads)
+        return lambda: compare_by(table(name, columns), dims, n.a, n.b, where=where, digits=digits, of=of, **options)
 
     def share(dim):
-        return lambda: share_by(p, dim, n.a, n.b, n.eligible, digits=digits)
+        return lambda: share_by(table("p", {dim}), dim, n.a, n.b, n.eligible, digits=digits, of=of)
+
+    def opened(dim):
+        return by({"abertura_antes_inicio": derived[dim]}, home, {dim, n.region})
 
-    def opened_before(cutoff):
-        return {"abertura_antes_inicio": before_cutoff_flag(n.opened, cutoff)}
+    def pair(dim, name="p", **options):
+        return lambda: sum_pair_by_group(table(name, {dim}), dim, n.a, n.b, of=of, **options)
 
+    model, both = {n.model}, {n.model, n.group}
     return {
         "cmp_01": by(n.group),
         "cmp_02": by(n.new_model),
@@ -96,22 +116,78 @@ def comparisons(p: DataFrame, vm: DataFrame, n: Names = Names(), digits: int = 2
         "cmp_10": by(n.state),
         "cmp_11": share(n.new_model),
         "cmp_12": share(n.model),
-        "cmp_13": by(opened_before(n.opening), home),
+        "cmp_13": opened("opened_before_start"),
         "cmp_14": lambda: having_mixed_groups(
-            p, n.zone, n.a, n.b, n.zone_labels, n.eligible, n.zone_limit, n.new_model, digits=digits
+            table("p", {n.zone, n.new_model}),
+            n.zone,
+            n.a,
+            n.b,
+            n.zone_labels,
+            n.eligible,
+            n.zone_limit,
+            n.new_model,
+            digits=digits,
+            of=of,
         ),
-        "cmp_15": by(n.model, _point(n), count="total_secoes"),
-        "cmp_16": by(opened_before(n.early_opening), home),
-        "cmp_17": by(n.model, known & F.col(n.group).isin(list(n.others))),
-        "cmp_18": by(n.model, known & (F.col(n.group) == n.last_group)),
-        "cmp_19": by(n.new_model, known & (F.col(n.group) != n.last_group)),
-        "cmp_20": by(n.new_model, known & (F.col(n.group) == n.last_group)),
-        "cmp_21": by(n.new_model, known, df=vm, stddev=True),
-        "cmp_22": lambda: sum_pair_by_group(p, n.group, n.a, n.b, where=F.col(n.group) == 0),
-        "cmp_23": lambda: sum_pair_by_group(vm, n.new_model, n.a, n.b, total=True),
+        "cmp_15": by(n.model, derived["at_point"], {"at_point"}, count="total_secoes"),
+        "cmp_16": opened("opened_early"),
+        "cmp_17": by(n.model, known & F.col(n.group).isin(list(n.others)), both),
+        "cmp_18": by(n.model, known & (F.col(n.group) == n.last_group), both),
+        "cmp_19": by(n.new_model, known & (F.col(n.group) != n.last_group), both),
+        "cmp_20": by(n.new_model, known & (F.col(n.group) == n.last_group), both),
+        "cmp_21": by(n.new_model, known, model, name="vm", stddev=True),
+        "cmp_22": pair(n.group, where=F.col(n.group) == 0),
+        "cmp_23": pair(n.new_model, name="vm", total=True),
     }
 
 
+def comparisons(p: DataFrame, vm: DataFrame, n: Names = Names(), digits: int = 2) -> dict[str, Callable[[], DataFrame]]:
+    """The grouped comparison reports; call an entry to get its DataFrame."""
+    return _comparisons(lambda name, columns: vm if name == "vm" else p, derived_dims(n), n, digits, ROWS)
+
+
+@dataclass
+class ReportFolds:
+    """Folds of the section tables that answer every comparison and contingency table."""
+
+    p: Folds
+    vm: Folds
+    n: Names
+
+    def comparisons(self, digits: int = 2) -> dict[str, Callable[[], DataFrame]]:
+        def table(name, columns):
+            return (self.vm if name == "vm" else self.p).smallest(columns)
+
+        return _comparisons(table, {d: F.col(d) for d in derived_dims(self.n)}, self.n, digits, CELLS)
+
+    def crosstabs(self, values: Mapping[str, list] | None = None, wide: bool = True) -> dict[str, Callable[[], DataFrame]]:
+        return _crosstabs(self.p.smallest, self.n, values, wide, CELLS)
+
+
+def fold_reports(p: DataFrame, vm: DataFrame, store: StageStore, n: Names = Names()) -> ReportFolds:
+    """Read ``p`` and ``vm`` once each, and store the cells of their reports.
+
+    Zones are many and have a set of their own; the flags that contingency tables pair have another one, smaller than that of all dims.
+    """
+    pairs = crosstab_pairs(n).values()
+    flags = dict.fromkeys(c for rows, columns, _ in pairs for c in (rows, columns))
+    single = dict.fromkeys([*flags, n.b_wins, n.tie, n.state, *derived_dims(n)])
+    dims = {c: c for c in [*single, n.zone] if c not in derived_dims(n)} | derived_dims(n)
+    sets = [
+        [n.zone, n.new_model],
+        [n.group, n.model, n.new_model],
+        [n.region, *derived_dims(n), n.model],
+        [n.late, n.spare, n.a_wins, n.b_wins, n.tie, n.has_workers, n.new_model, n.group],
+        [n.region, n.a_wins, n.new_model, n.group],
+        [n.state],
+    ]
+    folded = Folds.store(store, "folds_p", p, dims, sets, sums=[n.a, n.b, n.eligible], maxima=list(n.zone_labels))
+    whole = Folds.store(
+        store, "folds_vm", vm, {n.new_model: n.new_model, n.model: n.model}, [[n.new_model, n.model]], squares=[n.a, n.b]
+    )
+    return ReportFolds(folded, whole, n)
+
+
 def crosstab_pairs(n: Names = Names()) -> dict[str, tuple[str, str, bool]]:
     """(rows, columns, ordered) of each contingency table."""
     return {
@@ -136,18 +212,24 @@ def crosstab_values(n: Names = Names(), groups: int = 4) -> dict[str, list]:
     return {n.group: list(range(groups)), n.model: list(n.models), **flags}
 
 
-def crosstabs(
-    p: DataFrame, n: Names = Names(), values: Mapping[str, list] | None = None, wide: bool = True
+def _crosstabs(
+    table: Callable[[set[str]], DataFrame], n: Names, values: Mapping[str, list] | None, wide: bool, of: Rows
 ) -> dict[str, Callable[[], DataFrame]]:
-    """The contingency tables. ``values`` replaces the column values of ``crosstab_values`` per column."""
     stated = {**crosstab_values(n), **(values or {})}
 
-    def table(rows, columns, ordered):
+    def make(rows, columns, ordered):
         if not wide:
-            return lambda: crosstab_long(p, rows, columns)
-        return lambda: crosstab_wide(p, rows, columns, stated[columns], ordered=ordered)
+            return lambda: crosstab_long(table({rows, columns}), rows, columns, of=of)
+        return lambda: crosstab_wide(table({rows, columns}), rows, columns, stated[columns], ordered=ordered, of=of)
 
-    return {name: table(*spec) for name, spec in crosstab_pairs(n).items()}
+    return {name: make(*spec) for name, spec in crosstab_pairs(n).items()}
+
+
+def crosstabs(
+    p: DataFrame, n: Names = Names(), values: Mapping[str, list] | None = None, wide: bool = True
+) -> dict[str, Callable[[], DataFrame]]:
+    """The contingency tables. ``values`` replaces the column values of ``crosstab_values`` per column."""
+    return _crosstabs(lambda columns: p, n, values, wide, ROWS)
 
 
 def distribution_specs(n: Names = Names()) -> dict[str, list[tuple[int | None, str, float]]]:
@@ -199,8 +281,12 @@ def top_shares(p: DataFrame, columns: list[str], n: Names = Names(), limit: int
 
 
 def write_reports(p: DataFrame, vm: DataFrame, store: StageStore, n: Names = Names(), variant: str = "C") -> list[str]:
-    """Store every comparison, contingency table and joint plot under its name."""
-    made = {**comparisons(p, vm, n), **crosstabs(p, n)}
+    """Store every comparison, contingency table and joint plot under its name.
+
+    ``p`` and ``vm`` are read once each for all comparisons and contingency tables.
+    """
+    folds = fold_reports(p, vm, store, n)
+    made = {**folds.comparisons(), **folds.crosstabs()}
     for name, make in made.items():
         write_parquet(make(), store.path(name))
     written = list(made)
