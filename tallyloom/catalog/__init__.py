@@ -1,6 +1,6 @@
 """All named queries; importing the package registers them."""
 
-from . import columns, distributions, folds, joins, mixtures, reports, rollups, sections, tables
+from . import columns, distributions, folds, intervals, joins, mixtures, reports, rollups, sections, tables
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "columns", "distributions", "folds", "joins", "mixtures", "reports", "rollups", "sections", "tables"]
+__all__ = ["QUERIES", "SQL", "columns", "distributions", "folds", "intervals", "joins", "mixtures", "reports", "rollups", "sections", "tables"]

@@ -3,6 +3,7 @@
 from .compare import compare_by, having_mixed_groups, relative_difference, share_by, sum_pair_by_group
 from .crosstab import crosstab_long, crosstab_wide
 from .density import density_grid, density_levels, iso_proportions, joint_distribution, marginal_histogram
+from .intervals import interval_join, range_bucket_from_table
 from .joins import (
     FanoutError,
     enrich_detail,
