@@ -3,8 +3,11 @@
 An event is a byte with the bytes before it, packed into one number: the byte itself lowest, then its predecessors back
 to the space before the word (``within_words``) or to the text's start, eight bytes in all at most. A gram of order m is
 an event cut to m bytes; shorter histories keep their full length. Counts, continuation counts, discounts, context totals
-and probabilities are joins and aggregates of count tables, dealt by gram. Texts to be scored are packed into slices of bounded
-size; each slice asks once for each of its distinct grams, the answers are joined by exact gram and meet the texts again by slice.
+and probabilities are joins and aggregates of count tables, dealt by gram.
+
+A model of up to ``MODEL_ROWS`` grams of the highest order, counted first, is given to all tasks, which back off by themselves. For a larger one
+the texts are packed into slices of bounded size; each slice asks once for each of its distinct grams, the answers are
+joined by exact gram and meet the texts again by slice. Results are the same.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from tallyloom.llm import storage, textbytes
 
 _ODD = 0x9E3779B97F4A7C15
 _TRAIN_SLICE = 4 << 20
+# Grams of the highest order of a model that is given to all tasks; with its shorter grams and contexts some 60 bytes each.
+MODEL_ROWS = 1 << 21
 
 
 def events(
@@ -64,11 +69,6 @@ def events(
     return packed[real], bounds - np.concatenate([[0], np.cumsum(n_words > 0)])
 
 
-def slot(grams: np.ndarray, bits: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((grams ^ (grams >> np.uint64(29))) * np.uint64(_ODD) >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def count_events(
     texts: DataFrame, inside: np.ndarray, within_words: bool, order: int, distinct: bool = False
 ) -> DataFrame:
@@ -234,24 +234,83 @@ def gather(
     return dealt.applyInArrow(work, schema)
 
 
-def slot_table(rows: DataFrame, bits: int) -> np.ndarray:
-    """Values by slot from (key, value, weight), averaged by weight where keys share a slot; 0 where there is none.
+class Sorted:
+    """Values by sorted numbers."""
 
-    At most ``2 ** bits`` rows reach the driver.
-    """
+    def __init__(self, numbers: np.ndarray, values: np.ndarray) -> None:
+        place = np.argsort(numbers.view(np.uint64))
+        self.numbers, self.values = numbers.view(np.uint64)[place], values[place]
+
+    @classmethod
+    def of_rows(cls, rows: DataFrame) -> Sorted:
+        """All of (number, value): the caller has counted them."""
+        table = rows.toArrow()
+        return cls(*(c.to_numpy() for c in table.columns))
+
+    def find(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each number, 0 where it has none, and whether it has one."""
+        if not len(self.numbers):
+            return np.zeros(len(numbers)), np.zeros(len(numbers), dtype=bool)
+        at = np.minimum(np.searchsorted(self.numbers, numbers), len(self.numbers) - 1)
+        has = self.numbers[at] == numbers
+        return np.where(has, self.values[at], 0.0), has
+
+
+class Known:
+    """Values of grams of one order that a task has by itself."""
+
+    def __init__(self, order: int, table: Sorted) -> None:
+        self.mask, self.table = np.uint64((1 << 8 * order) - 1), table
+
+    def of(self, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        grams, which = np.unique(packed & self.mask, return_inverse=True)
+        values, has = self.find(grams)
+        return values[which], has[which]
+
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.table.find(grams)
+
+
+class Backing(Known):
+    """Log probabilities of any gram by the tables of all orders, from the lowest up."""
+
+    def __init__(self, levels: list[tuple[int, Sorted, Sorted]]) -> None:
+        super().__init__(levels[-1][0], levels[-1][1])
+        self.levels = levels
+
+    @classmethod
+    def of_model(cls, model: list[tuple[int, DataFrame, DataFrame]]) -> Backing:
+        return cls(
+            [
+                (order, Sorted.of_rows(p.select("gram", F.log("p"))), Sorted.of_rows(c.select("context", F.log("gamma"))))
+                for order, p, c in model
+            ]
+        )
+
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lower, out = 0, np.full(len(grams), np.log(1 / 256))
+        for order, table, contexts_ in self.levels:
+            part = grams & np.uint64((1 << 8 * order) - 1)
+            found, seen = table.find(part)
+            backed = out + contexts_.find(part >> np.uint64(8))[0]  # an unknown context leaves all to the shorter gram
+            longer = (part >> np.uint64(8 * lower)) != 0 if lower else np.ones(len(part), dtype=bool)
+            out = np.where(longer, np.where(seen, found, backed), out)
+            lower = order
+        return out, np.ones(len(grams), dtype=bool)
+
+
+def in_place(
+    texts: DataFrame, known: Known, score: Callable[[pa.RecordBatch, Known], pa.RecordBatch], schema: str
+) -> DataFrame:
+    """``score`` of (key columns, text) by what every task knows."""
+    shared = texts.sparkSession.sparkContext.broadcast(known)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, values, weights = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            at = slot(keys.view(np.uint64), bits)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at.astype(np.int32)), pa.array(values * weights), pa.array(weights)], ["slot", "vw", "w"]
-            )
+            yield score(batch, shared.value)
 
-    key, value, weight = rows.columns
-    typed = rows.select(F.col(key).cast("long"), F.col(value).cast("double"), F.col(weight).cast("double"))
-    dealt = typed.mapInArrow(work, "slot int, vw double, w double").groupBy("slot")
-    found = dealt.agg((F.sum("vw") / F.sum("w")).cast("float").alias("v")).toArrow()
-    out = np.zeros(1 << bits, dtype=np.float32)
-    out[found["slot"].to_numpy()] = found["v"].to_numpy()
-    return out
+    return texts.mapInArrow(work, schema)
+
+
+def is_small(counts: DataFrame) -> bool:
+    return counts.limit(MODEL_ROWS + 1).count() <= MODEL_ROWS

@@ -1,9 +1,8 @@
 """Quality of texts by the perplexity of an interpolated modified Kneser-Ney model of trusted text.
 
 The model gives a byte after up to four bytes before it, spaces between words included. N-gram counts of all trusted texts
-are dealt by n-gram and joined with their contexts and their shorter n-grams, order by order, together with the n-grams of
-the texts to be scored: those that trusted text has not are counted zero times and back off. Each slice of texts gets the
-probabilities of its own n-grams. Thresholds are quantiles of the perplexities of trusted texts that were not counted, by language.
+are dealt by n-gram and joined with their contexts and their shorter n-grams, order by order; n-grams of the texts to be scored that
+trusted text has not back off. Thresholds are quantiles of the perplexities of trusted texts that were not counted, by language.
 """
 
 from __future__ import annotations
@@ -19,52 +18,37 @@ from tallyloom.llm import kneser_ney as kn
 from tallyloom.llm import storage, textbytes
 
 ORDERS = [5, 4, 3, 2, 1]
-QUANTILE = 0.99
-# A text may exceed the quantile by this factor: short texts scatter.
-MARGIN = 1.3
+QUANTILE = 0.995
 # Perplexities are compared in steps of this size, which makes quantiles sums of counts.
 STEP = 0.001
+# Bytes of texts that are scored at a time.
+SLICE = 2 << 20
 
 
-class Model:
-    """Log probabilities and back-off weights of a small model by order and slot; zero where the model has none."""
-
-    def __init__(self, orders: list[int], bits: int) -> None:
-        self.orders, self.bits = sorted(orders), bits
-        self.log_p: list[np.ndarray] = []
-        self.log_gamma: list[np.ndarray] = []
-
-    def score(self, packed: np.ndarray) -> np.ndarray:
-        """Log probability of each packed event."""
-        lower, out = 0, np.full(len(packed), np.log(1 / 256))
-        for order, p, gamma in zip(self.orders, self.log_p, self.log_gamma):
-            grams = packed & np.uint64((1 << 8 * order) - 1)
-            longer = (grams >> np.uint64(8 * lower)) != 0  # else it is a gram of the order below
-            seen = p[kn.slot(grams, self.bits)]
-            backed = out + gamma[kn.slot(grams >> np.uint64(8), self.bits)]
-            out = np.where(longer, np.where(seen != 0, seen, backed), out)
-            lower = order
-        return out
+def count(trusted: DataFrame, orders: list[int] = ORDERS) -> DataFrame:
+    """(gram, n) of the texts of the column ``text``."""
+    rows = trusted.where("text is not null").select("text", F.lit(0).alias("kind"))
+    counts = kn.count_events(rows, textbytes.SPACED, False, orders[0])
+    return storage.stored(counts.select("gram", F.col("n0").alias("n")), "counts")
 
 
-def log_probabilities(trusted: DataFrame, asked: DataFrame, orders: list[int] = ORDERS) -> DataFrame:
-    """(gram, v): log probability of each of the grams ``asked`` and of those of the column ``text``, each gram once."""
-    rows = trusted.where("text is not null").select("text", F.lit(0).alias("kind"))
-    counts = kn.count_events(rows, textbytes.SPACED, False, orders[0]).select("gram", F.col("n0").alias("n"))
+def log_probabilities(counts: DataFrame, asked: DataFrame, orders: list[int] = ORDERS) -> DataFrame:
+    """(gram, v): log probability of each of the grams ``asked`` and of those of ``counts``, each gram once."""
     counts = counts.unionAll(asked.select("gram", F.lit(0).cast("long").alias("n"))).groupBy("gram").agg(F.sum("n").alias("n"))
-    first, *rest = (level for _, level, _ in kn.probabilities(storage.stored(counts, "counts"), orders))
+    first, *rest = (level for _, level, _ in kn.probabilities(storage.stored(counts, "asked"), orders))
     for level in rest:
         first = first.unionAll(level)
     return first.select("gram", F.log("p").alias("v"))
 
 
-def perplexities(slices: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
-    """The key columns of packed rows (``keys`` as "name type") and ``perplexity`` per byte, NULL for texts without words."""
-    names = [*(k.split(" ")[0] for k in keys), "perplexity"]
+def perplexities(texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """The key columns of (key columns, text) and ``perplexity`` per byte, NULL for texts without words."""
+    keys = [f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields[:-1]]
+    names = [*texts.columns[:-1], "perplexity"]
 
-    def score(batch: pa.RecordBatch, known: kn.Values) -> pa.RecordBatch:
+    def score(batch: pa.RecordBatch, known: kn.Known | kn.Values) -> pa.RecordBatch:
         out = np.full(batch.num_rows, np.nan)
-        for part in textbytes.slices(batch.column(len(keys))):
+        for part in textbytes.slices(batch.column(len(keys)), SLICE):
             packed, bounds = kn.events(part, textbytes.SPACED, False)
             v, has = known.of(packed)
             if not has.all():
@@ -75,7 +59,12 @@ def perplexities(slices: DataFrame, values: DataFrame, keys: list[str]) -> DataF
             out[part.first : part.first + len(part)] = np.where(n > 0, np.exp(-mean), np.nan)
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, mask=np.isnan(out))], names)
 
-    return kn.gather(slices, values, ORDERS[0], score, ", ".join([*keys, "perplexity double"]))
+    schema = ", ".join([*keys, "perplexity double"])
+    if kn.is_small(counts):
+        return kn.in_place(texts, kn.Backing.of_model(kn.probabilities(counts, ORDERS)), score, schema)
+    slices = kn.pack(texts, textbytes.SPACED, False, ORDERS[0])
+    asked = slices.select(F.explode("grams").alias("gram")).distinct()
+    return kn.gather(slices, log_probabilities(counts, asked), ORDERS[0], score, schema)
 
 
 def thresholds(rows: DataFrame, quantile: float) -> DataFrame:
@@ -90,7 +79,7 @@ def thresholds(rows: DataFrame, quantile: float) -> DataFrame:
     return held.groupBy("lang").agg((F.min("step") * STEP).alias("threshold"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE, margin: float = MARGIN, folds: int = 5) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE, folds: int = 5) -> DataFrame:
     """doc_id, lang, perplexity, threshold, kept of every document.
 
     Trusted are documents with ``quality`` 1 in ``labels``; those of fold 0 by key are not counted but set the thresholds. A language
@@ -105,19 +94,15 @@ def judge(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE, mar
     # Held trusted texts and all documents are scored in one go.
     held = trusted.where("part = 0").select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "lang", F.lit(True).alias("held"), "text")
     texts = docs.select("doc_id", "lang", F.lit(False).alias("held"), "text").unionAll(held)
-    slices = kn.pack(texts, textbytes.SPACED, False, ORDERS[0])
-    asked = slices.select(F.explode("grams").alias("gram")).distinct()
-    values = log_probabilities(trusted.where("part <> 0").select("text"), asked)
-    keys = [f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields[:-1]]
-    scored = storage.stored(perplexities(slices, values, keys), "perplexities")
+    counts = count(trusted.where("part <> 0").select("text"))
+    scored = storage.stored(perplexities(texts, counts), "perplexities")
     # One row per language.
     limits = storage.stored(thresholds(scored.where("held"), quantile), "thresholds")
-    scored = scored.where("not held")
-    scored = scored.withColumn("_lang", F.col("lang"))
+    scored = scored.where("not held").withColumn("_lang", F.col("lang"))
     every = limits.where("lang = '*'").select(F.max("threshold").alias("every")).first()["every"]
     own = limits.where("lang is null or lang <> '*'").select(F.col("lang").alias("_of"), "threshold")
     joined = scored.join(F.broadcast(own), F.col("_lang").eqNullSafe(F.col("_of")), "left")
-    threshold = F.coalesce(F.col("threshold"), F.lit(every).cast("double")) * margin
+    threshold = F.coalesce(F.col("threshold"), F.lit(every).cast("double"))
     return joined.select("doc_id", "lang", "perplexity", threshold.alias("threshold")).withColumn(
         "kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False))
     )

@@ -304,20 +304,59 @@ def test_passages(spark, odd, odd_rows, empty):
 # --- 5 and 8: models ------------------------------------------------------------------------------------------------
 
 
-def test_kneser_ney_sums_to_one(spark):
+def brute_model(texts, order):
+    """Interpolated modified Kneser-Ney over characters, by its definition; p(history, letter)."""
+    top = Counter()
+    for t in texts:
+        line = " ".join(["", *t.split(), ""])
+        top.update(line[max(0, k - order + 1) : k + 1] for k in range(1, len(line)))
+    levels = []
+    counts = top
+    for m in range(order, 0, -1):
+        if m < order:
+            # Left neighbours of a gram; a gram at a text's start has none, and keeps its count.
+            fewer = Counter()
+            for g, n in counts.items():
+                fewer[g[-m:]] += 1 if len(g) > m else n
+            counts = fewer
+        own = {g: n for g, n in counts.items() if len(g) == m}
+        of = [sum(n == k for n in own.values()) or 0 for k in (1, 2, 3, 4)]
+        n1, n2, n3, n4 = (max(1, x) for x in of)
+        y = n1 / (n1 + 2 * n2)
+        d = [0.0, *(min(max(x, 0.05), k - 0.05) for x, k in zip((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3), (1, 2, 3)))]
+        levels.append((m, own, d))
+
+    def p(history, letter):
+        out = 1 / 256
+        for m, own, d in reversed(levels):
+            if len(history) < m - 1:
+                break
+            context = history[len(history) - m + 1 :]
+            after = {g: n for g, n in own.items() if g[:-1] == context}
+            if total := sum(after.values()):
+                left = sum(d[min(n, 3)] for n in after.values()) / total
+                n = after.get(context + letter, 0)
+                out = (n - d[min(n, 3)]) / total + left * out
+        return out
+
+    return p
+
+
+def test_kneser_ney_equals_its_definition(spark):
     from tallyloom.llm import kneser_ney as kn
 
     storage.prepare(spark)
-    texts = ["ab ac ab abc", "b ab", "cab abab", "a"] * 3
+    rng = random.Random(21)
+    texts = [" ".join("".join(rng.choice("aabcd") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 9))) for _ in range(40)]
     rows = spark.createDataFrame([(t, 0) for t in texts], "text string, kind int")
-    counts = kn.count_events(rows, textbytes.SPACED, False, 3).select("gram", F.col("n0").alias("n"))
-    model = perplexity.Model([3, 2, 1], 16)
-    for _, level, context in kn.probabilities(counts, [3, 2, 1]):
-        model.log_p.append(kn.slot_table(level.select("gram", F.log("p").alias("v"), "p"), 16))
-        model.log_gamma.append(kn.slot_table(context.select("context", F.log("gamma").alias("v"), F.lit(1.0).alias("w")), 16))
-    for history in (b" a", b"ab", b"zz", b" "):
-        packed = np.array([int.from_bytes(history + bytes([b]), "big") for b in range(1, 256)], dtype=np.uint64)
-        assert np.exp(model.score(packed)).sum() == pytest.approx(1, abs=0.01), history
+    counts = storage.stored(kn.count_events(rows, textbytes.SPACED, False, 3).select("gram", F.col("n0").alias("n")), "counts")
+    model = kn.Backing.of_model(kn.probabilities(counts, [3, 2, 1]))
+    p = brute_model(texts, 3)
+    for history in (" a", "ab", "zz", " ", "a ", "d", "cd"):
+        packed = np.array([int.from_bytes((history + chr(b)).encode("latin-1"), "big") for b in range(1, 128)], dtype=np.uint64)
+        got = np.exp(model.of(packed)[0])
+        if len(history) == 2:
+            assert got == pytest.approx([p(history, chr(b)) for b in range(1, 128)], rel=1e-9), history
 
 
 def test_perplexity(spark, odd, odd_rows, labels, empty):
@@ -355,35 +394,24 @@ def test_perplexity_of_unseen_grams_in_a_large_model(spark):
     assert all(got[k]["kept"] for k in range(200))
 
 
-def test_perplexity_equals_a_model_without_shared_slots(spark, sf_dir):
+def test_models_are_the_same_beyond_the_bound(spark, sf_dir, monkeypatch):
+    """Given to all tasks or joined by n-gram, a model says the same."""
     from tallyloom.llm import kneser_ney as kn
 
-    storage.prepare(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
-    trusted = storage.stored(docs.where("doc_id % 2 = 0").select("text"), "trusted")
-    counts = kn.count_events(trusted.select("text", F.lit(0).alias("kind")), textbytes.SPACED, False, 5)
-    counts = storage.stored(counts.select("gram", F.col("n0").alias("n")), "counts")
-    levels, gammas = [], []
-    for _, level, context in kn.probabilities(counts, perplexity.ORDERS):
-        levels.append({r["gram"]: r["p"] for r in level.collect()})
-        gammas.append({r["context"]: r["gamma"] for r in context.collect()})
-
-    def p(gram):
-        out, lower = 1 / 256, 0
-        for order, seen, gamma in zip(sorted(perplexity.ORDERS), levels, gammas):
-            part = gram & (1 << 8 * order) - 1
-            if part >> 8 * lower:
-                out = seen.get(part, out * gamma.get(part >> 8, 1.0))
-            lower = order
-        return out
-
-    slices = kn.pack(docs.where("text is not null").select("text"), textbytes.SPACED, False, 5)
-    asked = slices.select(F.explode("grams").alias("gram")).distinct()
-    values = {r["gram"]: r["v"] for r in perplexity.log_probabilities(trusted, asked).collect()}
-    grams = [r["gram"] for r in asked.collect()]
-    assert sum(g not in levels[-1] for g in grams) > 100
-    for g in grams:
-        assert np.exp(values[g]) == pytest.approx(p(g))
+    docs, known = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    found = []
+    for bound in (1 << 21, 0):
+        monkeypatch.setattr(kn, "MODEL_ROWS", bound)
+        found.append(
+            (
+                {r["doc_id"]: (r["perplexity"], r["threshold"], r["kept"]) for r in perplexity.judge(docs, known).collect()},
+                {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.score(docs, known).collect()},
+            )
+        )
+    for one, other in zip(*found):
+        assert one.keys() == other.keys()
+        for k in one:
+            assert one[k] == pytest.approx(other[k], rel=1e-9)
 
 
 def test_toxicity(spark, odd, odd_rows, labels, empty):
