@@ -26,6 +26,8 @@ PASSAGES = (1, 4, 16)
 FEATURES = ["per_word", *(f"passage{n}" for n in PASSAGES)]
 # Weight of the squares of the coefficients of standardised features.
 PENALTY = 1e-4
+# Bytes of texts that are scored at a time.
+SLICE = 2 << 20
 
 
 def class_ratios(labelled: DataFrame) -> DataFrame:
@@ -55,9 +57,9 @@ def compare(texts: DataFrame, ratios: DataFrame) -> DataFrame:
     """(key columns, text) with the text replaced by ``FEATURES``: log ratios of likelihood per word."""
     keys = texts.columns[:-1]
 
-    def score(batch: pa.RecordBatch, known: kn.Values) -> pa.RecordBatch:
+    def score(batch: pa.RecordBatch, known: kn.Known | kn.Values) -> pa.RecordBatch:
         out = np.zeros((len(FEATURES), batch.num_rows))
-        for part in textbytes.slices(batch.column(len(keys))):
+        for part in textbytes.slices(batch.column(len(keys)), SLICE):
             packed, bounds = kn.events(part, textbytes.ALNUM, True, distinct=True)
             if not len(packed):
                 continue
@@ -78,8 +80,11 @@ def compare(texts: DataFrame, ratios: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, out)], [*keys, *FEATURES])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1]]
+    schema = ", ".join([*kinds, *(f"{f} double" for f in FEATURES)])
+    if kn.is_small(ratios):
+        return kn.in_place(texts, kn.Known(ORDERS[0], kn.Sorted.of_rows(ratios.select("gram", "v"))), score, schema)
     slices = kn.pack(texts, textbytes.ALNUM, True, ORDERS[0], distinct=True)
-    return kn.gather(slices, ratios, ORDERS[0], score, ", ".join([*kinds, *(f"{f} double" for f in FEATURES)]))
+    return kn.gather(slices, ratios, ORDERS[0], score, schema)
 
 
 def calibrate(rows: DataFrame, steps: int = 30) -> tuple[list[float], float]:
