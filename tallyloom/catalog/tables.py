@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import row_counts, schema_profile
+from ..operators import row_counts, schema_profile, sketch_profile
 from ..plans.standin import table
 from ..sources import (
     StageStore,
@@ -65,7 +65,24 @@ def q_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("schema_profile", _profile_sql())
 def q_schema_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schema_profile({n: table(spark, sf_dir, n) for n in TABLES})
+    return schema_profile({n: table(spark, sf_dir, n) for n in TABLES}, distinct="all")
+
+
+_CODES = ("l_linenumber", "l_returnflag", "l_linestatus", "l_discount", "l_tax")
+
+
+@query(
+    "profile_frequent_values",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, COUNT(*) AS n_rows FROM lineitem WHERE {c} IS NOT NULL GROUP BY 2"
+        for c in _CODES
+    ),
+)
+def q_profile_frequent_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of code columns by the profile's sketch, which is exact while a column has fewer values than counters."""
+    profile = sketch_profile(table(spark, sf_dir, "lineitem").select(*_CODES), k=30)
+    found = profile.select("column_name", F.explode("frequent").alias("v"))
+    return found.select("column_name", F.col("v.item").alias("value"), F.col("v.count").alias("n_rows"))
 
 
 @query("scan_parquet", "SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderstatus = 'F'")

@@ -24,7 +24,7 @@ from .mixture import (
     save_mixture,
     standard_scale,
 )
-from .profile import row_counts, schema_differences, schema_profile
+from .profile import row_counts, schema_differences, schema_profile, sketch_profile
 from .rollup import CELLS, ROWS, Folds, fold
 from .sample import bernoulli_sample, hash_sample, sample_projection
 from .tally import (

@@ -21,62 +21,129 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-def _identity(field: T.StructField) -> list[Column]:
-    """Fixed-width columns that differ exactly when the value does: numbers themselves, a digest and the length else."""
+_WHOLE = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_ABSENT = {"real": "double", "whole": "bigint", "digest": "binary", "length": "int"}
+
+
+def _identity(field: T.StructField) -> dict[str, Column]:
+    """Fixed-width values that differ exactly when the column's do: numbers themselves, a digest and the length else."""
     column, kind = F.col(f"`{field.name}`"), field.dataType
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return [column + F.lit(0.0).cast(kind)]  # -0.0 is 0.0
-    if isinstance(kind, T.AtomicType) and not isinstance(kind, (T.StringType, T.BinaryType)):
-        return [column]
+        return {"real": column.cast("double") + F.lit(0.0)}  # -0.0 is 0.0
+    if isinstance(kind, _WHOLE):
+        return {"whole": column.cast("bigint")}
+    if isinstance(kind, T.DateType):
+        return {"whole": F.unix_date(column).cast("bigint")}
+    if isinstance(kind, T.TimestampType):
+        return {"whole": F.unix_micros(column)}
     if not isinstance(kind, (T.StringType, T.BinaryType)):
-        column = F.to_json(column)
-    return [F.unhex(F.md5(column.cast("binary"))), F.octet_length(column)]
+        column = column.cast("string") if isinstance(kind, T.AtomicType) else F.to_json(F.struct(column.alias("v")))
+        column = F.when(F.col(f"`{field.name}`").isNotNull(), column)
+    return {"digest": F.unhex(F.md5(column.cast("binary"))), "length": F.octet_length(column)}
+
+
+def _is_sentinel(field: T.StructField, sentinel: str) -> Column:
+    if not isinstance(field.dataType, T.StringType):
+        return F.lit(False)
+    return F.coalesce(F.col(f"`{field.name}`") == sentinel, F.lit(False))
+
+
+def _melted(df: DataFrame, number: int, sentinel: str, exact: set[str]) -> DataFrame:
+    """One narrow row per value: its column, its identity where that is asked for, and whether it is absent."""
+    values = []
+    for i, f in enumerate(df.schema.fields):
+        found = _identity(f) if f.name in exact else {}
+        values.append(
+            F.struct(
+                F.lit(i).alias("position"),
+                F.col(f"`{f.name}`").isNull().alias("absent"),
+                _is_sentinel(f, sentinel).alias("hit"),
+                *[found.get(n, F.lit(None)).cast(t).alias(n) for n, t in _ABSENT.items()],
+            )
+        )
+    return df.select(F.inline(F.array(*values))).select(F.lit(number).alias("_table"), "*")
 
 
 def schema_profile(
-    tables: Mapping[str, DataFrame] | DataFrame, sentinel: str = SENTINEL, distinct: Sequence[str] | None = None
+    tables: Mapping[str, DataFrame] | DataFrame, sentinel: str = SENTINEL, distinct: Sequence[str] | str = ()
 ) -> DataFrame:
-    """Per column: type, rows, NULLs, sentinels and exact distinct values.
+    """Per column: type, rows, NULLs, sentinels and, where asked for, exact distinct values.
 
-    Rows, NULLs and sentinels of a table are one pass with fixed-width state.
-    Distinct values are counted column by column, each from its own column of
-    the source; ``distinct`` names the columns to count (all by default), the
-    others have NULL. A table without rows shows its columns with zeros.
+    ``distinct`` names the columns whose distinct values are counted, or is
+    ``"all"``; the others have NULL there. Every table is scanned once: its
+    values become narrow rows that are counted by column and identity, first in
+    the map tasks, so that a frequent value is one row per task. Columns that
+    are not named have no identity and hardly reach the shuffle. A table without
+    rows shows its columns with zeros.
     """
     if isinstance(tables, DataFrame):
         tables = {"table": tables}
-    passes, counts = [], []
-    for name, df in tables.items():
-        fields = df.schema.fields
-        states = [F.count(F.lit(1)).alias("n_rows")]
-        for i, f in enumerate(fields):
-            states.append(F.count(F.col(f"`{f.name}`")).alias(f"v{i}"))
-            hit = F.col(f"`{f.name}`") == sentinel if isinstance(f.dataType, T.StringType) else F.lit(False)
-            states.append(F.count(F.when(hit, 1)).alias(f"s{i}"))
-        rows = [
-            F.struct(
-                F.lit(name).alias("table_name"),
-                F.lit(i).alias("position"),
-                F.lit(f.name).alias("column_name"),
-                F.lit(f.dataType.simpleString()).alias("column_type"),
-                F.col("n_rows"),
-                (F.col("n_rows") - F.col(f"v{i}")).alias("n_nulls"),
-                F.col(f"s{i}").alias("n_sentinels"),
-            )
-            for i, f in enumerate(fields)
-        ]
-        # One row per table becomes one per column.
-        passes.append(df.agg(*states).select(F.inline(F.array(*rows))))
-        for i, f in enumerate(fields):
-            if distinct is None or f.name in distinct:
-                n = df.agg(F.count_distinct(*_identity(f)).alias("n_distinct"))
-                counts.append(n.select(F.lit(name).alias("table_name"), F.lit(i).alias("position"), "n_distinct"))
-    out = reduce(DataFrame.unionByName, passes)
-    if not counts:
-        return out.withColumn("n_distinct", F.lit(None).cast("bigint"))
-    return out.join(reduce(DataFrame.unionByName, counts), ["table_name", "position"], "left").select(
-        *out.columns, "n_distinct"
+    listed, melted = [], []
+    for number, (name, df) in enumerate(tables.items()):
+        exact = {f.name for f in df.schema.fields if distinct == "all" or f.name in distinct}
+        for i, f in enumerate(df.schema.fields):
+            listed.append((number, i, name, f.name, f.dataType.simpleString(), f.name in exact))
+        if df.columns:
+            melted.append(_melted(df, number, sentinel, exact))
+    if not melted:
+        raise ValueError("no table has a column")
+    spark = next(iter(tables.values())).sparkSession
+    columns = spark.createDataFrame(
+        listed, "_table int, position int, table_name string, column_name string, column_type string, counted boolean"
+    )
+    values = reduce(DataFrame.unionByName, melted)
+    by_value = values.groupBy(*values.columns).agg(F.count(F.lit(1)).alias("n"))
+    found = by_value.groupBy("_table", "position").agg(
+        F.sum("n").alias("n_rows"),
+        F.sum(F.when(F.col("absent"), F.col("n"))).alias("n_nulls"),
+        F.sum(F.when(F.col("hit"), F.col("n"))).alias("n_sentinels"),
+        F.count(F.when(~F.col("absent"), 1)).alias("n_distinct"),
     )
+    counts = {n: F.coalesce(n, F.lit(0).cast("bigint")).alias(n) for n in ("n_rows", "n_nulls", "n_sentinels", "n_distinct")}
+    counts["n_distinct"] = F.when(F.col("counted"), counts["n_distinct"]).alias("n_distinct")
+    return columns.join(found, ["_table", "position"], "left").select(
+        "table_name", "position", "column_name", "column_type", *counts.values()
+    )
+
+
+def sketch_profile(df: DataFrame, quantiles: Sequence[float] = (0.25, 0.5, 0.75), k: int = 5, rsd: float = 0.02) -> DataFrame:
+    """Per column: rows, NULLs, estimated distinct values, quantiles and most frequent values, from one scan.
+
+    All states are sketches of fixed size that merge, so the shuffle holds one
+    row per task whatever the data: distinct values by HyperLogLog with relative
+    standard deviation ``rsd``, quantiles of number columns with rank error
+    1/10000 (others and columns without values have NULL), and up to ``k``
+    frequent values as text with estimated counts, most frequent first. NULLs
+    have their own count and are no frequent value.
+    """
+    fields = df.schema.fields
+    states = [F.count(F.lit(1)).alias("n_rows")]
+    for i, f in enumerate(fields):
+        column = F.col(f"`{f.name}`")
+        text = column.cast("string") if isinstance(f.dataType, T.AtomicType) else F.to_json(F.struct(column.alias("v")))
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            text = (column + F.lit(0.0).cast(f.dataType)).cast("string")  # -0.0 is 0.0
+        text = F.when(column.isNotNull(), text)
+        states.append(F.count(column).alias(f"v{i}"))
+        states.append(F.approx_count_distinct(text, rsd).alias(f"d{i}"))
+        # NULL is a value of its own to the sketch: one more is kept, and left out below.
+        states.append(F.expr(f"approx_top_k(_text_{i}, {k + 1})").alias(f"t{i}"))
+        if isinstance(f.dataType, T.NumericType):
+            states.append(F.percentile_approx(column.cast("double"), list(quantiles), 10_000).alias(f"q{i}"))
+        df = df.withColumn(f"_text_{i}", text)
+    rows = [
+        F.struct(
+            F.lit(i).alias("position"),
+            F.lit(f.name).alias("column_name"),
+            F.col("n_rows"),
+            (F.col("n_rows") - F.col(f"v{i}")).alias("n_nulls"),
+            F.col(f"d{i}").alias("approx_distinct"),
+            (F.col(f"q{i}") if isinstance(f.dataType, T.NumericType) else F.lit(None).cast("array<double>")).alias("quantiles"),
+            F.slice(F.filter(F.col(f"t{i}"), lambda v: v["item"].isNotNull()), 1, k).alias("frequent"),
+        )
+        for i, f in enumerate(fields)
+    ]
+    return df.agg(*states).select(F.inline(F.array(*rows)))
 
 
 def schema_differences(df: DataFrame, declared: T.StructType) -> list[str]:
@@ -93,4 +160,4 @@ def schema_differences(df: DataFrame, declared: T.StructType) -> list[str]:
     return found
 
 
-__all__: Sequence[str] = ("row_counts", "schema_differences", "schema_profile")
+__all__: Sequence[str] = ("row_counts", "schema_differences", "schema_profile", "sketch_profile")

@@ -176,10 +176,10 @@ def test_top_n_of_ties_and_nan(spark):
 
 
 def test_profile_of_nothing_and_of_negative_zero(spark):
-    empty = {r["column_name"]: tuple(r)[4:] for r in schema_profile(spark.createDataFrame([], "a int, b string")).collect()}
+    empty = {r["column_name"]: tuple(r)[4:] for r in schema_profile(spark.createDataFrame([], "a int, b string"), distinct="all").collect()}
     assert empty == {"a": (0, 0, 0, 0), "b": (0, 0, 0, 0)}
     zeros = spark.createDataFrame([(0.0,), (-0.0,), (None,)], "x double")
-    assert tuple(schema_profile(zeros).first())[4:] == (3, 1, 0, 1)
+    assert tuple(schema_profile(zeros, distinct="all").first())[4:] == (3, 1, 0, 1)
 
 
 def test_sample_does_not_depend_on_partitions(spark):
@@ -222,7 +222,7 @@ def rows_in_order(df):
 
 def test_profile(spark):
     df = spark.createDataFrame([("#NULO#", 1), ("a", None), ("a" * 100, 1)], "s string, n int")
-    found = {r["column_name"]: tuple(r)[4:] for r in schema_profile(df).collect()}
+    found = {r["column_name"]: tuple(r)[4:] for r in schema_profile(df, distinct="all").collect()}
     assert found == {"s": (3, 0, 1, 3), "n": (3, 1, 0, 1)}
     declared = T.StructType.fromDDL("s string, n bigint, z int")
     assert schema_differences(df, declared) == ["missing z", "n: int instead of bigint"]
