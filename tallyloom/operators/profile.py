@@ -21,47 +21,48 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-_WHOLE = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-_ABSENT = {"real": "double", "whole": "bigint", "digest": "binary", "length": "int"}
-
-
-def _identity(field: T.StructField) -> dict[str, Column]:
-    """Fixed-width values that differ exactly when the column's do: numbers themselves, a digest and the length else."""
-    column, kind = F.col(f"`{field.name}`"), field.dataType
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return {"real": column.cast("double") + F.lit(0.0)}  # -0.0 is 0.0
-    if isinstance(kind, _WHOLE):
-        return {"whole": column.cast("bigint")}
-    if isinstance(kind, T.DateType):
-        return {"whole": F.unix_date(column).cast("bigint")}
-    if isinstance(kind, T.TimestampType):
-        return {"whole": F.unix_micros(column)}
-    if not isinstance(kind, (T.StringType, T.BinaryType)):
-        column = column.cast("string") if isinstance(kind, T.AtomicType) else F.to_json(F.struct(column.alias("v")))
-        column = F.when(F.col(f"`{field.name}`").isNotNull(), column)
-    return {"digest": F.unhex(F.md5(column.cast("binary"))), "length": F.octet_length(column)}
-
-
-def _is_sentinel(field: T.StructField, sentinel: str) -> Column:
-    if not isinstance(field.dataType, T.StringType):
-        return F.lit(False)
-    return F.coalesce(F.col(f"`{field.name}`") == sentinel, F.lit(False))
-
-
-def _melted(df: DataFrame, number: int, sentinel: str, exact: set[str]) -> DataFrame:
-    """One narrow row per value: its column, its identity where that is asked for, and whether it is absent."""
+_SHORT = (T.BooleanType, T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+_VALUE, _ABSENT, _SENTINEL = 0, 1, 2
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _identity(field: T.StructField) -> tuple[str, str]:
+    """SQL of two integers that differ when the column's values do.
+
+    For types of 64 bits at most the first alone is exact, since the hash of one
+    such value can be inverted (it takes -0.0 as 0.0 and all NaN as one). Other
+    values have 128 bits of two hashes.
+    """
+    column, kind = _quoted(field.name), field.dataType
+    if isinstance(kind, _SHORT) and not (isinstance(kind, T.DecimalType) and kind.precision > 18):
+        return f"xxhash64({column})", "0L"
+    if not isinstance(kind, T.AtomicType):
+        column = f"to_json(struct({column} AS v))"
+    return f"xxhash64({column})", f"xxhash64(1, {column})"
+
+
+def _melted(df: DataFrame, first: int, sentinel: str, exact: set[str]) -> DataFrame:
+    """One narrow row per value: the number of its column, its kind, and its identity where that is asked for.
+
+    Stated as SQL text: a wide table takes one call per column, not one per expression.
+    """
     values = []
     for i, f in enumerate(df.schema.fields):
-        found = _identity(f) if f.name in exact else {}
+        column = _quoted(f.name)
+        hit = f"WHEN {column} = {_literal(sentinel)} THEN {_SENTINEL}" if isinstance(f.dataType, T.StringType) else ""
+        one, two = _identity(f) if f.name in exact else ("0L", "0L")
         values.append(
-            F.struct(
-                F.lit(i).alias("position"),
-                F.col(f"`{f.name}`").isNull().alias("absent"),
-                _is_sentinel(f, sentinel).alias("hit"),
-                *[found.get(n, F.lit(None)).cast(t).alias(n) for n, t in _ABSENT.items()],
-            )
+            f"named_struct('column', {first + i}, 'kind', CASE WHEN {column} IS NULL THEN {_ABSENT} {hit} ELSE {_VALUE} END, "
+            f"'one', {one}, 'two', {two}) AS c{i}"
         )
-    return df.select(F.inline(F.array(*values))).select(F.lit(number).alias("_table"), "*")
+    return df.selectExpr(*values).unpivot([], [f"c{i}" for i in range(len(values))], "name", "value").select("value.*")
 
 
 def schema_profile(
@@ -79,29 +80,28 @@ def schema_profile(
     if isinstance(tables, DataFrame):
         tables = {"table": tables}
     listed, melted = [], []
-    for number, (name, df) in enumerate(tables.items()):
+    for name, df in tables.items():
         exact = {f.name for f in df.schema.fields if distinct == "all" or f.name in distinct}
-        for i, f in enumerate(df.schema.fields):
-            listed.append((number, i, name, f.name, f.dataType.simpleString(), f.name in exact))
         if df.columns:
-            melted.append(_melted(df, number, sentinel, exact))
+            melted.append(_melted(df, len(listed), sentinel, exact))
+        for i, f in enumerate(df.schema.fields):
+            listed.append((len(listed), i, name, f.name, f.dataType.simpleString(), f.name in exact))
     if not melted:
         raise ValueError("no table has a column")
     spark = next(iter(tables.values())).sparkSession
     columns = spark.createDataFrame(
-        listed, "_table int, position int, table_name string, column_name string, column_type string, counted boolean"
+        listed, "column int, position int, table_name string, column_name string, column_type string, counted boolean"
     )
-    values = reduce(DataFrame.unionByName, melted)
-    by_value = values.groupBy(*values.columns).agg(F.count(F.lit(1)).alias("n"))
-    found = by_value.groupBy("_table", "position").agg(
+    by_value = reduce(DataFrame.unionByName, melted).groupBy("column", "kind", "one", "two").agg(F.count(F.lit(1)).alias("n"))
+    found = by_value.groupBy("column").agg(
         F.sum("n").alias("n_rows"),
-        F.sum(F.when(F.col("absent"), F.col("n"))).alias("n_nulls"),
-        F.sum(F.when(F.col("hit"), F.col("n"))).alias("n_sentinels"),
-        F.count(F.when(~F.col("absent"), 1)).alias("n_distinct"),
+        F.sum(F.when(F.col("kind") == _ABSENT, F.col("n"))).alias("n_nulls"),
+        F.sum(F.when(F.col("kind") == _SENTINEL, F.col("n"))).alias("n_sentinels"),
+        F.count(F.when(F.col("kind") != _ABSENT, 1)).alias("n_distinct"),
     )
     counts = {n: F.coalesce(n, F.lit(0).cast("bigint")).alias(n) for n in ("n_rows", "n_nulls", "n_sentinels", "n_distinct")}
     counts["n_distinct"] = F.when(F.col("counted"), counts["n_distinct"]).alias("n_distinct")
-    return columns.join(found, ["_table", "position"], "left").select(
+    return columns.join(found, "column", "left").select(
         "table_name", "position", "column_name", "column_type", *counts.values()
     )
 

@@ -38,8 +38,14 @@ def test_values_of_every_kind(spark):
 
 
 def test_columns_with_awkward_names(spark):
-    df = spark.createDataFrame([(1, 2, 3)], "`a.b` int, position int, _table int")
-    assert profile(df, distinct="all") == {c: (1, 0, 0, 1) for c in ("a.b", "position", "_table")}
+    df = spark.createDataFrame([(1, 2, 3)], "`a.b` int, value int, c1 int")
+    assert profile(df, distinct="all") == {c: (1, 0, 0, 1) for c in ("a.b", "value", "c1")}
+
+
+def test_sentinels_with_quotes(spark):
+    for text in ("it's", "a\\\\'b", "c\\\\"):
+        df = spark.createDataFrame([(text,), ("x",)], "s string")
+        assert profile(df, sentinel=text) == {"s": (2, 0, 1, None)}
 
 
 def test_a_table_without_columns(spark):
