@@ -22,6 +22,7 @@ from tallyloom.operators import (
     density_grid,
     density_levels,
     distinct_list,
+    enrich_detail,
     first_row_per_key,
     fit_mixture,
     hash_sample,
@@ -158,13 +159,43 @@ def test_crosstab_is_typed_and_counts_nulls(spark):
     assert [tuple(r) for r in crosstab_wide(df, "r", "c", [2], ordered=True).collect()] == [(9, 0, 2), (10, 0, 1), (None, 1, 0)]
 
 
-def test_left_join_splits_a_hot_right_key(spark):
-    left = spark.range(50).select(F.when(F.col("id") < 40, F.col("id")).alias("k"), "id")
-    right = spark.range(3000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 30).alias("k"), F.col("id").alias("v"))
+@pytest.mark.parametrize("hot_rows", [1, 2, 70, 1499, 1500, 10**6])
+def test_left_join_splits_a_hot_right_key(spark, hot_rows):
+    left = spark.range(50).select(F.when(F.col("id") < 40, F.col("id")).alias("k"), "id", F.lit(9).alias("_share"))
+    right = spark.range(3000).select(
+        F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 5 > 0, F.col("id") % 30).alias("k"), (F.col("id") % 20).alias("v")
+    )
     plain = left.join(right, ["k"], "left")
-    out = join_left(left, right, ["k"])
+    out = join_left(left, right, ["k"], hot_rows=hot_rows)
     assert out.columns == plain.columns
     assert sorted(map(str, out.collect())) == sorted(map(str, plain.collect()))
+    empty = right.where("false")
+    assert sorted(map(str, join_left(left, empty, ["k"], hot_rows=hot_rows).collect())) == sorted(
+        map(str, left.join(empty, ["k"], "left").collect())
+    )
+
+
+def test_left_join_by_two_keys_reads_the_left_once(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity")
+    other = lines.select("l_orderkey", (F.col("l_linenumber") % 2 + 1).alias("l_linenumber"), F.col("l_quantity").alias("q"))
+    on = ["l_orderkey", "l_linenumber"]
+    out = join_left(lines, other, on, hot_rows=2)
+    assert sorted(map(str, out.collect())) == sorted(map(str, lines.join(other, on, "left").collect()))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_quantity") and plan.count("Relation") == 4  # left, right and the right's keys for either side
+
+
+@pytest.mark.parametrize("hot_rows", [1, 3, 10**6])
+def test_detail_join_with_a_hot_extra_key(spark, hot_rows):
+    base = spark.range(60).select((F.col("id") % 11).alias("k"), F.when(F.col("id") % 7 > 0, F.col("id") % 5).alias("e"), "id")
+    match = spark.range(9).select(F.col("id").alias("k"), (F.col("id") * 2).alias("m"))
+    extra = spark.range(40).select(F.when(F.col("id") < 30, 2).otherwise(F.col("id") % 4).alias("e"), F.col("id").alias("x"))
+    names = ["k"], extra, ["e"], {"m": "m"}, {"x": "x", "none": F.col("extra.x").isNull()}
+    out = enrich_detail(base, match, *names, hot_rows=hot_rows)
+    plain = base.alias("b").join(match, "k").join(extra.alias("x"), F.col("b.e") == F.col("x.e"), "left")
+    want = plain.select("b.k", "b.e", "b.id", "m", "x.x", F.col("x.x").isNull().alias("none"))
+    assert out.columns == want.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
 
 
 def test_top_n_of_ties_and_nan(spark):
