@@ -7,7 +7,17 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bernoulli_sample, density_grid, density_levels, hash_sample, marginal_histogram, sample_projection
+from ..operators import (
+    bernoulli_sample,
+    contours,
+    density_grid,
+    density_levels,
+    hash_sample,
+    kernel_density,
+    marginal_histogram,
+    mass_lines,
+    sample_projection,
+)
 from ..plans import reports, standin
 from ..plans.standin import NAMES, table, with_sections
 from ..sources import StageStore
@@ -173,3 +183,55 @@ for _variant, _specs in reports.distribution_specs(NAMES).items():
         _name = reports.distribution_name(_group, _hue)
         query(f"{_prefix}_{_name}", _plot_sql(_variant, _group, _hue, _fraction))(_plot(_variant, _name))
     query(f"marginals_{_variant.lower()}", _marginals_sql(_variant))(_marginals(_variant))
+
+
+def _kernel_sql(width: float) -> str:
+    half, step = f"CAST({width / 2} AS DOUBLE)", f"CAST({width} AS DOUBLE)"
+
+    def scott(c: str) -> str:
+        return f"CASE WHEN COUNT(*) > 1 THEN greatest(STDDEV_SAMP({c}) * pow(COUNT(*), CAST(-1 AS DOUBLE) / 6), {half}) ELSE {half} END"
+
+    return f""", pts AS (SELECT region, a_share AS x, r_share AS y FROM sec WHERE a_share IS NOT NULL AND r_share IS NOT NULL),
+        cells AS (SELECT region, CAST(FLOOR(x / {step}) AS BIGINT) AS cx, CAST(FLOOR(y / {step}) AS BIGINT) AS cy, COUNT(*) AS n
+                  FROM pts GROUP BY 1, 2, 3),
+        bw AS (SELECT region, COUNT(*) AS total, {scott("x")} AS hx, {scott("y")} AS hy FROM pts GROUP BY region),
+        ox AS (SELECT region, UNNEST(range(-CAST(ceil(4 * hx / {step}) AS BIGINT), CAST(ceil(4 * hx / {step}) AS BIGINT) + 1)) AS dx FROM bw),
+        oy AS (SELECT region, UNNEST(range(-CAST(ceil(4 * hy / {step}) AS BIGINT), CAST(ceil(4 * hy / {step}) AS BIGINT) + 1)) AS dy FROM bw),
+        reach AS (SELECT region, n, cx + dx AS gx, cy + dy AS gy, total, hx, hy, dx, dy
+                  FROM cells JOIN bw USING (region) JOIN ox USING (region) JOIN oy USING (region)),
+        kde AS (SELECT region, gx AS cell_x, gy AS cell_y,
+                       SUM(n * exp(-0.5 * (pow(dx * {step} / hx, 2) + pow(dy * {step} / hy, 2)))) / MAX(2 * pi() * hx * hy * total) AS density
+                FROM reach GROUP BY 1, 2, 3)"""
+
+
+def _kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernel_density(standin.sections(spark, sf_dir), "a_share", "r_share", "region", 0.05)
+
+
+@query("kernel_density", with_sections(_kernel_sql(0.05) + " SELECT region, cell_x, cell_y, ROUND(density, 6) AS density FROM kde"))
+def q_kernel_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smooth density behind a joint plot, for every region."""
+    return _kernel(spark, sf_dir).withColumn("density", F.round("density", 6))
+
+
+@query(
+    "kernel_lines",
+    with_sections(
+        _kernel_sql(0.05)
+        + """, run AS (SELECT region, density, SUM(density) OVER (PARTITION BY region ORDER BY density DESC) AS run,
+                             SUM(density) OVER (PARTITION BY region) AS total FROM kde)
+           SELECT region, line, ROUND(MAX(CASE WHEN run >= (1 - p) * total THEN density END), 6) AS height
+           FROM run, (VALUES (0, CAST(0.05 AS DOUBLE)), (1, CAST(0.525 AS DOUBLE)), (2, CAST(1 AS DOUBLE))) AS share(line, p)
+           GROUP BY region, line"""
+    ),
+)
+def q_kernel_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights of the three contour lines of every region."""
+    return mass_lines(_kernel(spark, sf_dir), "region").withColumn("height", F.round("height", 6))
+
+
+@query("kernel_contours")
+def q_kernel_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contour segments of every region; the lines' heights come from the same grid."""
+    density = _kernel(spark, sf_dir)
+    return contours(density, mass_lines(density, "region"), "region", 0.05)

@@ -14,6 +14,7 @@ from .joins import (
     left_join_default,
     unique_side,
 )
+from .kernel import contours, kernel_density, mass_lines
 from .mixture import (
     MixtureFit,
     fit_mixture,
