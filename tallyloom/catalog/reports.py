@@ -335,3 +335,14 @@ def top_n_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_n_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     return top_n(orders, "o_totalprice", 25, ["o_orderkey"], F.col("o_orderstatus") == "F").drop("o_orderstatus")
+
+
+@query(
+    "top_n_unbounded",
+    """SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem
+       ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_extendedprice LIMIT 20000""",
+)
+def top_n_unbounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long top list of a measure with few values, by a cut-off that a sketch proposes."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return top_n(lines, "l_quantity", 20_000, ["l_orderkey", "l_linenumber", "l_extendedprice"])

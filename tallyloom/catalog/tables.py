@@ -10,7 +10,10 @@ from ..operators import row_counts, schema_profile, sketch_profile
 from ..plans.standin import table
 from ..sources import (
     StageStore,
+    checked_lines,
+    quarantine,
     read_delimited,
+    rejects_by_column,
     write_delimited,
     write_parquet,
     write_partitioned,
@@ -117,6 +120,65 @@ def scan_csv_file_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_delimited(spark, f"{store.root}/text/*WHOLE", _declared("customer"), file_glob="*.csv")
 
 
+# What a customer's line looks like: in some the third value is in words, others have a field too many, the rest are as declared.
+_SPOILT = "c_custkey % 7 = 3"
+_LONG = "c_custkey % 11 = 5"
+_BALANCE = f"CASE WHEN {_SPOILT} THEN 'about ' || c_nationkey ELSE CAST(c_nationkey AS VARCHAR) END"
+
+
+def _customer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as text with unparsable values and malformed lines, read with a check of every line."""
+    store = StageStore(spark)
+    fields = f"c_custkey || ';' || c_name || ';' || {_BALANCE.replace('VARCHAR', 'STRING')}"
+    line = f"{fields} || CASE WHEN {_LONG} THEN ';extra' ELSE '' END AS `c_custkey;c_name;c_nationkey`"
+    # A separator that no text has: lines are written as they are.
+    write_delimited(table(spark, sf_dir, "customer").selectExpr(line), store.path("text"), sep="\u0001")
+    schema = T.StructType.fromDDL("c_custkey bigint, c_name string, c_nationkey int")
+    return checked_lines(spark, store.path("text"), schema, encoding="UTF-8")
+
+
+@query(
+    "scan_quarantine",
+    f"""SELECT c_custkey, c_name, c_nationkey, NULL AS raw FROM customer WHERE NOT ({_SPOILT}) AND NOT ({_LONG})
+        UNION ALL
+        SELECT NULL, NULL, NULL, CASE WHEN {_LONG} THEN c_custkey || ';' || c_name || ';' || {_BALANCE} || ';extra' ELSE {_BALANCE} END
+        FROM customer WHERE {_SPOILT} OR {_LONG}""",
+)
+def scan_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good rows, and of bad lines what is wrong: good and bad together are all customers."""
+    good, bad = quarantine(StageStore(spark), "customer", _customer_lines(spark, sf_dir))
+    return good.withColumn("raw", F.lit(None).cast("string")).unionByName(
+        bad.select(F.coalesce("line", F.col("problems")[0]["raw"]).alias("raw")), allowMissingColumns=True
+    )
+
+
+@query(
+    "scan_rejects",
+    f"""SELECT CASE WHEN {_LONG} THEN NULL ELSE 'c_nationkey' END AS column_name, COUNT(*) AS n_values,
+               MIN(CASE WHEN {_LONG} THEN c_custkey || ';' || c_name || ';' || {_BALANCE} || ';extra' ELSE {_BALANCE} END) AS example
+        FROM customer WHERE {_SPOILT} OR {_LONG} GROUP BY 1""",
+)
+def scan_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many values did not parse by column, over all files."""
+    _, bad = quarantine(StageStore(spark), "customer", _customer_lines(spark, sf_dir))
+    found = rejects_by_column(bad).withColumnRenamed("column", "column_name")
+    return found.groupBy("column_name").agg(F.sum("n_values").alias("n_values"), F.min("example").alias("example"))
+
+
+@query(
+    "bucketed_stages",
+    """SELECT o_orderkey, o_custkey, COUNT(*) AS n_lines, SUM(CAST(l_quantity AS BIGINT)) AS quantity
+       FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey""",
+)
+def bucketed_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and lineitems stored in buckets of the order: joined and folded without a shuffle."""
+    store = StageStore(spark)
+    orders = store.write_bucketed("orders", table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 16)
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_quantity").cast("bigint").alias("q"))
+    joined = orders.join(store.write_bucketed("lineitem", lines, ["o_orderkey"], 16), "o_orderkey")
+    return joined.groupBy("o_orderkey", "o_custkey").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("q").alias("quantity"))
+
+
 @query("sink_csv_roundtrip", "SELECT * FROM supplier")
 def sink_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = StageStore(spark)

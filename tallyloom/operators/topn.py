@@ -6,9 +6,35 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BINS = 65536
 
+# Up to so many rows Spark's own top-N is used.
+TAKE = 10_000
+
+# Shares of the rows at or above the cut-offs that are tried, from few to all.
+_SHARES = [2.0**-j for j in range(13, 0, -1)]
+
+
+def cut_off(df: DataFrame, by: str, n: int) -> float | None:
+    """A value that at least ``n`` rows reach, from a quantile sketch.
+
+    The sketch (one pass) proposes thirteen values, the rows that reach each are
+    counted (a second pass), and the largest with ``n`` rows and more is taken:
+    about 2 ``n`` rows reach it, but for ties and the sketch's error, which only
+    ever costs rows. None if no proposed value has so many. NaN is above all
+    numbers; it and NULL take no part in the sketch.
+    """
+    value = F.col(by).cast("double")
+    finite = F.when(~F.isnan(value), value)
+    found = df.agg(F.percentile_approx(finite, [1.0 - s for s in _SHARES], 20_000).alias("cuts")).first()["cuts"]
+    cuts = sorted(set(found or []), reverse=True)
+    if not cuts:
+        return None
+    counts = df.agg(*[F.count(F.when(value >= F.lit(c), 1)).alias(f"n{i}") for i, c in enumerate(cuts)]).first()
+    return next((c for i, c in enumerate(cuts) if counts[f"n{i}"] >= n), None)
+
 
 def top_n(
     df: DataFrame,
@@ -21,11 +47,13 @@ def top_n(
     """The ``n`` rows with the largest ``by``; ties by ``tie_break``, NULLs last.
 
     Spark's own top-N sends up to ``n`` rows of *every* partition to one task,
-    which is fine while ``n`` is small. For a large ``n`` over many partitions
-    give ``bounds``, the expected range of ``by``: the values are first counted
-    in equal-width bins (values outside the range fall in the end bins, NaN in
-    the first), and only rows of bins that can reach the first ``n`` go on. Those
-    are range-partitioned by value and tie-break and ranked by the counts of the
+    which is fine while ``n`` is small (``TAKE``). A larger ``n`` of a number
+    first finds a ``cut_off``, which runs two small aggregates when the plan is
+    made, and only rows that reach it go on; the filter reaches the scan. With
+    ``bounds``, the expected range of ``by``, nothing runs before the caller asks:
+    the values are counted in equal-width bins (values outside the range fall in
+    the end bins, NaN in the first), and only rows of bins that can reach the first
+    ``n`` go on. The rows left are range-partitioned by value and tie-break and ranked by the counts of the
     partitions before them, so that neither a value that ties at the cut nor the
     result passes one task. The result is the same with and without, for any
     bounds; it needs ``tie_break`` to be a key.
@@ -33,8 +61,11 @@ def top_n(
     if where is not None:
         df = df.where(where)
     order = [F.desc_nulls_last(by), *tie_break]
-    if bounds is None:
+    if bounds is None and (n <= TAKE or not isinstance(df.schema[by].dataType, T.NumericType)):
         return df.orderBy(*order).limit(n)
+    if bounds is None:
+        cut = cut_off(df, by, n)
+        return _ranked(df if cut is None else df.where(F.col(by).cast("double") >= F.lit(cut)), order, n)
     low, high = map(float, bounds)
     value = F.col(by).cast("double")
     scaled = F.floor((value - low) / F.lit(high - low) * F.lit(BINS))
@@ -46,7 +77,11 @@ def top_n(
     # At most BINS + 2 integers: bounded however large the input is.
     kept = F.broadcast(reach.where(F.col("_above") < n).select("_bin"))
     rows = df.withColumn("_bin", bin_no).join(kept, "_bin", "left_semi").drop("_bin")
+    return _ranked(rows, order, n)
+
 
+def _ranked(rows: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
+    """The first ``n`` of ``rows`` in order, by the counts of range partitions."""
     ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     # One row per partition.
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
@@ -54,5 +89,5 @@ def top_n(
     sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     ranked = ranged.withColumn("_rank", local).join(F.broadcast(sizes), "_part")
-    chosen = ranked.where(F.col("_before") + F.col("_rank") <= n).select(*df.columns)
+    chosen = ranked.where(F.col("_before") + F.col("_rank") <= n).select(*rows.columns)
     return chosen.orderBy(*order)

@@ -355,3 +355,25 @@ def test_hot_join_key_is_split(spark, extra_key):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("value", ["id % 7", "CAST(pow(1.001D, id) AS DOUBLE)", "IF(id % 3 = 0, CAST('NaN' AS DOUBLE), id)", "CAST(NULL AS DOUBLE)", "CAST(id % 90 AS DECIMAL(9, 2))"])
+def test_top_n_finds_its_own_cut(spark, monkeypatch, value):
+    from tallyloom.operators import topn
+
+    df = spark.range(0, 3000, 1, 5).selectExpr("id", f"IF(id % 10 = 1, NULL, {value}) AS v")
+    want = {n: [r["id"] for r in top_n(df, "v", n, ["id"]).collect()] for n in (1, 40, 700, 2999, 5000)}
+    monkeypatch.setattr(topn, "TAKE", 0)
+    for n, ids in want.items():
+        assert [r["id"] for r in top_n(df, "v", n, ["id"]).collect()] == ids
+
+
+def test_cut_off_leaves_few_rows(spark):
+    from tallyloom.operators.topn import cut_off
+
+    df = spark.range(100_000).selectExpr("CAST(exp(id % 1000 / 100D) AS DOUBLE) AS v")
+    for n in (50, 1000, 20_000):
+        cut = cut_off(df, "v", n)
+        assert n <= df.where(F.col("v") >= cut).count() <= 2.2 * n + 100
+    assert cut_off(df, "v", 90_000) is None
+    assert cut_off(df.limit(0), "v", 1) is None

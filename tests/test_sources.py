@@ -8,7 +8,10 @@ from pyspark.sql import types as T
 
 from tallyloom.sources import (
     StageStore,
+    checked_lines,
+    quarantine,
     read_delimited,
+    rejects_by_column,
     shared_root,
     write_delimited,
     write_partitioned,
@@ -114,3 +117,67 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     plan = QUERIES["filter_eq"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(l_returnflag,R)" in plan and "EqualTo(l_linenumber,2)" in plan
     assert "l_extendedprice" not in plan
+
+
+LINES = "code;n;note;extra\n1;7;good;x\n2;seven;bad number;x\n3;;absent;x\n4;8\n5;9;long;x;y\n\n6;99999999999;too large;x\n"
+
+
+def test_quarantine_keeps_every_line(spark, tmp_path):
+    write(tmp_path / "in" / "a.csv", LINES)
+    write(tmp_path / "in" / "b.csv", "code;n;note;extra\n7;1;good;x\n")
+    write(tmp_path / "other" / "c.csv", "n;note;code\nX;bad;8\n2;good;9\n")
+    lines = checked_lines(spark, [f"{tmp_path}/in/*.csv", f"{tmp_path}/other"], SCHEMA)
+    good, bad = quarantine(StageStore(spark, f"{tmp_path}/stages"), "lines", lines)
+    assert good.columns == SCHEMA.fieldNames()
+    assert sorted(tuple(r) for r in good.collect()) == [("1", 7, "good"), ("3", None, "absent"), ("7", 1, "good"), ("9", 2, "good")]
+    rows = bad.collect()
+    assert sorted((r["file"].rsplit("/", 1)[1], r["line"], [tuple(p) for p in r["problems"]]) for r in rows if r["line"]) == [
+        ("a.csv", "4;8", []),
+        ("a.csv", "5;9;long;x;y", []),
+    ]
+    assert sorted((r["file"].rsplit("/", 1)[1], [tuple(p) for p in r["problems"]]) for r in rows if not r["line"]) == [
+        ("a.csv", [("n", "99999999999")]),
+        ("a.csv", [("n", "seven")]),
+        ("c.csv", [("n", "X")]),
+    ]
+    assert good.count() + bad.count() == 9
+    summary = {(r["file"][-5:], r["column"]): (r["n_values"], r["example"]) for r in rejects_by_column(bad).collect()}
+    assert summary == {("a.csv", "n"): (2, "99999999999"), ("a.csv", None): (2, "4;8"), ("c.csv", "n"): (1, "X")}
+
+
+def test_quarantine_edges(spark, tmp_path):
+    write(tmp_path / "empty" / "a.csv", "code;n;note\n")
+    good, bad = quarantine(StageStore(spark, f"{tmp_path}/stages"), "none", checked_lines(spark, f"{tmp_path}/empty", SCHEMA))
+    assert (good.count(), bad.count()) == (0, 0)
+    write(tmp_path / "sentinel" / "a.csv", "code;n;note\n1;#NULO#;x\n1;2;x\n1;2;x\n")
+    lines = checked_lines(spark, f"{tmp_path}/sentinel", SCHEMA)
+    assert [len(r["_problems"]) for r in lines.orderBy(F.size("_problems")).collect()] == [0, 0, 1]
+    assert checked_lines(spark, f"{tmp_path}/sentinel", SCHEMA, null_value="#NULO#").where(F.size("_problems") > 0).isEmpty()
+    text_only = T.StructType([T.StructField("note", T.StringType())])
+    assert checked_lines(spark, f"{tmp_path}/sentinel", text_only).where(F.size("_problems") == 0).count() == 3
+    with pytest.raises(ValueError, match="missing"):
+        checked_lines(spark, f"{tmp_path}/sentinel", T.StructType([T.StructField("absent", T.StringType())]))
+    with pytest.raises(ValueError, match="reserved"):
+        checked_lines(spark, f"{tmp_path}/sentinel", T.StructType([T.StructField("_line", T.StringType())]))
+
+
+def test_bucketed_stages_join_and_fold_without_a_shuffle(spark, tmp_path):
+    store = StageStore(spark, f"{tmp_path}/stages")
+    left = spark.range(1000).selectExpr("id % 300 AS k", "id AS a")
+    right = spark.range(300).selectExpr("id AS k", "id * 2 AS b")
+    x, y = store.write_bucketed("x", left, ["k"], 4), store.write_bucketed("y", right, ["k"], 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = x.join(y, "k").groupBy("k").agg(F.sum("a").alias("a"), F.max("b").alias("b"))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        rows = {r["k"]: (r["a"], r["b"]) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange" not in plan
+    assert rows == {k: (sum(range(k, 1000, 300)), 2 * k) for k in range(300)}
+    assert len(glob.glob(f"{tmp_path}/stages/x/*.parquet")) == 4
+    with pytest.raises(ValueError):
+        store.write_bucketed("x", left, [], 4)
+    store.remove()
+    assert not glob.glob(f"{tmp_path}/stages/x")
