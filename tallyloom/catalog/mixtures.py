@@ -14,12 +14,14 @@ from ..functions import floor_positive_columns
 from ..operators import (
     MixtureFit,
     fit_mixture,
+    fit_together,
     k_sweep,
     load_mixture,
     mixture_sizes,
     mixture_summary,
     save_mixture,
     standard_scale,
+    sweep_summary,
 )
 from ..operators.mixture import feature_stages
 from ..plans import standin
@@ -209,3 +211,29 @@ def mixture_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"),
         F.sum((F.col("before") == F.col("prediction")).cast("bigint")).alias("n_same"),
     )
+
+
+@query("mixture_sweep")
+def q_mixture_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixtures of 2 to 10 components from the same passes, with the figure by which one is chosen."""
+    _, rows = _stage(spark, sf_dir)
+    return sweep_summary(spark, fit_together(rows, FEATURES, ["order_id"], range(2, 11), max_iter=20))
+
+
+@query(
+    "mixture_sweep_closed_form",
+    with_sections(
+        f""", {_FEATURES_SQL},
+        kept AS (SELECT a_feature AS x, quantity AS y FROM feat WHERE a_feature IS NOT NULL AND quantity IS NOT NULL),
+        v AS (SELECT COUNT(*) AS n, VAR_POP(x) * VAR_POP(y) - pow(COVAR_POP(x, y), 2) AS det FROM kept)
+        SELECT CAST(1 AS INTEGER) AS k, n AS n_rows, CAST(1 AS INTEGER) AS grows,
+               ROUND(-(2 * ln(2 * pi()) + ln(det) + 2) / 2, 5) AS per_row FROM v"""
+    ),
+)
+def q_mixture_sweep_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of mixtures of 1 to 3 components fitted together, the first must be the one Gaussian; no fit's likelihood falls."""
+    _, rows = _stage(spark, sf_dir)
+    models = fit_together(rows, ["a_feature", "quantity"], ["order_id"], [1, 2, 3], max_iter=10)
+    grows = all(b >= a - 1e-6 * abs(a) for m in models.values() for a, b in zip(m.history, m.history[1:]))
+    one = sweep_summary(spark, models).where("k = 1")
+    return one.select("k", "n_rows", F.lit(int(grows)).alias("grows"), F.expr("ROUND(log_likelihood / n_rows, 5)").alias("per_row"))

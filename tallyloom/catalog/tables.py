@@ -167,7 +167,7 @@ def scan_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "bucketed_stages",
-    """SELECT o_orderkey, o_custkey, COUNT(*) AS n_lines, SUM(CAST(l_quantity AS BIGINT)) AS quantity
+    """SELECT o_orderkey, o_custkey, COUNT(*) AS n_lines, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity
        FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey""",
 )
 def bucketed_stages(spark: SparkSession, sf_dir: str) -> DataFrame:

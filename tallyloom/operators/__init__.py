@@ -25,6 +25,7 @@ from .mixture import (
     save_mixture,
     standard_scale,
 )
+from .mixture_sweep import fit_together, sweep_summary
 from .profile import row_counts, schema_differences, schema_profile, sketch_profile
 from .rollup import CELLS, ROWS, Folds, fold
 from .sample import bernoulli_sample, hash_sample, sample_projection
