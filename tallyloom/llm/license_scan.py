@@ -1,7 +1,8 @@
-"""Licences of files: TF-IDF cosine of lines and whole texts to templates, inherited down directories; built-in functions only.
+"""Licences of files: TF-IDF cosine of lines, blocks and whole texts to templates, inherited down directories; built-in functions only.
 
 Terms are runs of ASCII letters and digits, lower-cased. A term's weight is ``ln((N + 1) / (df + 1)) + 1`` with its document
-frequency over all files; a term of no template counts as one that no file has. A unit (a line, or a whole text) can reach
+frequency over all files; a term of no template counts as one that no file has. Comment marks are no terms. A unit (a line, a
+paragraph, a run of comment lines, or a whole text) can reach
 the similarity only if it has one of a template's heaviest terms: the others together are too short a vector. Units without
 such a term are set aside before any term is exploded.
 """
@@ -11,11 +12,12 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Licence statements as they stand in file headers, and the first words of licence texts.
+# Licence statements as they stand in file headers, paragraphs of headers and licence texts, and titles.
 TEMPLATES = [
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -36,8 +38,26 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MIT", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
 ]
 
+# A line without letters and digits ends a paragraph.
+GAP = r"\n[^A-Za-z0-9\n]*\n"
+# How a comment line starts: # // /* * -- ; % ! <!-- and quotes.
+COMMENT = r"^[ \t]*(#|//|/\*|\*|--|;|%|!|<!--|\"\"\"|''')"
+# File names whose own licence stands for their directory whatever else they hold.
+LICENCE_FILE = r"(?i)/(licen[cs]e|unlicen[cs]e|copying)[^/]*$"
+
 _NOT_TERM = "[^a-z0-9]+"
 
 
@@ -66,9 +86,11 @@ def scan(
 ) -> DataFrame:
     """The rows of (file_id, path, text) as file_id, licence, similarity, n_lines, own, inherited_from.
 
-    A file's own licence is the template nearest to one of its lines or to its whole text, at ``similarity`` or more (rounded
-    to 9 digits; ties go to the first name). ``n_lines`` counts lines that match any. A licence file has at least ``file_share`` of its terms in such
-    lines; it stands for its directory, the nearest one first by similarity, then name. A file
+    A file's own licence is the template nearest to one of its units, at ``similarity`` or more (rounded to 9 digits; ties go to
+    the first name). Units are lines, paragraphs and runs of comment lines of two lines and more (so wrapped headers are found, also
+    right above code), and the whole text. ``n_lines`` counts lines that match any. A licence file has at least ``file_share`` of its
+    terms in units of one sort that match, or has a licence of its own and such a file's name (``LICENCE_FILE``); it stands for its
+    directory, the nearest one first by similarity, then name. A file
     without a licence of its own takes that of the nearest directory above it that has one; ``inherited_from`` names it. NULL
     or empty texts have no own licence, NULL paths nothing to inherit; repeated rows are judged alike; no templates, no licences.
     """
@@ -105,7 +127,16 @@ def scan(
         F.xxhash64("path", "file_id", "text").alias("key"), "file_id", "path", "text", F.size("_terms").alias("n_terms")
     )
     lines = hopeful.select("key", "n_terms", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
+    # Paragraphs have even numbers from -2 down, runs of comment lines odd ones from -3.
+    remarks = F.array_join(F.transform(F.split("text", "\n"), lambda l: F.when(l.rlike(COMMENT), l).otherwise("")), "\n")
+    blocks = [
+        hopeful.select("key", "n_terms", F.posexplode(F.split(text, GAP)).alias("at", "unit"))
+        .where(F.col("unit").contains("\n"))
+        .select("key", "n_terms", (first - 2 * F.col("at")).cast("int").alias("line"), "unit")
+        for first, text in ((-2, F.col("text")), (-3, remarks))
+    ]
     units = lines.unionAll(hopeful.select("key", "n_terms", F.lit(-1).alias("line"), F.col("text").alias("unit")))
+    units = reduce(DataFrame.unionAll, blocks, units)
     units = units.select("key", "n_terms", "line", terms(F.col("unit")).alias("_terms"))
     units = units.where(F.arrays_overlap("_terms", needed)).dropDuplicates(["key", "line"])
     counted = (
@@ -130,18 +161,24 @@ def scan(
     best = near.groupBy("key", "line", "n_terms", "n").agg(
         F.min(F.struct((-F.col("cosine")).alias("c"), "name")).alias("best")
     )
+    line = F.col("line")
+    sorts = [line >= 0, line == -1, (line < -1) & (line % 2 == 0), (line < -1) & (line % 2 != 0)]
     own = best.groupBy("key", "n_terms").agg(
         F.min("best").alias("best"),
         F.count(F.when(F.col("line") >= 0, 1)).alias("n_lines"),
-        F.sum(F.when(F.col("line") >= 0, F.col("n")).otherwise(0)).alias("n_matched"),
+        F.greatest(*[F.sum(F.when(sort, F.col("n")).otherwise(0)) for sort in sorts]).alias("n_matched"),
     )
 
     directory = F.nullif(F.regexp_replace("path", "/[^/]*$", ""), F.col("path"))
     keyed_files = words.select(
-        F.xxhash64("path", "file_id", "text").alias("key"), "file_id", directory.alias("directory")
+        F.xxhash64("path", "file_id", "text").alias("key"),
+        "file_id",
+        directory.alias("directory"),
+        F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)).alias("named"),
     )
     judged = keyed_files.join(own, "key", "left")
-    stands = judged.where(F.col("n_matched") >= file_share * F.col("n_terms")).where("directory is not null")
+    stands = judged.where(F.col("best").isNotNull() & (F.col("named") | (F.col("n_matched") >= file_share * F.col("n_terms"))))
+    stands = stands.where("directory is not null")
     given = stands.groupBy("directory").agg(F.min("best").alias("given"))
     # Every directory with those above it; the longest that gives a licence is the nearest.
     parts = F.split("directory", "/")

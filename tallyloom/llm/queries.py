@@ -144,6 +144,8 @@ def _op2_sql() -> str:
     quoted = [(name, text.replace("'", "''")) for name, text in license_scan.TEMPLATES]
     templates = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(quoted))
 
+    comment = license_scan.COMMENT.replace("'", "''")
+
     def terms(text: str) -> str:
         low = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
         return f"regexp_extract_all({low}, '[a-z0-9]+')"
@@ -163,7 +165,14 @@ units AS (
     SELECT doc_id, line, {terms('unit')} AS w FROM (
         SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, generate_subscripts(string_split(text, chr(10)), 1) AS line
         FROM files WHERE text IS NOT NULL)
-    UNION ALL SELECT doc_id, -1, w FROM files),
+    UNION ALL SELECT doc_id, -1, w FROM files
+    UNION ALL SELECT doc_id, line, {terms('unit')} AS w FROM (
+        SELECT doc_id, unnest(p) AS unit, -2 * generate_subscripts(p, 1) AS line
+        FROM (SELECT doc_id, regexp_split_to_array(text, '{license_scan.GAP}') AS p FROM files)
+        UNION ALL SELECT doc_id, unnest(p), -2 * generate_subscripts(p, 1) - 1
+        FROM (SELECT doc_id, regexp_split_to_array(array_to_string(list_transform(string_split(text, chr(10)),
+            lambda l: CASE WHEN regexp_matches(l, '{comment}') THEN l ELSE '' END), chr(10)), '{license_scan.GAP}') AS p FROM files))
+        WHERE contains(unit, chr(10))),
 u_terms AS (SELECT doc_id, line, term, count(*) AS tf FROM (SELECT doc_id, line, unnest(w) AS term FROM units) GROUP BY ALL),
 u_weights AS (SELECT doc_id, line, term, tf * coalesce(idf, ln((SELECT n FROM total) + 1) + 1) AS v
     FROM u_terms LEFT JOIN idf USING (term)),
@@ -173,7 +182,9 @@ near AS (SELECT doc_id, line, name, round(sum(u.v * t.v / t_norms.norm) / sqrt(m
     GROUP BY doc_id, line, k, name HAVING cosine >= 0.8),
 best AS (SELECT doc_id, line, min({{'c': -cosine, 'name': name}}) AS best FROM near GROUP BY ALL),
 own AS (SELECT doc_id, min(best) AS best, count(*) FILTER (line >= 1) AS n_lines,
-    coalesce(sum(len(w)) FILTER (line >= 1), 0) AS n_matched FROM best JOIN units USING (doc_id, line) GROUP BY doc_id),
+    greatest(coalesce(sum(len(w)) FILTER (line >= 1), 0), coalesce(sum(len(w)) FILTER (line = -1), 0),
+        coalesce(sum(len(w)) FILTER (line < -1 AND line % 2 = 0), 0),
+        coalesce(sum(len(w)) FILTER (line < -1 AND line % 2 <> 0), 0)) AS n_matched FROM best JOIN units USING (doc_id, line) GROUP BY doc_id),
 given AS (SELECT dir, min(best) AS given FROM own JOIN files USING (doc_id) WHERE n_matched >= 0.5 * len(w) GROUP BY dir),
 parents AS (SELECT DISTINCT dir, unnest([dir, regexp_replace(dir, '/[^/]*$', '')]) AS up FROM files),
 nearest AS (SELECT p.dir, arg_max(up, length(up)) AS up, arg_max(given, length(up)) AS given

@@ -220,6 +220,55 @@ def test_licence_inheritance(spark):
     assert license_scan.scan(none).count() == 0
 
 
+_MIT = """The MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in
+all copies or substantial portions of the Software.
+"""
+_APACHE_HEADER = """#!/usr/bin/env tool
+// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+fn main() { something quite different; and more of it; }
+""" + "let other = code_that_goes(on, and, on, 1, 2, 3);\n" * 5
+
+
+def test_wrapped_headers_and_licence_files(spark):
+    gpl = "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n" + "Preamble words that no template has at all. " * 50
+    files = [
+        (1, "/a/LICENSE", _MIT),
+        (2, "/a/b/x.py", "print(1)"),
+        (3, "/a/b/y.rs", _APACHE_HEADER),
+        (4, "/g/COPYING.txt", gpl),
+        (5, "/g/src/z.c", "int z;"),
+        (6, "/h/notes.txt", gpl),
+        (7, "/h/src/w.c", "int w;"),
+        (8, "/i/whole", "Permission is hereby granted, free of\ncharge, to any person obtaining a copy of\nthis software and associated documentation files"),
+        (9, "/i/v.c", None),
+    ]
+    got = {r["file_id"]: (r["licence"], r["own"], r["inherited_from"]) for r in license_scan.scan(
+        spark.createDataFrame(files, "file_id long, path string, text string")).collect()}
+    assert got == {
+        1: ("MIT", True, None),
+        2: ("MIT", False, "/a"),
+        3: ("Apache-2.0", True, None),
+        4: ("GPL-3.0", True, None),
+        5: ("GPL-3.0", False, "/g"),
+        6: ("GPL-3.0", True, None),
+        7: (None, False, None),
+        8: ("MIT", True, None),
+        9: ("MIT", False, "/i"),
+    }
+
+
 # --- 3: rules -------------------------------------------------------------------------------------------------------
 
 
