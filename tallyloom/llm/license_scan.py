@@ -3,8 +3,9 @@
 Terms are runs of ASCII letters and digits, lower-cased. A term's weight is ``ln((N + 1) / (df + 1)) + 1`` with its document
 frequency over all files; a term of no template counts as one that no file has. Comment marks are no terms. A unit (a line, a
 paragraph, a run of comment lines, or a whole text) can reach
-the similarity only if it has one of a template's heaviest terms: the others together are too short a vector. Units without
-such a term are set aside before any term is exploded.
+the similarity only if the terms that it shares with a template hold enough of the template's vector: it needs one of the
+heaviest terms, and as many different terms as the heaviest ones that are together long enough. Texts and units that fail
+this are set aside before any term is exploded or shuffled.
 """
 
 from __future__ import annotations
@@ -107,14 +108,20 @@ def scan(
         return math.log((total + 1) / (df_ + 1)) + 1
 
     idf = {t: weight(df.get(t, 0)) for t in vocabulary}
-    rows, heavy = [], set()
+    rows, heavy, wanted = [], set(), []
     for k, name, counts in keyed:
         vector = {t: n * idf[t] for t, n in counts.items()}
         norm = math.sqrt(sum(v * v for v in vector.values()))
         rows += [(k, name, t, v / norm) for t, v in vector.items()]
-        left = norm * norm
+        enough = (similarity * norm) ** 2 * (1 - 1e-8)
+        left, reached = norm * norm, 0.0
+        for least, v in enumerate(sorted(vector.values(), reverse=True), 1):
+            reached += v * v
+            if reached >= enough:
+                wanted.append(F.struct(F.array(*map(F.lit, sorted(vector))).alias("terms"), F.lit(least).alias("least")))
+                break
         for t, v in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
-            if left < (similarity * norm) ** 2 * (1 - 1e-9):
+            if left < enough:
                 break
             heavy.add(t)
             left -= v * v
@@ -123,7 +130,15 @@ def scan(
     weights = spark.createDataFrame([(t, w) for t, w in idf.items()] or [("", 1.0)], "term string, idf double")
     needed = F.array(*map(F.lit, sorted(heavy))).cast("array<string>")
 
-    hopeful = words.where(F.arrays_overlap("_terms", needed)).select(
+    def can_reach(unit: str) -> Column:
+        # Bound once: the shared terms, then compared with each template's.
+        shared = F.array(F.array_intersect(unit, known))
+        many = F.transform(
+            shared, lambda own: F.exists(F.array(*wanted), lambda t: F.size(F.array_intersect(t["terms"], own)) >= t["least"])
+        )
+        return F.arrays_overlap(unit, needed) & (many[0] if wanted else F.lit(False))
+
+    hopeful = words.where(can_reach("_terms")).select(
         F.xxhash64("path", "file_id", "text").alias("key"), "file_id", "path", "text", F.size("_terms").alias("n_terms")
     )
     lines = hopeful.select("key", "n_terms", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
@@ -138,7 +153,7 @@ def scan(
     units = lines.unionAll(hopeful.select("key", "n_terms", F.lit(-1).alias("line"), F.col("text").alias("unit")))
     units = reduce(DataFrame.unionAll, blocks, units)
     units = units.select("key", "n_terms", "line", terms(F.col("unit")).alias("_terms"))
-    units = units.where(F.arrays_overlap("_terms", needed)).dropDuplicates(["key", "line"])
+    units = units.where(can_reach("_terms")).dropDuplicates(["key", "line"])
     counted = (
         units.select("key", "line", "n_terms", F.size("_terms").alias("n"), F.explode("_terms").alias("term"))
         .groupBy("key", "line", "n_terms", "n", "term")
