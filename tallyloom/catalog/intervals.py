@@ -46,5 +46,5 @@ def q_range_bucket_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    pairs = interval_join(orders, "o_orderkey", _ranges(spark, sf_dir), "low", "high")
-    return pairs.groupBy("range_id").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("sum_keys"))
+    matches = interval_join(orders, "o_orderkey", _ranges(spark, sf_dir), "low", "high", "n", {"sum_keys": "o_orderkey"})
+    return matches.groupBy("range_id").agg(F.sum("n").alias("n"), F.sum("sum_keys").alias("sum_keys"))
