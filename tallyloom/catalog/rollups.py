@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fold
+from ..operators import fold, whole_as_long
 from ..plans import reports, standin
 from ..plans.standin import NAMES, with_sections
 from ..sources import StageStore
@@ -115,6 +115,8 @@ def fold_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = {"l_returnflag": F.nullif(F.col("l_returnflag"), F.lit("A")), "l_shipmode": (F.col("l_suppkey") % 7).cast("long")}
     sets = [["l_returnflag", "l_shipmode"], ["l_shipmode"], []]
     cells = fold(lines, dims, sets, sums=["l_linenumber"], squares=["l_orderkey"], maxima=["l_suppkey"])
-    return cells.withColumns({c: F.col(c).cast("long") for c in ("total_l_orderkey", "square_l_orderkey")})
+    # The cells are few, and their types depend on them, so they are stored before.
+    cells = StageStore(spark).write("cells", cells)
+    return whole_as_long(cells, ["total_l_orderkey", "square_l_orderkey"])
 
 

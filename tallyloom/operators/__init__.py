@@ -27,7 +27,7 @@ from .mixture import (
 )
 from .mixture_sweep import fit_together, sweep_summary
 from .profile import row_counts, schema_differences, schema_profile, sketch_profile
-from .rollup import CELLS, ROWS, Folds, fold
+from .rollup import CELLS, ROWS, Folds, fold, whole_as_long
 from .sample import bernoulli_sample, hash_sample, sample_projection
 from .tally import (
     conditional_sum_by_key,

@@ -111,6 +111,16 @@ def fold(
     return grouped.agg(F.grouping_id().alias(SET), *aggs).withColumn(SET, number)
 
 
+def whole_as_long(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Exact whole sums as ``bigint``; a column with a sum beyond its range keeps its decimals.
+
+    Reads ``cells`` once, so give it a stored stage.
+    """
+    small = [F.coalesce(F.bool_and(F.col(c).try_cast("long").isNotNull() | F.col(c).isNull()), F.lit(True)).alias(c) for c in columns]
+    fits = cells.agg(*small).first()
+    return cells.withColumns({c: F.col(c).cast("long") for c in columns if fits[c]})
+
+
 @dataclass
 class Folds:
     """Stored cells and, of each set, its dims and number of cells."""

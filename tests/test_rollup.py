@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import oracle
+from tallyloom.catalog import QUERIES
 from tallyloom.operators import CELLS, Folds, compare_by, crosstab_long, fold, having_mixed_groups
 from tallyloom.plans import reports, standin
 from tallyloom.sources import StageStore
@@ -101,3 +102,18 @@ def test_edges(spark, store):
     assert compare_by(none.smallest({"d"}), "d", "x", "y", of=CELLS).count() == 0
     with pytest.raises(ValueError):
         fold(df, {"d": "d"}, [["d"], ["d"]])
+
+
+def test_sums_beyond_bigint_stay_exact(spark, tmp_path):
+    """The squares of large keys add up to more than a bigint holds."""
+    keys = [1 << 40, (1 << 40) + 1, 3]
+    lines = spark.createDataFrame(
+        [(k, i, "A" if i else "N", 5 + i) for i, k in enumerate(keys)], "l_orderkey long, l_linenumber int, l_returnflag string, l_suppkey long"
+    )
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    cells = QUERIES["fold_cells"](spark, str(tmp_path))
+    whole = cells.where("cell_set = 2").first()
+    assert whole["square_l_orderkey"] == sum(k * k for k in keys) > 1 << 63
+    assert whole["total_l_orderkey"] == sum(keys) and dict(cells.dtypes)["total_l_orderkey"] == "bigint"
+    small = QUERIES["fold_cells"](spark, "/root/testdata/sf0.001")
+    assert dict(small.dtypes)["square_l_orderkey"] == "bigint"
