@@ -46,42 +46,84 @@ class Mixture:
         return bic(self.log_likelihood, self.k, self.means.shape[1], self.n_rows)
 
 
+# Rows that are worked on together: their scores of all components stay in a core's cache.
+BLOCK = 1024
+
+
+def _roots(covariances: np.ndarray) -> np.ndarray:
+    """Per component the transposed inverse of its covariance's Cholesky factor."""
+    return np.array([np.linalg.inv(np.linalg.cholesky(c)).T for c in covariances])
+
+
 def log_densities(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covariances: np.ndarray) -> np.ndarray:
-    """(rows, components): log of weight times density."""
-    out = np.empty((len(x), len(weights)))
-    for j, (w, m, c) in enumerate(zip(weights, means, covariances)):
-        root = np.linalg.cholesky(c)
-        z = np.linalg.solve(root, (x - m).T)
-        out[:, j] = log(max(w, 1e-300)) - 0.5 * (z * z).sum(axis=0) - np.log(np.diag(root)).sum() - 0.5 * x.shape[1] * log(2 * np.pi)
+    """(components, rows): log of weight times density, of all components in one product."""
+    (k, d), roots = means.shape, _roots(covariances)
+    # Rows of the product: first the first coordinates of all components, then the second ones.
+    z = roots.transpose(2, 0, 1).reshape(d * k, d) @ np.ascontiguousarray(x.T)
+    z -= np.einsum("kd,kde->ek", means, roots).reshape(d * k, 1)
+    z *= z
+    halves = np.log(np.diagonal(roots, axis1=1, axis2=2)).sum(axis=1)
+    constants = np.log(np.maximum(weights, 1e-300)) + halves - 0.5 * d * log(2 * np.pi)
+    out = z.reshape(d, k, len(x)).sum(axis=0)
+    out *= -0.5
+    out += constants[:, None]
     return out
 
 
-def _statistics(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covariances: np.ndarray) -> np.ndarray:
-    """Log-likelihood, then per component the sums of responsibilities, of rows and of products, all about its mean."""
-    scores = log_densities(x, weights, means, covariances)
-    top = scores.max(axis=1, keepdims=True)
-    total = top + np.log(np.exp(scores - top).sum(axis=1, keepdims=True))
-    share = np.exp(scores - total)
-    out = [np.array([total.sum()]), share.sum(axis=0)]
-    for j in range(len(weights)):
-        about = x - means[j]
-        weighted = about * share[:, j : j + 1]
-        out += [weighted.sum(axis=0), (weighted.T @ about).ravel()]
-    return np.concatenate(out)
+class _Sums:
+    """What a task adds up for several mixtures: their components lie one below the other in every matrix."""
+
+    def __init__(self, models: Mapping[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        """``models``: weights, means and covariances of each."""
+        self.sizes = [(k, len(weights)) for k, (weights, _, _) in models.items()]
+        self.weights, self.means, self.covariances = (np.concatenate(parts) for parts in zip(*models.values()))
+        # Rows are taken about one centre, which keeps the products small.
+        self.centre = np.mean([weights @ means for weights, means, _ in models.values()], axis=0)
+        d = len(self.centre)
+        self.total, self.moments = np.zeros(len(self.sizes)), np.zeros((len(self.means), 1 + d + d * d))
+
+    def add(self, rows: np.ndarray) -> None:
+        for start in range(0, len(rows), BLOCK):
+            x = rows[start : start + BLOCK] - self.centre
+            share = log_densities(x, self.weights, self.means - self.centre, self.covariances)
+            at = 0
+            for i, (_, size) in enumerate(self.sizes):
+                own = share[at : at + size]
+                top = own.max(axis=0)
+                own -= top
+                np.exp(own, out=own)
+                mass = own.sum(axis=0)
+                own /= mass
+                self.total[i] += top.sum() + np.log(mass).sum()
+                at += size
+            products = [a * b for a in x.T for b in x.T]
+            self.moments += share @ np.stack([np.ones(len(x)), *x.T, *products]).T
+
+    def about_means(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Per mixture the log-likelihood, the sums of responsibilities, then per component those of rows and of products about its mean."""
+        d, at = len(self.centre), 0
+        for i, (k, size) in enumerate(self.sizes):
+            mass, own = self.moments[at : at + size, 0], self.moments[at : at + size]
+            mean, first = self.means[at : at + size] - self.centre, own[:, 1 : 1 + d]
+            second = own[:, 1 + d :].reshape(size, d, d)
+            shift = first - mass[:, None] * mean
+            # Sum of w (x - m)(x - m)' by the sums of w, w x and w x x'.
+            spread = second - mean[:, :, None] * first[:, None, :] - shift[:, :, None] * mean[:, None, :]
+            yield k, np.concatenate([[self.total[i]], mass, np.hstack([shift, spread.reshape(size, d * d)]).ravel()])
+            at += size
 
 
 def _pass(rows: DataFrame, features: Sequence[str], models: Mapping[int, Mixture]) -> dict[int, np.ndarray]:
     """Statistics of all ``models`` from one reading of ``rows``: tasks add up their rows, a fold adds up the tasks."""
-    sizes = {k: (m.weights, m.means, m.covariances) for k, m in models.items()}
+    # Arrays only: the class of the models refers to other modules of the package.
+    parameters = {k: (m.weights, m.means, m.covariances) for k, m in models.items()}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums = _Sums(parameters)
         for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            for k, parameters in sizes.items():
-                if len(x):
-                    sums[k] = sums.get(k, 0) + _statistics(x, *parameters)
-        for k, values in sums.items():
+            if batch.num_rows:
+                sums.add(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
+        for k, values in sums.about_means():
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(values), k), pa.int32()), pa.array(np.arange(len(values)), pa.int32()), pa.array(values, pa.float64())],
                 ["k", "place", "value"],
