@@ -12,7 +12,9 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 from math import ceil, log
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -87,12 +89,22 @@ def standard_scale(df: DataFrame, features: Sequence[str], keep: Sequence[str],
     return scaled.select(*keep, *[values[i].alias(f"{f}_scaled") for i, f in enumerate(features)])
 
 
-# Rows per partition: enough work for a task, and cached vectors well within memory.
-ROWS_PER_PARTITION = 20_000
+# Rows per partition: enough work for a task, and cached vectors well within memory. A pass of EM has two tasks per
+# partition, whose results all reach the driver, so beyond a number that keeps many cores busy partitions grow instead.
+ROWS_PER_PARTITION, MANY_PARTITIONS, MOST_ROWS_PER_PARTITION = 20_000, 32, 250_000
+# Fits of a sweep that run at a time: one fills the cores while another ends its pass.
+FITS_AT_A_TIME = 3
+
+
+def partitions_for(n_rows: int, rows_per_partition: int | None = None) -> int:
+    if rows_per_partition is not None:
+        return max(1, ceil(n_rows / rows_per_partition))
+    most = max(MANY_PARTITIONS, ceil(n_rows / MOST_ROWS_PER_PARTITION))
+    return max(1, min(ceil(n_rows / ROWS_PER_PARTITION), most))
 
 
 def arrange(
-    df: DataFrame, key: Sequence[str], partitions: int | None = None, rows_per_partition: int = ROWS_PER_PARTITION
+    df: DataFrame, key: Sequence[str], partitions: int | None = None, rows_per_partition: int | None = None
 ) -> DataFrame:
     """Fix the partitioning and row order by key, on which EM's starting points depend.
 
@@ -101,7 +113,7 @@ def arrange(
     from the number of rows alone if it is not given, whatever the session says.
     """
     if partitions is None:
-        partitions = max(1, ceil(df.count() / rows_per_partition))
+        partitions = partitions_for(df.count(), rows_per_partition)
     return df.repartition(partitions, *key).sortWithinPartitions(*key)
 
 
@@ -131,12 +143,14 @@ def k_sweep(
 
     Give it a stored stage rather than a long plan: a lost executor then re-reads
     its part of ``df`` only. ``invalid`` says what a NULL feature does: ``error``
-    or ``skip`` the row.
+    or ``skip`` the row. A few fits run at a time, as in Spark's CrossValidator.
     """
-    fits = []
+    ks = list(ks)
     with _vectors(df, features, key, scaled, invalid, partitions) as (preparation, vectors):
         n_rows = vectors.count()
-        for k in ks:
+        n_partitions = vectors.rdd.getNumPartitions()
+
+        def fit(k: int) -> MixtureFit:
             model = GaussianMixture(
                 featuresCol="features_scaled" if scaled else "features",
                 k=k,
@@ -144,18 +158,23 @@ def k_sweep(
                 maxIter=max_iter,
                 tol=tol,
             ).fit(vectors)
-            fits.append(
-                MixtureFit(
-                    pipeline=PipelineModel(stages=[*preparation.stages, model]),
-                    k=k,
-                    n_features=len(features),
-                    n_rows=n_rows,
-                    iterations=model.summary.numIter,
-                    log_likelihood=model.summary.logLikelihood,
-                    partitions=vectors.rdd.getNumPartitions(),
-                )
+            return MixtureFit(
+                pipeline=PipelineModel(stages=[*preparation.stages, model]),
+                k=k,
+                n_features=len(features),
+                n_rows=n_rows,
+                iterations=model.summary.numIter,
+                log_likelihood=model.summary.logLikelihood,
+                partitions=n_partitions,
             )
-    return fits
+
+        if len(ks) < 2:
+            return [fit(k) for k in ks]
+        with ThreadPool(min(FITS_AT_A_TIME, len(ks))) as pool:
+            # The longest first; a thread's jobs keep the caller's job group and local properties.
+            order = sorted(range(len(ks)), key=lambda i: -ks[i])
+            made = pool.map(inheritable_thread_target(df.sparkSession)(lambda i: fit(ks[i])), order, chunksize=1)
+        return [f for _, f in sorted(zip(order, made), key=lambda pair: pair[0])]
 
 
 def fit_mixture(df: DataFrame, features: Sequence[str], key: Sequence[str], k: int = 4, **options) -> MixtureFit:

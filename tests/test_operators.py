@@ -38,6 +38,7 @@ from tallyloom.operators import (
     unique_side,
     wide_tally,
 )
+from tallyloom.operators.mixture import partitions_for
 from tallyloom.operators.mixture import bic
 
 
@@ -377,3 +378,17 @@ def test_cut_off_leaves_few_rows(spark):
         assert n <= df.where(F.col("v") >= cut).count() <= 2.2 * n + 100
     assert cut_off(df, "v", 90_000) is None
     assert cut_off(df.limit(0), "v", 1) is None
+
+
+def test_em_partitions_stay_few(spark):
+    """Every pass sends two task results per partition to the driver."""
+    assert [partitions_for(n) for n in (0, 1, 20_001, 640_000, 8_000_000)] == [1, 1, 2, 32, 32]
+    assert partitions_for(54_000_000) == 216 and partitions_for(100, 10) == 10
+
+
+def test_sweep_keeps_the_order_of_sizes(spark):
+    df = spark.range(300).select("id", (F.col("id") % 7).cast("double").alias("x"), F.rand(1).alias("y"))
+    fits = k_sweep(df, ["x", "y"], ["id"], ks=[3, 2, 4, 3], max_iter=3)
+    assert [(f.k, f.model.getK()) for f in fits] == [(3, 3), (2, 2), (4, 4), (3, 3)]
+    alone = fit_mixture(df, ["x", "y"], ["id"], k=4, max_iter=3)
+    assert fits[2].log_likelihood == pytest.approx(alone.log_likelihood)
