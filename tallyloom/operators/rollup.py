@@ -72,6 +72,26 @@ def _wide(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("decimal(19,0)" if isinstance(kind, T.IntegralType) else "double")
 
 
+def _first_sums(sums: Sequence[str], squares: Sequence[str]) -> list[Column]:
+    """What adds up in a cell, from rows."""
+    aggs = [F.count(F.lit(1)).alias(ROWS_IN), *(F.sum(f"sum_{c}").alias(f"sum_{c}") for c in dict.fromkeys([*sums, *squares]))]
+    for c in squares:
+        exact = F.col(f"square_{c}")
+        aggs += [
+            F.count(exact).alias(f"count_{c}"),
+            F.sum(exact).alias(f"total_{c}"),
+            F.sum(exact * exact).alias(f"square_{c}"),
+        ]
+    return aggs
+
+
+def _cell_sums(sums: Sequence[str], squares: Sequence[str], types: Mapping[str, T.DataType]) -> list[Column]:
+    """The same from finer cells, in the same types."""
+    names = [ROWS_IN, *(f"sum_{c}" for c in dict.fromkeys([*sums, *squares]))]
+    names += [f"{kind}_{c}" for c in squares for kind in ("count", "total", "square")]
+    return [F.sum(n).cast(types[n]).alias(n) for n in names]
+
+
 def fold(
     df: DataFrame,
     dims: Mapping[str, Column | str],
@@ -92,16 +112,16 @@ def fold(
     measures = {f"sum_{c}": F.col(c) for c in dict.fromkeys([*sums, *squares])}
     measures |= {f"square_{c}": _wide(df, c) for c in squares} | {f"max_{c}": F.col(c) for c in maxima}
     names = list(dims)
-    aggs = [F.count(F.lit(1)).alias(ROWS_IN), *(F.sum(f"sum_{c}").alias(f"sum_{c}") for c in dict.fromkeys([*sums, *squares]))]
-    for c in squares:
-        exact = F.col(f"square_{c}")
-        aggs += [
-            F.count(exact).alias(f"count_{c}"),
-            F.sum(exact).alias(f"total_{c}"),
-            F.sum(exact * exact).alias(f"square_{c}"),
-        ]
-    aggs += [F.max(f"max_{c}").alias(f"max_{c}") for c in maxima]
     rows = df.select(*(e.alias(n) for n, e in dims.items()), *(e.alias(n) for n, e in measures.items()))
+    if any(isinstance(rows.schema[f"max_{c}"].dataType, (T.StringType, T.BinaryType)) for c in maxima):
+        # The greatest text has no state of fixed width, and its fold would sort every row once per set. As keys the texts
+        # are hashed, and only the finest cells are sorted.
+        finest = rows.groupBy(*names, *(f"max_{c}" for c in maxima)).agg(*_first_sums(sums, squares))
+        final = _cell_sums(sums, squares, {f.name: f.dataType for f in finest.schema.fields})
+        rows = finest
+    else:
+        final = _first_sums(sums, squares)
+    aggs = [*final, *(F.max(f"max_{c}").alias(f"max_{c}") for c in maxima)]
     grouped = rows.groupingSets([[F.col(n) for n in names if n in s] for s in sets], *map(F.col, names))
     # A bit per column that a set does not hold, the first column highest.
     bits = {s: sum(1 << (len(names) - 1 - i) for i, n in enumerate(names) if n not in s) for s in sets}

@@ -117,3 +117,24 @@ def test_sums_beyond_bigint_stay_exact(spark, tmp_path):
     assert whole["total_l_orderkey"] == sum(keys) and dict(cells.dtypes)["total_l_orderkey"] == "bigint"
     small = QUERIES["fold_cells"](spark, "/root/testdata/sf0.001")
     assert dict(small.dtypes)["square_l_orderkey"] == "bigint"
+
+
+def test_texts_are_not_sorted_by_row(spark):
+    """Greatest texts, NULL ones among them, from cells; only these are sorted, after the hash fold of the rows."""
+    rows = spark.sql(
+        """SELECT id % 3 AS a, IF(id % 4 = 0, NULL, id % 2) AS b, id AS v, CAST(id AS DOUBLE) AS d, id * 1000000007 AS w,
+                  IF(id % 5 = 0, NULL, CAST(id % 7 AS STRING)) AS t FROM RANGE(200)"""
+    )
+    sets = [["a", "b"], ["b"], []]
+    cells = fold(rows, {"a": "a", "b": "b"}, sets, sums=["v", "d"], squares=["w"], maxima=["t"])
+    plain = fold(rows, {"a": "a", "b": "b"}, sets, sums=["v", "d"], squares=["w"])
+    keys = ["cell_set", "a", "b"]
+    assert [f for f in cells.dtypes if f[0] != "max_t"] == plain.dtypes
+    same(cells.drop("max_t"), plain)
+    by = {tuple(r[k] for k in keys): r["max_t"] for r in cells.collect()}
+    for k, group in enumerate(sets):
+        for r in rows.groupBy(*group).agg(F.max("t").alias("t")).collect():
+            assert by[(k, *(r[c] if c in group else None for c in "ab"))] == r["t"]
+    plan = cells._jdf.queryExecution().sparkPlan().toString()
+    scan = plan[plan.rindex("SortAggregate") :]
+    assert scan.count("HashAggregate") >= 2 and scan.index("HashAggregate") < scan.index("Range")
