@@ -241,6 +241,21 @@ fn main() { something quite different; and more of it; }
 """ + "let other = code_that_goes(on, and, on, 1, 2, 3);\n" * 5
 
 
+def test_prose_with_template_words_is_set_aside(spark):
+    """Texts that hold all words of a template far apart leave no units to compare, however often they do; each text is cut into units once."""
+    words = " ".join(t for _, t in license_scan.TEMPLATES).split()
+    prose = "\n".join(f"x{k} {w} y{k} the of z{k} w{k} v{k}" for k, w in enumerate(words * 3))
+    header = "# Licensed under the Apache License,\n# Version 2.0.\n" + "code\n" * 5
+    files = spark.createDataFrame([(1, "/p/a", prose), (2, "/q/b", header), (3, "/r/c", "THE THE the")], "file_id long, path string, text string")
+    found = license_scan.scan(files)
+    got = {r["file_id"]: (r["licence"], r["n_lines"]) for r in found.collect()}
+    assert got[1] == (None, 0) and got[2][0] == "Apache-2.0" and got[3] == (None, 0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "Union" not in plan
+    kept = next(line for line in plan.splitlines() if "Filter" in line and "array_remove" in line)
+    assert "aggregate(" in kept
+
+
 def test_wrapped_headers_and_licence_files(spark):
     gpl = "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n" + "Preamble words that no template has at all. " * 50
     files = [
