@@ -256,6 +256,22 @@ def test_prose_with_template_words_is_set_aside(spark):
     assert "aggregate(" in kept
 
 
+def test_units_are_cut_into_terms_once(spark):
+    """No filter repeats the cutting, and only units that hold a heavy term of a template are cut."""
+    words = "mit_license MIT-License \u212aey \u0130SC caf\u00e9 LICENSE. x\u00adreleased"
+    files = spark.createDataFrame(
+        [(1, "/p/a", words), (2, "/q/b", "_Released_under the\tMIT (license)"), (3, "/r/c", "unlicensed\nreleasedunder the mitlicense"), (4, "/s/d", "")],
+        "file_id long, path string, text string",
+    )
+    cut = {r["file_id"]: r["t"] for r in files.select("file_id", license_scan.terms(F.col("text")).alias("t")).collect()}
+    assert cut == {f["file_id"]: license_scan._terms_of(re.sub("[^A-Za-z0-9]", " ", f["text"])) for f in files.collect()}
+    found = license_scan.scan(files)
+    assert {r["file_id"]: (r["licence"], r["n_lines"]) for r in found.collect()} == {1: (None, 0), 2: ("MIT", 1), 3: (None, 0), 4: (None, 0)}
+    plan = re.sub(r"\s+", " ", found._jdf.queryExecution().optimizedPlan().toString().replace(":- ", "+- "))
+    filters = [node for node in plan.split("+- ") if node.startswith("Filter")]
+    assert filters and not any("lower(" in node for node in filters)
+
+
 def test_wrapped_headers_and_licence_files(spark):
     gpl = "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n" + "Preamble words that no template has at all. " * 50
     files = [
