@@ -272,6 +272,14 @@ def test_units_are_cut_into_terms_once(spark):
     assert filters and not any("lower(" in node for node in filters)
 
 
+def test_a_common_unit_makes_no_rows_of_its_terms(spark):
+    """However many files hold a licence line, its terms are weighed within its row."""
+    files = spark.range(200).selectExpr("id AS file_id", "concat('/p/', id) AS path", "'Released under the MIT License.\\ncode' AS text")
+    found = license_scan.scan(files)
+    assert {(r["licence"], r["similarity"], r["n_lines"]) for r in found.collect()} == {("MIT", 1.0, 1)}
+    assert "explode(_terms" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_wrapped_headers_and_licence_files(spark):
     gpl = "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n" + "Preamble words that no template has at all. " * 50
     files = [
