@@ -2,8 +2,8 @@
 
 They hold what the delimited sources hold: padded and unpadded codes, text
 times with sentinels, other offices and rounds, result rows that are missing or
-repeated, sections without a machine row and with two. The text below is the
-same for Spark and for the SQL checks.
+repeated, sections without a machine row and with two. ``SOURCES`` is the text of
+the SQL checks; Spark makes the same rows by ``_AT_SIZE``, and a test compares them.
 """
 
 from __future__ import annotations
@@ -120,9 +120,56 @@ SOURCES = {
 _INPUTS = ("lineitem", "orders", "customer", "nation", "supplier")
 
 
+# The same rows for Spark at size: what a section's lines share is worked out before lines join, and no table is read twice.
+_SECTIONS = f"""SELECT o_orderkey, {_one_of(STATES, 'n_nationkey')} AS SG_UF, municipality AS CD_MUNICIPIO, n_name AS NM_MUNICIPIO, zone_no AS NR_ZONA,
+             '10' || zone_no AS NR_LOCAL_VOTACAO,
+             CASE WHEN o_orderkey % 3 = 0 THEN '#NULO#' ELSE {_section_code(9)} END AS NR_JUNTA_APURADORA, c_mktsegment AS NR_TURMA_APURADORA,
+             999000 + (o_custkey % 1500) * 830 AS NR_URNA_EFETIVADA,
+             CASE WHEN o_orderstatus = 'F' THEN '#NULO#' ELSE '10:11:12' END AS HH_GERACAO,
+             CASE o_orderpriority WHEN '1-URGENT' THEN '10 / 20 / 30' WHEN '2-HIGH' THEN '7' ELSE '#NULO#' END AS DS_AGREGADAS,
+             CAST(FLOOR(o_totalprice / 1000) AS BIGINT) AS QT_APTOS, CAST(FLOOR(o_totalprice / 1250) AS BIGINT) AS QT_COMPARECIMENTO,
+             o_custkey % 9 AS QT_ELEITORES_BIOMETRIA_NH
+      FROM ({_PLACES}) AS places"""
+
+_SCHOOL = "STRUCT(CASE WHEN low % 20 = 0 THEN 1 ELSE 2 END AS round_no, 'SCHOOL' AS place)"
+_ANNEX = "STRUCT(2 AS round_no, 'ANNEX' AS place)"
+_OWN = """STRUCT('0' || CAST(o_custkey AS STRING) AS machine,
+                 CASE WHEN o_orderpriority = '5-LOW' THEN '#DIV' ELSE '#NULO#' END AS deviation)"""
+_SPARE = "STRUCT('Z' AS machine, '#DIV' AS deviation)"
+
+_AT_SIZE = {
+    "bulletins": f"""
+      SELECT CASE WHEN l_linenumber = 7 THEN 3 ELSE 1 END AS CD_CARGO_PERGUNTA,
+             SG_UF, CD_MUNICIPIO, NM_MUNICIPIO, NR_ZONA, CAST(o_orderkey AS STRING) AS NR_SECAO, NR_LOCAL_VOTACAO,
+             NR_JUNTA_APURADORA, NR_TURMA_APURADORA, NR_URNA_EFETIVADA, '30/10/2022' AS DT_GERACAO, HH_GERACAO,
+             CASE WHEN l_partkey % 50 = 0 THEN '#NULO#'
+                  ELSE '30/10/2022 1' || CAST(5 + l_suppkey % 3 AS STRING) || ':' || minute || ':' || second END AS DT_EMISSAO_BU,
+             '30/10/2022 18:' || minute || ':' || second AS DT_BU_RECEBIDO,
+             '30/10/2022 0' || CAST(6 + l_orderkey % 3 AS STRING) || ':00:0' || CAST(l_orderkey % 7 AS STRING) AS DT_ABERTURA,
+             '30/10/2022 17:00:0' || CAST(l_linenumber AS STRING) AS DT_ENCERRAMENTO,
+             DS_AGREGADAS, votable AS NR_VOTAVEL, CAST(l_quantity AS BIGINT) AS QT_VOTOS, QT_APTOS, QT_COMPARECIMENTO,
+             QT_APTOS - QT_COMPARECIMENTO AS QT_ABSTENCOES, QT_ELEITORES_BIOMETRIA_NH
+      FROM (SELECT l.*, {_VOTABLE} AS votable, {_MINUTE} AS minute, {_SECOND} AS second FROM {{lineitem}} AS l) AS l
+           JOIN ({_SECTIONS}) AS p ON l.l_orderkey = p.o_orderkey""",
+    "results": f"""
+      SELECT round_no AS NR_TURNO, CAST(CAST(municipality AS BIGINT) AS STRING) AS CD_MUNICIPIO, zone_no AS NR_ZONA,
+             CAST(o_orderkey AS STRING) AS NR_SECAO, votable AS NR_VOTAVEL, place AS NM_LOCAL_VOTACAO,
+             'STREET ' || zone_no AS DS_LOCAL_VOTACAO_ENDERECO
+      FROM (SELECT l_orderkey, votable, INLINE(IF(high % 25 = 0, ARRAY({_SCHOOL}, {_ANNEX}), ARRAY({_SCHOOL})))
+            FROM (SELECT l_orderkey, {_VOTABLE} AS votable, MIN(l_partkey) AS low, MAX(l_suppkey) AS high
+                  FROM {{lineitem}} AS l GROUP BY l_orderkey, {_VOTABLE}) AS folded) AS v
+           JOIN ({_PLACES}) AS p ON v.l_orderkey = p.o_orderkey""",
+    # The list of columns is that of SOURCES, over one reading of the sections.
+    "machines": SOURCES["machines"].split("FROM (SELECT p.*")[0]
+    + f"""FROM (SELECT p.*, CAST(zone_no AS INT) AS zone_key,
+                   INLINE(IF(o_orderstatus = 'P' AND o_orderpriority = '1-URGENT', ARRAY({_OWN}, {_SPARE}), ARRAY({_OWN})))
+            FROM ({_PLACES}) AS p WHERE o_orderstatus <> 'O') AS m""",
+}
+
+
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the four source tables."""
-    text = SOURCES[name]
+    text = _AT_SIZE.get(name, SOURCES[name])
     return spark.sql(text, **{i: table(spark, sf_dir, i) for i in _INPUTS if "{" + i + "}" in text})
 
 

@@ -323,12 +323,14 @@ def sections(
     if fanout not in ("error", "dedupe", "allow"):
         raise ValueError("fanout must be 'error', 'dedupe' or 'allow'")
     votable = ["urna_id", "NR_VOTAVEL"]
+    # Model and times are worked out by the fold from what it picks, so that the rows it sorts are no wider than that, and in
+    # methods small enough for the JVM to compile; as columns before the sort they make one that it interprets.
     per_votable = b.groupBy(*votable).agg(
         row_pick(SECTION_ATTRIBUTES, "_section"),
         F.sum("QT_VOTOS").alias("_votes"),
-        F.bit_or(label_mask("modelo", MODELS)).alias("_models"),
-        F.max(late_expr("dh_emissao_bu", late_rules(faithful))).alias("_late"),
-        *[F.max(c).alias(n) for n, c in LATEST.items()],
+        F.bit_or(label_mask(range_bucket("NR_URNA_EFETIVADA", MODEL_RANGES, MODEL_OTHER), MODELS)).alias("_models"),
+        F.max(late_expr(parse_timestamp("DT_EMISSAO_BU"), late_rules(faithful))).alias("_late"),
+        *[F.max(parse_timestamp(n.upper())).alias(n) for n in LATEST],
     )
     places = r.groupBy(*votable).agg(row_pick(PLACE_ATTRIBUTES, "_place"), _copies(fanout, "results").alias("_n_results"))
     units = m.groupBy("urna_id").agg(row_pick(MACHINE_ATTRIBUTES, "_machine"), _copies(fanout, "machines").alias("_n_machines"))

@@ -262,3 +262,19 @@ def test_stored_zones_are_broadcast(spark, sources):
     zones = store.write("zones", election.zone_workers(sources["workers"]))
     plan = election.with_zone_workers(wide, zones)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_the_fold_of_bulletins_sorts_no_parsed_times(sources):
+    """What the fold works out itself does not widen the rows that it sorts."""
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    plan = election.sections(*prepared(sources))._jdf.queryExecution().optimizedPlan()
+    folds = [n for n in nodes(plan) if n.nodeName() == "Aggregate" and "QT_VOTOS" in n.references().toString()]
+    assert len(folds) == 1
+    read = folds[0].child().output()
+    names = {read.apply(i).name(): read.apply(i).dataType().simpleString() for i in range(read.size())}
+    assert "timestamp_ntz" not in names.values() and "modelo" not in names
