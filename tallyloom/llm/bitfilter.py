@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 _BITMAP = 32768
 
 
+def bits_for(count: int, least: int) -> int:
+    """Bits of a filter of ``count`` numbers of which one in sixteen or less is set: ``least`` or more, up to 2 ** 27 (16 MB)."""
+    return min(max(least, 1 << (16 * count).bit_length()), max(least, 1 << 27))
+
+
 def of(rows: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bit for every number of ``column`` modulo ``bits`` (a multiple of 32,768): ``bits / 8`` bytes reach the driver."""
     bit = F.pmod(F.col(column), F.lit(bits))

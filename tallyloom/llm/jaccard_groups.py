@@ -1,7 +1,9 @@
 """Documents linked by the Jaccard similarity of their word n-grams, through a token-group matrix.
 
 1. Each text becomes the set of its hashed n-grams; texts with equal sets are one *set*, with a 64-bit hash as its name.
-2. Sets that may be linked are brought together. Two sets of sizes s and t that reach the similarity differ in at most
+2. Sets that may be linked are brought together. A set most of whose tokens no other set has is linked with nothing: a linked set
+   shares ``p`` percent of its tokens with the other one. Tokens are counted over all sets beforehand, and only sets with that share of
+   tokens that occur again go on. Two sets of sizes s and t that reach the similarity differ in at most
    ``(s + t) (100 - p) / (100 + p)`` tokens. The space of hashes is cut into more blocks than that, so that linked sets
    agree on whole blocks: a set that fills more blocks than tokens may differ has a hash per filled block as a sufficient join key.
    A block's hash covers all its tokens. Tokens that many sets have, as those of passages and lines that many documents share, are
@@ -41,7 +43,7 @@ COMMON = 32
 CHUNK_TOKENS = 1 << 17
 # Sets of a group of the token-group matrix.
 GROUP = 32
-# Bits of the filter that picks texts to be compared; beyond it more texts travel, nothing is lost.
+# Least bits of the filters that pick sets; a filter that fills up lets more sets through, nothing is lost.
 FILTER_BITS = 1 << 22
 # Bits of the filter of common tokens; beyond it more tokens are left out, and more sets have keys of all their tokens.
 COMMON_BITS = 1 << 24
@@ -181,8 +183,8 @@ def _sketch(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(work, ", ".join([*kinds, "n_shingles long, name long"]))
 
 
-def _key_rows(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(key, name) of the sets, by the filter of common tokens; a task gives each set once."""
+def _key_rows(docs: DataFrame, n: int, percent: int, common: np.ndarray, chosen: np.ndarray | None = None) -> DataFrame:
+    """(key, name) of the sets (that pass the filter of names), by the filter of common tokens; a task gives each set once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = np.zeros(0, dtype=np.int64)
@@ -190,13 +192,16 @@ def _key_rows(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> Data
             for part in textbytes.slices(batch.column(0)):
                 tokens, bounds = token_sets(part, n)
                 names = set_names(tokens, bounds)
-                keys = block_keys(tokens, bounds, percent, bitfilter.passes(common, common_tokens.places(tokens)))
                 new, at = np.unique(names, return_index=True)
-                at = at[~np.isin(new, given)]
+                fresh = ~np.isin(new, given)
                 given = np.union1d(given, new)
-                count = np.diff(keys[1])[at]
-                rows = textbytes.ragged(keys[1][at], count)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[0][rows]), pa.array(np.repeat(names[at], count))], ["key", "name"])
+                at = at[fresh & bitfilter.passes(chosen, new)] if chosen is not None else at[fresh]
+                names, sizes = names[at], np.diff(bounds)[at]
+                tokens = tokens[textbytes.ragged(bounds[at], sizes)]
+                bounds = np.concatenate([[0], np.cumsum(sizes)])
+                keys = block_keys(tokens, bounds, percent, bitfilter.passes(common, common_tokens.places(tokens)))
+                owners = np.repeat(names, np.diff(keys[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(owners)], ["key", "name"])
 
     return docs.select("text").mapInArrow(work, "key long, name long")
 
@@ -356,11 +361,15 @@ def _classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
         tokens, bounds = token_sets(part, n)
         return tokens, bounds, set_names(tokens, bounds)
 
-    many = common_tokens.common(docs, sets, COMMON, common_tokens.ranges(docs))
-    many = bitfilter.of(many, "place", COMMON_BITS)
-    keys = _key_rows(docs, n, percent, many).repartition("key").sortWithinPartitions("key", "name")
+    counted, counted_at = storage.written(common_tokens.counted(docs, sets, COMMON, common_tokens.ranges(docs)), "counted")
+    many = bitfilter.of(counted.where("place is not null"), "place", COMMON_BITS)
+    able, able_at = storage.written(common_tokens.matched(counted, percent), "matched")
+    chosen = bitfilter.of(able, "name", bitfilter.bits_for(able.count(), FILTER_BITS))
+    for path in (counted_at, able_at):
+        storage.remove(spark, path)
+    keys = _key_rows(docs, n, percent, many, chosen).repartition("key").sortWithinPartitions("key", "name")
     hoods, hoods_at = storage.written(components(_near(keys)), "neighbourhoods")
-    packed = bitfilter.of(hoods, "node", FILTER_BITS)
+    packed = bitfilter.of(hoods, "node", bitfilter.bits_for(hoods.count(), FILTER_BITS))
     tokens = (
         _token_rows(docs, n, packed)
         .join(hoods.select(F.col("node").alias("name"), F.col("component").alias("hood")), "name")

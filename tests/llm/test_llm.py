@@ -724,6 +724,49 @@ def test_neighbourhoods_stay_small(spark):
         assert (found <= 12) == small
 
 
+def test_sets_of_their_own_tokens_have_no_keys(spark, monkeypatch):
+    """Only sets that share enough tokens with any others are brought together, and classes are those of brute force."""
+    rng = random.Random(15)
+    passage = " ".join(f"p{k}" for k in range(50))
+    rows = [(k, " ".join([f"w{rng.randint(0, 99999)}" for _ in range(120)] + [passage])) for k in range(200)]
+    rows += [(1000 + k, f"{rows[k][1]} end{k}") for k in range(0, 40, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    met, near = [], jaccard_groups._near
+    monkeypatch.setattr(jaccard_groups, "_near", lambda keys: met.append(keys.select("name").distinct().count()) or near(keys))
+    got = jaccard_groups.link_documents(docs, n=5, percent=80).collect()
+    assert Counter(map(tuple, got)) == Counter(brute_classes(rows, 5, 80))
+    assert met == [40]
+
+
+@pytest.mark.parametrize("chunk", [1, 1 << 22])
+def test_matched_sets_are_counted_over_all_tasks(spark, monkeypatch, chunk):
+    """By brute force: the sets of which four fifths of the tokens occur in a second set, whatever the chunks."""
+    monkeypatch.setattr(common_tokens, "_SORTED", chunk)
+    rng = random.Random(16)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 40))) for _ in range(150)]
+    texts += [None, "", "one", " ".join(f"z{k}" for k in range(30)), f"{' '.join(f'y{k}' for k in range(20))} end"]
+    texts += [f"{t} more" for t in texts[:30]] + [" ".join(f"y{k}" for k in range(20))]
+    storage.prepare(spark)
+
+    def sets(part):
+        tokens, bounds = jaccard_groups.token_sets(part, 3)
+        return tokens, bounds, jaccard_groups.set_names(tokens, bounds)
+
+    every = {}
+    for part in textbytes.slices(pa.array(sorted({t or "" for t in texts}))):
+        tokens, bounds, names = sets(part)
+        every |= {x: tokens[bounds[i] : bounds[i + 1]].tolist() for i, x in enumerate(names.tolist()) if bounds[i] < bounds[i + 1]}
+    counts = Counter(t for x in every.values() for t in x)
+    want = {x for x, tokens in every.items() if 10 * sum(counts[t] > 1 for t in tokens) >= 8 * len(tokens)}
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    for n_ranges in (256, 4096):
+        counted = common_tokens.counted(docs, sets, 32, n_ranges)
+        assert sorted(r["name"] for r in common_tokens.matched(counted, 80).collect()) == sorted(want)
+    spread = common_tokens.counted(docs.repartition(5), sets, 32, 256)  # copies in other tasks may let more through
+    assert {r["name"] for r in common_tokens.matched(spread, 80).collect()} >= want
+    assert 0 < len(want) < len(every)
+
+
 def test_names_of_columns_are_kept(spark, sf_dir):
     names = ["_row", "_gone", "_found", "_near", "id", "digest", "gone", "found", "near", "missing", "blank", "name", "chosen"]
     docs = spark.createDataFrame([(1, "one two three four", "en"), (2, "one two three four", None), (2, "5", "fr"), (None, "le a", "fr")], "doc_id long, text string, lang string")
