@@ -1,8 +1,8 @@
-"""Gaussian-mixture clustering of wide rows with Spark ML.
+"""Gaussian-mixture clustering of wide rows with Spark ML's starts and models.
 
-EM makes one distributed pass per iteration; what reaches the driver is k
-weights, means and covariance matrices, whose size depends on the number of
-features only.
+EM makes one distributed pass per iteration for all mixtures of a sweep; what
+reaches the driver is a task's sums for k weights, means and covariance
+matrices, whose size depends on the number of features only.
 """
 
 from __future__ import annotations
@@ -12,17 +12,19 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 from math import ceil, log
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseMatrix, DenseVector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import persisted
+from .em import Gaussians, fit_all
 
 
 @dataclass(frozen=True)
@@ -92,8 +94,6 @@ def standard_scale(df: DataFrame, features: Sequence[str], keep: Sequence[str],
 # Rows per partition: enough work for a task, and cached vectors well within memory. A pass of EM has two tasks per
 # partition, whose results all reach the driver, so beyond a number that keeps many cores busy partitions grow instead.
 ROWS_PER_PARTITION, MANY_PARTITIONS, MOST_ROWS_PER_PARTITION = 20_000, 32, 250_000
-# Fits of a sweep that run at a time: one fills the cores while another ends its pass.
-FITS_AT_A_TIME = 3
 
 
 def partitions_for(n_rows: int, rows_per_partition: int | None = None) -> int:
@@ -127,6 +127,29 @@ def _vectors(
         yield preparation, vectors
 
 
+def _start(estimator: GaussianMixture, vectors: DataFrame) -> tuple[GaussianMixtureModel, Gaussians]:
+    """Spark ML's model before its first pass, and the same as arrays."""
+    start = estimator.copy({estimator.maxIter: 0}).fit(vectors)
+    gaussians = start.gaussians
+    means, covariances = [g.mean.toArray() for g in gaussians], [g.cov.toArray() for g in gaussians]
+    return start, Gaussians(np.array(start.weights), np.array(means), np.array(covariances))
+
+
+def _model(spark: SparkSession, estimator: GaussianMixture, start: GaussianMixtureModel, fitted: Gaussians) -> GaussianMixtureModel:
+    """``fitted`` as a model of Spark ML with the settings of ``estimator``."""
+    context, jvm = spark.sparkContext, spark.sparkContext._jvm
+    package, k = jvm.org.apache.spark.ml, len(fitted.weights)
+    weights = context._gateway.new_array(jvm.double, k)
+    gaussians = context._gateway.new_array(package.stat.distribution.MultivariateGaussian, k)
+    for i in range(k):
+        mean, covariance = fitted.means[i], fitted.covariances[i]
+        dense = DenseMatrix(*covariance.shape, covariance.ravel(order="F"))
+        weights[i] = float(fitted.weights[i])
+        gaussians[i] = package.stat.distribution.MultivariateGaussian(_py2java(context, DenseVector(mean)), _py2java(context, dense))
+    model = GaussianMixtureModel(package.clustering.GaussianMixtureModel(start.uid, weights, gaussians))
+    return estimator._copyValues(model)
+
+
 def k_sweep(
     df: DataFrame,
     features: Sequence[str],
@@ -141,40 +164,34 @@ def k_sweep(
 ) -> list[MixtureFit]:
     """One fit per number of clusters, over one cached arrangement of the feature columns.
 
-    Give it a stored stage rather than a long plan: a lost executor then re-reads
-    its part of ``df`` only. ``invalid`` says what a NULL feature does: ``error``
-    or ``skip`` the row. A few fits run at a time, as in Spark's CrossValidator.
+    Starts, steps and end of each fit are those of Spark ML's ``GaussianMixture``,
+    but one pass over the rows serves all fits that still move. Give it a stored
+    stage rather than a long plan: a lost executor then re-reads its part of
+    ``df`` only. ``invalid`` says what a NULL feature does: ``error`` or ``skip``
+    the row.
     """
     ks = list(ks)
     with _vectors(df, features, key, scaled, invalid, partitions) as (preparation, vectors):
         n_rows = vectors.count()
         n_partitions = vectors.rdd.getNumPartitions()
-
-        def fit(k: int) -> MixtureFit:
-            model = GaussianMixture(
-                featuresCol="features_scaled" if scaled else "features",
-                k=k,
-                seed=seed,
-                maxIter=max_iter,
-                tol=tol,
-            ).fit(vectors)
-            return MixtureFit(
-                pipeline=PipelineModel(stages=[*preparation.stages, model]),
-                k=k,
+        column = "features_scaled" if scaled else "features"
+        estimators = [GaussianMixture(featuresCol=column, k=k, seed=seed, maxIter=max_iter, tol=tol) for k in ks]
+        starts, fitted = zip(*(_start(e, vectors) for e in estimators)) if ks else ((), ())
+        values = vector_to_array(column)
+        with persisted(vectors.select(*[values[i].alias(f"v{i}") for i in range(len(features))])) as rows:
+            fit_all(rows, fitted, max_iter, tol)
+        return [
+            MixtureFit(
+                pipeline=PipelineModel(stages=[*preparation.stages, _model(df.sparkSession, e, start, f)]),
+                k=e.getK(),
                 n_features=len(features),
                 n_rows=n_rows,
-                iterations=model.summary.numIter,
-                log_likelihood=model.summary.logLikelihood,
+                iterations=f.iterations,
+                log_likelihood=f.log_likelihood,
                 partitions=n_partitions,
             )
-
-        if len(ks) < 2:
-            return [fit(k) for k in ks]
-        with ThreadPool(min(FITS_AT_A_TIME, len(ks))) as pool:
-            # The longest first; a thread's jobs keep the caller's job group and local properties.
-            order = sorted(range(len(ks)), key=lambda i: -ks[i])
-            made = pool.map(inheritable_thread_target(df.sparkSession)(lambda i: fit(ks[i])), order, chunksize=1)
-        return [f for _, f in sorted(zip(order, made), key=lambda pair: pair[0])]
+            for e, start, f in zip(estimators, starts, fitted)
+        ]
 
 
 def fit_mixture(df: DataFrame, features: Sequence[str], key: Sequence[str], k: int = 4, **options) -> MixtureFit:

@@ -2,8 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.clustering import GaussianMixture
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from tallyloom.operators import em, k_sweep
 from tallyloom.operators import mixture_sweep as ms
 
 
@@ -104,3 +107,31 @@ def test_all_components_in_one_product():
             diff = x - m.means[j]
             want += [*(share[:, j] @ diff), *((diff * share[:, j : j + 1]).T @ diff).ravel()]
         assert got == pytest.approx(np.array(want), rel=1e-8, abs=1e-6)
+
+
+def test_k_sweep_makes_the_fits_of_spark_ml_in_shared_passes(points, monkeypatch):
+    """As many passes as the slowest fit, none of them Spark ML's own, and its results."""
+    df, x = points
+    whole = df.where("id < 5000")
+    passes, once = [], em._sums
+    monkeypatch.setattr(em, "_sums", lambda rows, models, centre: passes.append(len(models)) or once(rows, models, centre))
+    fits = k_sweep(whole, ["x", "y"], ["id"], [2, 3, 4], max_iter=12, tol=1.0, partitions=3)
+    assert len(passes) == max(f.iterations for f in fits) <= 12 and passes[0] == 3
+    vectors = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(whole.repartition(3, "id").sortWithinPartitions("id"))
+    vectors = vectors.select("id", "features").cache()
+    for fit in fits:
+        alone = GaussianMixture(k=fit.k, seed=42, maxIter=12, tol=1.0).fit(vectors)
+        assert (fit.iterations, fit.n_rows) == (alone.summary.numIter, len(x))
+        assert fit.log_likelihood == pytest.approx(alone.summary.logLikelihood, rel=1e-9)
+        assert fit.model.weights == pytest.approx(alone.weights, rel=1e-6)
+        for a, b in zip(fit.model.gaussians, alone.gaussians):
+            assert a.mean.toArray() == pytest.approx(b.mean.toArray(), rel=1e-6, abs=1e-9)
+            assert a.cov.toArray() == pytest.approx(b.cov.toArray(), rel=1e-6, abs=1e-9)
+        assert fit.model.getMaxIter() == 12 and fit.model.getFeaturesCol() == "features"
+    vectors.unpersist()
+    flat = whole.withColumn("x", F.lit(2.0))  # a variance of zero has no inverse
+    one, other = k_sweep(flat, ["x", "y"], ["id"], [1 + 1], max_iter=4, partitions=3)[0], GaussianMixture(k=2, seed=42, maxIter=4)
+    vectors = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(flat.repartition(3, "id").sortWithinPartitions("id"))
+    assert one.log_likelihood == pytest.approx(other.fit(vectors.select("id", "features")).summary.logLikelihood, rel=1e-6)
+    with pytest.raises(Exception, match="NaN"):
+        k_sweep(df.where("id < 5000 OR id = 5002"), ["x", "y"], ["id"], [2], partitions=2)
